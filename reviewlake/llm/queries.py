@@ -21,6 +21,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.ngram_join import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.decontam import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewlake.llm.hilbert import shard_documents
 
@@ -42,6 +54,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op5_ngram_jaccard": op5_ngram_jaccard,
+        "op6_decontamination": op6_decontamination,
         "op7_hilbert_sharding": op7_hilbert_sharding,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_packing": op10_packing,
