@@ -15,12 +15,30 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.token_scan import document_tokens
+
+    return document_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewlake.llm.decision_list import apply_rules
 
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.host_paths import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewlake.llm.ngram_join import similar_documents
 
@@ -39,6 +57,12 @@ def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.ppm import language_scores
+
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewlake.llm.qda import quality_scores
 
@@ -53,10 +77,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_quality_rules": op2_quality_rules,
+        "op3_html_extraction": op3_html_extraction,
+        "op4_pii": op4_pii,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_decontamination": op6_decontamination,
         "op7_hilbert_sharding": op7_hilbert_sharding,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_packing": op10_packing,
     }

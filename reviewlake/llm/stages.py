@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.llm.common import table
+from reviewlake.llm.decontam import decontaminate
+from reviewlake.llm.ngram_join import similar_documents
 from reviewlake.llm.packing import pack_documents
+from reviewlake.llm.pii import redact
 from reviewlake.llm.qda import quality_scores
 from reviewlake.llm.queries import tokenizer_path
 
@@ -17,9 +20,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: that of the least id. Rows with null ids stay."""
+    groups = similar_documents(docs).where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
+    kept = docs.where(F.col("doc_id").isNotNull()).join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items beyond the limit go."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data and secrets are replaced by their kinds; no document goes."""
+    return redact(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All kept documents as pieces of sequences."""
     return pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("quality", quality), ("packing", packing)]
+STAGES = [
+    ("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("PII", pii), ("packing", packing),
+]
