@@ -21,12 +21,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.llm.common import stage, utf8
 from reviewlake.llm.components import components
+from reviewlake.llm.words import cut
 
 #: Jaccard similarity, in hundredths, from which two documents link.
 LEAST = 90
@@ -34,11 +34,6 @@ WORDS = 3
 TILE = 256
 #: Ratio of a size band's ends.
 BAND = 1.35
-#: Words whose hashes a worker keeps.
-CACHE = 500_000
-
-_hashes: dict[bytes, int] = {}
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
@@ -49,15 +44,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(raw: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams; of a shorter text, of its whole sequence."""
-    parts = raw.lower().split()  # of bytes: A-Z alone, and exactly space and 09 to 0D
-    if not parts:
-        return np.empty(0, np.uint64)
-    if len(_hashes) > CACHE:
-        _hashes.clear()
-    for w in set(parts) - _hashes.keys():
-        _hashes[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_hashes.__getitem__, parts), np.uint64, len(parts))
-    n = min(words, len(parts))
+    h = cut(b"\n" + raw.lower() + b"\n")[2]  # lower() of bytes: A-Z alone
+    if not len(h):
+        return h
+    n = min(words, len(h))
     at = len(h) - n + 1
     s = np.full(at, n, np.uint64)
     for k in range(n):

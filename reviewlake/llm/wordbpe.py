@@ -14,40 +14,13 @@ from itertools import chain
 
 import numpy as np
 
+from reviewlake.llm.words import cut
+
 #: Cuts in the table, and bytes that are worked on at once.
 TABLE, BATCH = 1_500_000, 2_000_000
 
 _PLAIN = re.compile("[\x21-\x7eÀ-ÿ]+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-_BYTES = np.arange(256)
-_SPACE = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
-_ALONE = _SPACE | np.isin(_BYTES, list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
-_VALUE = np.random.default_rng(7).integers(1, 2**63, 256, np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-
-
-@lru_cache(2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(1 << bits, _BASE), np.full(1 << bits, _INVERSE)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-def cut(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the cuts of bytes that begin and end with white space."""
-    b = np.frombuffer(raw, np.uint8)
-    space, alone = _SPACE[b], _ALONE[b]
-    mark = (b == 0x2E) | (b == 0x2C)
-    mark[1:-1] &= alone[:-2] & alone[2:]
-    edge = mark | space
-    inside = ~space
-    starts = np.flatnonzero(inside[1:] & (edge[:-1] | mark[1:])) + 1
-    ends = np.flatnonzero(inside[:-1] & (edge[1:] | mark[:-1])) + 1
-    up, down = _powers(max(22, len(b).bit_length()))
-    sums = np.cumsum(_VALUE[b] * up[: len(b)], dtype=np.uint64)
-    h = (sums[ends - 1] - sums[starts - 1]) * down[starts]
-    return starts, ends, h ^ (h >> np.uint64(29))
 
 
 class WordBpe:
@@ -110,7 +83,7 @@ class WordBpe:
         raw = b"\n" + b"\n".join(texts) + b"\n"
         if self.special_as_text or b"<|" not in raw:
             raw = raw.lower()  # of bytes: A-Z alone
-        starts, ends, hashes = cut(raw)
+        starts, ends, hashes = cut(raw, True)
         different, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.rows) + len(different) > TABLE:
             self._clear()
