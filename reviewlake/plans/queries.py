@@ -626,3 +626,160 @@ def review_slice(spark, sf_dir):
     s = B.summary(spark, sf_dir)
     g = G.gate(G.gate_metrics(s), _thresholds(spark, sf_dir))
     return s.join(g, "suite").select("suite", "finding_count", "accepted_finding_rate", "primary_precision", "passed")
+
+
+# ---- sources, dataflow, streams ----------------------------------------------------------------------------
+
+
+@query("s3_json_path", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE json_extract_string(props, '$.k')::BIGINT % 2 = 0")
+def s3(spark, sf_dir):
+    from reviewlake.sources.tool_output import get
+
+    e = B.table(spark, sf_dir, "events").withColumn("doc", F.try_parse_json("props"))
+    return e.select("event_id", get("doc", "$.k", "bigint").alias("k")).where("k % 2 = 0")
+
+
+@query("s9_evidence_markers", "SELECT event_id, 'validation' AS kind, event_type AS message, 'rule-' || (event_id % 7) AS rule_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 5 END AS start_line FROM events WHERE event_id % 3 = 0")
+def s9(spark, sf_dir):
+    from reviewlake.sources.tool_output import extract_evidence_markers
+
+    body = F.to_json(F.struct(F.col("event_type").alias("message"), F.concat(F.lit("rule-"), (F.col("event_id") % 7).cast("string")).alias("rule"), (F.col("event_id") % 5).alias("line")))
+    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("log EVIDENCE: "), body)).when(F.col("event_id") % 3 == 1, "EVIDENCE: [1, 2").otherwise(body)
+    logs = B.table(spark, sf_dir, "events").select(F.col("event_id").alias("review_id"), F.lit("t").alias("tool_name"), F.lit(1).alias("line_no"), line.alias("line"))
+    return longs(extract_evidence_markers(logs).select(F.col("review_id").alias("event_id"), "kind", "message", "rule_id", "start_line"), "start_line")
+
+
+@query("t4_as_of", "SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS def_id FROM events")
+def t4(spark, sf_dir):
+    e = B.table(spark, sf_dir, "events")
+    return J.as_of(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "click", F.col("event_id"), "def_id").select("event_id", "def_id")
+
+
+@query("t5_reachable", """WITH RECURSIVE e(src, dst) AS (SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem), r(node, origin) AS (SELECT 'c' || c_custkey, c_nationkey::VARCHAR FROM customer WHERE c_nationkey < 2 UNION SELECT e.dst, r.origin FROM r JOIN e ON e.src = r.node) SELECT node, origin FROM r""")
+def t5(spark, sf_dir):
+    from reviewlake.operators.reach import reachable
+
+    t = lambda n: B.table(spark, sf_dir, n)
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = t("orders").select(tag("c", "o_custkey").alias("src"), tag("o", "o_orderkey").alias("dst")).unionByName(t("lineitem").select(tag("o", "l_orderkey").alias("src"), tag("p", "l_partkey").alias("dst")))
+    seeds = t("customer").where("c_nationkey < 2").select(tag("c", "c_custkey").alias("node"), F.col("c_nationkey").cast("string").alias("origin"))
+    unit = F.lit(1).alias("unit")
+    return reachable(seeds.select(unit, "*"), edges.select(unit, "*"), ["unit"], 8, ("origin",)).select("node", "origin")
+
+
+SHAPES = ["(a+)+", "^[a-z]+$", "(?:.*,)*x", "a|b|c", "^abc$", r"\w*\w+", "(?:^|,)([^,]+)", "x.*.*y", "(a|aa)+$", "[0-9]{1,3}"]
+
+
+def shape_sql(c: str) -> str:
+    return "list_extract([" + ", ".join(map(quote, SHAPES)) + f"], ({c} % 10 + 1)::INT)"
+
+
+ANCHORS = "(CASE WHEN {0} LIKE '^%' OR {0} LIKE '%(^%' OR {0} LIKE '%(?:^%' THEN 1 ELSE 0 END + CASE WHEN {0} LIKE '%$' THEN 1 ELSE 0 END + CASE WHEN {0} LIKE '%(?:^|%' THEN 1 ELSE 0 END)"
+COMMA = "regexp_matches({0}, '\\((\\?:)?\\.\\*,\\)\\*')"
+SCORE = "greatest(0, CASE WHEN {p} THEN 3 ELSE 0 END + length({0}) - length(replace(replace(replace({0}, '|', ''), '+', ''), '*', '')) + CASE WHEN {c} THEN 5 ELSE 0 END - {a})"
+
+
+def score_sql(x: str) -> str:
+    return SCORE.format(x, p=_prone(x), c=COMMA.format(x), a=ANCHORS.format(x))
+
+
+def _prone(x: str) -> str:
+    shapes = " OR ".join(f"regexp_matches({x}, {quote(s)})" for s in C.REDOS_SHAPES)
+    return f"(({shapes}) AND NOT regexp_matches({x}, '^\\^?\\[[^\\]]+\\]\\{{\\d+(,\\d+)?\\}}\\$?$'))"
+
+
+def _shape(c):
+    return F.element_at(F.array(*map(F.lit, SHAPES)), (C.col(c) % 10 + 1).cast("int"))
+
+
+@query("t11_is_redos_prone", f"SELECT event_id, {_prone('s')} AS prone FROM (SELECT event_id, {shape_sql('event_id')} AS s FROM events)")
+def t11(spark, sf_dir):
+    return B.table(spark, sf_dir, "events").select("event_id", C.is_redos_prone(_shape("event_id")).alias("prone"))
+
+
+@query("t12_redos_risk_score", f"SELECT event_id, ({score_sql('s')})::BIGINT AS score FROM (SELECT event_id, {shape_sql('event_id')} AS s FROM events)")
+def t12(spark, sf_dir):
+    return longs(B.table(spark, sf_dir, "events").select("event_id", C.redos_risk_score(_shape("event_id")).alias("score")), "score")
+
+
+HARDER = f"(o <> n AND (({_prone('o')} AND NOT {_prone('n')}) OR {score_sql('o')} > {score_sql('n')} OR ({COMMA.format('o')} AND NOT {COMMA.format('n')}) OR ({ANCHORS.format('n')} > {ANCHORS.format('o')} AND ({_prone('o')} OR {score_sql('o')} >= 2))))"
+
+
+@query("t13_redos_hardening_delta", f"WITH p AS (SELECT e.user_id, {shape_sql('(e.event_id // 50)')} AS n, {shape_sql('(f.event_id // 20)')} AS o, f.event_id AS k FROM (SELECT * FROM events WHERE event_id % 50 = 0) e JOIN (SELECT * FROM events WHERE event_id % 20 = 7) f ON e.user_id = f.user_id), q AS (SELECT *, {score_sql('o')} - {score_sql('n')} AS d FROM p WHERE {HARDER}) SELECT user_id, n AS new_pattern, o AS old_pattern, d::BIGINT AS drop FROM (SELECT *, row_number() OVER (PARTITION BY user_id, n ORDER BY d DESC, k) AS r FROM q) WHERE r = 1")
+def t13(spark, sf_dir):
+    from reviewlake.operators.taint import redos_hardening_delta
+
+    e = B.table(spark, sf_dir, "events")
+    new = e.where("event_id % 50 = 0").select("user_id", _shape(F.floor(F.col("event_id") / 50)).alias("new_pattern"))
+    old = e.where("event_id % 20 = 7").select("user_id", _shape(F.floor(F.col("event_id") / 20)).alias("old_pattern"), F.col("event_id").alias("old_seq"))
+    return longs(redos_hardening_delta(old, new, ["user_id"]), "drop")
+
+
+ATTACH = EVENTS + ", t AS (SELECT user_id, line AS window_id, greatest(1, line - 3) AS lo, line + 3 AS hi FROM e WHERE event_type = 'error'), m AS (SELECT user_id, event_id, line FROM e WHERE event_type = 'purchase') "
+
+
+@query("t14_attach_to_window", ATTACH + "SELECT event_id, window_id FROM (SELECT m.event_id, t.window_id, row_number() OVER (PARTITION BY m.event_id ORDER BY CASE WHEN m.line BETWEEN lo AND hi THEN -1 ELSE least(abs(lo - m.line), abs(hi - m.line)) END, t.window_id) AS r FROM m JOIN t ON t.user_id = m.user_id) WHERE r = 1")
+def t14(spark, sf_dir):
+    from reviewlake.operators.taint import attach_to_window
+
+    e = B.event_lines(spark, sf_dir)
+    w = e.where("change_type = 'add'").select("review_id", F.col("seq").alias("window_id"), F.greatest(F.lit(1), F.col("new_line") - 3).alias("start_line"), (F.col("new_line") + 3).alias("end_line"), F.lit(True).alias("has_add"))
+    m = e.where("content = 'purchase'").select("review_id", "event_id", F.col("new_line").alias("sink_line"))
+    return longs(attach_to_window(m, w, ["review_id"], ["event_id"]).select("event_id", "window_id"), "window_id")
+
+
+@query("t15_prefer_richer", "SELECT user_id, event_type AS rule_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END, event_id % 3 DESC, event_id % 5 DESC, event_id) AS r FROM events) WHERE r = 1")
+def t15(spark, sf_dir):
+    from reviewlake.operators.taint import prefer_richer
+
+    e = B.table(spark, sf_dir, "events")
+    m = e.select("user_id", F.col("event_type").alias("rule_id"), "event_id", F.when(F.col("event_id") % 4 == 0, "file").otherwise("window").alias("analysis_scope"), (F.col("event_id") % 3).alias("boost"), F.array_repeat(F.lit("s"), (F.col("event_id") % 5).cast("int")).alias("steps"), F.array(F.lit("x")).alias("sources"), F.col("event_id").alias("call_seq"))
+    return prefer_richer(m, ["user_id"]).select("user_id", "rule_id", "event_id")
+
+
+@query("x2_event_rates", "SELECT time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def x2(spark, sf_dir):
+    from reviewlake.streaming.trace import event_rates
+
+    return event_rates(B.table(spark, sf_dir, "events"), time="ts", kind="event_type")
+
+
+@query("x3_dedupe_events", "SELECT DISTINCT user_id, event_type FROM events")
+def x3(spark, sf_dir):
+    from reviewlake.streaming.trace import dedupe_events
+
+    return dedupe_events(B.table(spark, sf_dir, "events"), ["user_id", "event_type"], time="ts").select("user_id", "event_type")
+
+
+@query("x4_tool_durations", "SELECT a.user_id, a.ts AS started, epoch_us(b.ts) - epoch_us(a.ts) AS micros FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
+def x4(spark, sf_dir):
+    from reviewlake.streaming.trace import tool_durations
+
+    e = B.table(spark, sf_dir, "events")
+    return tool_durations(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"), ["user_id"], time="ts")
+
+
+@query("x5_ratchet_totals", WITH + "SELECT suite, count(*) AS total, count(*) > 20 AS exceeded FROM findings GROUP BY 1")
+def x5(spark, sf_dir):
+    from reviewlake.streaming.trace import ratchet_totals
+
+    return ratchet_totals(B.findings(spark, sf_dir), 20)
+
+
+@query("s12_to_sarif", WITH + "SELECT case_id, count(*) AS n_results, count(DISTINCT rule_id) AS n_rules FROM findings GROUP BY 1")
+def s12(spark, sf_dir):
+    from reviewlake.sources.cases import to_sarif
+
+    f = B.findings(spark, sf_dir).withColumns({"title": F.col("rule_id"), "risk": F.lit(""), "fix_guidance": F.lit("fix")})
+    doc = to_sarif(f, "case_id").withColumn("d", F.parse_json("sarif"))
+    size = lambda p: F.size(F.try_variant_get("d", p, "array<variant>")).cast("long")
+    return doc.select("case_id", size("$.runs[0].results").alias("n_results"), size("$.runs[0].tool.driver.rules").alias("n_rules"))
+
+
+@query("review_diffs", None)
+def review_diffs(spark, sf_dir):
+    """The whole review of a diff for each document: lines, windows, shipped rules, dataflow, findings."""
+    from reviewlake.plans.review import review
+
+    d = review(doc_diffs(spark, sf_dir), R.shipped_rules(spark))
+    return d.select("review_id", "finding_id", "rule_id", "severity", "confidence", "file_path", "start_line", "end_line")
