@@ -154,10 +154,11 @@ def scan_texts(windows: DataFrame, key: str = "review_id", masked: DataFrame | N
 def _outside_triple(lines: str) -> Column:
     """The lines with those blanked that a triple-quoted string spans, closed or, with code before an opener that nothing closes, to the end."""
     joined = F.array_join(F.col(lines), "\n")
-    blank = lambda text, quote: F.regexp_replace(text, rf"(?s)[^\n]*{quote}(?:(?!{quote})[^\n])*+\n(?:(?!{quote}).)*+{quote}[^\n]*", "")
-    tail = lambda text, quote: F.regexp_replace(text, rf"(?s)(?<=\A|\n)(?![^\S\n]*(?:#|{quote}))[^\n]*?{quote}(?:(?!{quote}).)*\z", "")
+    closed = r"(?md)^(?:(?:(?!{0})[^\n])*+{0}(?:(?!{0})[^\n])*+{0})*+(?:(?!{0})[^\n])*+{0}(?:(?!{0})[^\n])*+\n(?:(?!{0})[\s\S])*+{0}[^\n]*"  # an odd number of delimiters opens
+    open_end = r"(?md)^(?![^\S\n]*(?:#|{0}))[^\n]*?{0}(?:(?!{0})[\s\S])*+\z"
     for quote in ('"""', "'''"):
-        joined = tail(blank(joined, quote), quote)
+        masked = F.regexp_replace(F.regexp_replace(joined, closed.format(quote), ""), open_end.format(quote), "")
+        joined = F.when(F.contains(joined, F.lit(quote)), masked).otherwise(joined)
     return F.split(joined, "\n", -1)
 
 

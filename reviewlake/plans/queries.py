@@ -776,10 +776,24 @@ def s12(spark, sf_dir):
     return doc.select("case_id", size("$.runs[0].results").alias("n_results"), size("$.runs[0].tool.driver.rules").alias("n_rules"))
 
 
+@query("t7_sink_matches", EVENTS + """, d AS (SELECT user_id, line, event_type, last_value(CASE WHEN event_type IN ('click', 'view') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM e)
+SELECT user_id::VARCHAR AS unit, line AS sink_line, CASE WHEN last = 'click' THEN 0.10 ELSE 0.04 END::DOUBLE AS boost, CASE WHEN last = 'click' THEN 'input' ELSE '' END AS sources FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY line) AS r FROM d WHERE event_type = 'purchase') WHERE r = 1""")
+def t7(spark, sf_dir):
+    """A program for each user from its events in order: clicks read input, views assign a constant, purchases evaluate."""
+    from reviewlake.operators import taint as T
+
+    e = B.event_lines(spark, sf_dir)
+    code = F.when(F.col("content") == "click", "x = input()").when(F.col("content") == "view", "x = 'a'").when(F.col("content") == "purchase", "eval(x)").otherwise("pass")
+    src = e.groupBy(F.col("review_id").cast("string").alias("unit")).agg(F.sort_array(F.collect_list(F.struct("seq", code.alias("code")))).alias("l"))
+    src = src.select("unit", F.array_join(F.transform("l", lambda x: x["code"]), "\n").alias("source"), F.transform("l", lambda x: x["seq"].cast("int")).alias("changed"))
+    m = T.match_boost(T.sink_matches(T.code_facts(src)))
+    return longs(m.select("unit", "sink_line", "boost", F.array_join("sources", ",").alias("sources")), "sink_line")
+
+
 @query("review_diffs", None)
 def review_diffs(spark, sf_dir):
-    """The whole review of a diff for each document: lines, windows, shipped rules, dataflow, findings."""
+    """The review of a diff for each document by the text rules: lines, windows, masks, hits, first of equal ones, findings."""
     from reviewlake.plans.review import review
 
-    d = review(doc_diffs(spark, sf_dir), R.shipped_rules(spark))
+    d = review(doc_diffs(spark, sf_dir), B.text_rules(spark), semantic=False)
     return d.select("review_id", "finding_id", "rule_id", "severity", "confidence", "file_path", "start_line", "end_line")
