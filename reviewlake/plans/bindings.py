@@ -43,7 +43,7 @@ _kept: dict[tuple[str, str], DataFrame] = {}
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings, which many operators of one query use: scanned once and kept in memory or on disk."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _kept or not _kept[key].is_cached:
+    if key not in _kept or not _kept[key].storageLevel.useMemory:
         _kept[key] = _findings(spark, sf_dir).persist()
     return _kept[key]
 

@@ -797,3 +797,23 @@ def review_diffs(spark, sf_dir):
 
     d = review(doc_diffs(spark, sf_dir), B.text_rules(spark), semantic=False)
     return d.select("review_id", "finding_id", "rule_id", "severity", "confidence", "file_path", "start_line", "end_line")
+
+
+@query("v1_validation_plan", WITH + """SELECT f.case_id, f.finding_id, c.check_no::BIGINT AS check_no, CASE WHEN c.check_no = 1 AND f.case_id::BIGINT % 2 = 0 AND EXISTS (SELECT 1 FROM findings g WHERE g.case_id = f.case_id AND g.rule_id = 'ipv4' AND g.file_path = f.file_path AND g.start_line = f.start_line) THEN 'covered' ELSE 'missing' END AS status,
+CASE WHEN c.check_no = 1 AND f.case_id::BIGINT % 2 = 0 AND NOT EXISTS (SELECT 1 FROM findings g WHERE g.case_id = f.case_id AND g.rule_id = 'ipv4' AND g.file_path = f.file_path AND g.start_line = f.start_line) THEN 'semgrep' ELSE '' END AS candidates FROM findings f, (VALUES (0), (1)) c(check_no)""")
+def v1(spark, sf_dir):
+    f = B.findings(spark, sf_dir).withColumns({"title": F.col("rule_id"), "recommended_validation": F.array(F.lit("unit tests for malicious input"), F.lit("static taint analysis"))})
+    runs = f.select("case_id").distinct().select("case_id", F.lit("semgrep").alias("name"), F.lit("semgrep scan").alias("command"), F.array(F.lit("static-analysis")).alias("capabilities"), F.lit("allowed").alias("policy_status"), (F.col("case_id").cast("long") % 2).cast("int").alias("exit_code"), F.lit(False).alias("timed_out"))
+    tools = f.where("rule_id = 'ipv4'").select("case_id", F.lit("semgrep").alias("tool_name"), "rule_id", F.lit("seen").alias("message"), F.concat(F.lit("./"), "file_path").alias("file_path"), "start_line", "end_line", "severity")
+    none = spark.createDataFrame([], "case_id string, tool_name string, kind string, message string, rule_id string, finding_id string, file_path string, start_line int, end_line int, check string, payload string, assertion string")
+    p = V.validation_plan(f, runs, tools, none, "case_id")
+    return longs(p.select("case_id", "finding_id", "check_no", "status", F.array_join("candidate_tools", ",").alias("candidates")), "check_no")
+
+
+@query("e16_score_scanner", WITH + "SELECT c.suite, coalesce(sum(p.inside) FILTER (c.status = 'completed'), 0)::BIGINT AS finding_count, coalesce(sum(p.n), 0)::BIGINT AS raw_tool_finding_count, coalesce(sum(p.n - p.inside), 0)::BIGINT AS out_of_scope_finding_count, count(*) FILTER (c.status = 'error') AS scanner_error_count FROM cases c LEFT JOIN (SELECT case_id, count(*) AS n, count(*) FILTER (start_line <= 4) AS inside FROM findings GROUP BY 1) p ON p.case_id = c.case_id GROUP BY 1")
+def e16(spark, sf_dir):
+    c = B.cases(spark, sf_dir).select("suite", "case_id", "source", "status", "expected_rules")
+    ranges = c.select("case_id", F.col("source").alias("file_path"), F.lit(1).alias("scope_start"), F.lit(4).alias("scope_end"))
+    none = spark.createDataFrame([], "case_id string, name string, canonical string")
+    s = S.score_scanner(c, B.findings(spark, sf_dir).drop("suite", "finding_id", "confidence"), B.expected(spark, sf_dir), ranges, none, none)
+    return s.select("suite", "finding_count", "raw_tool_finding_count", "out_of_scope_finding_count", "scanner_error_count")
