@@ -200,8 +200,9 @@ def normalize_command(command: Column) -> Column:
 def policy_audit(commands: DataFrame, policy: DataFrame) -> DataFrame:
     """commands with policy_status and reasons. policy: one row of enabled, allowed_adapters, allowed_executables, blocked_command_patterns,
     max_timeout_seconds, max_output_bytes, environment_mode, network_access."""
-    p = lambda c: F.col(f"_p.{c}")
-    rows = commands.crossJoin(F.broadcast(policy.select(F.struct("*").alias("_p")).limit(1)))  # one row by definition
+    row = policy.first()  # one row by definition: its values become literals
+    p = lambda c: F.array(*map(F.lit, row[c])).cast("array<string>") if isinstance(row[c], list) else F.lit(row[c])
+    rows = commands
     text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     names = F.array_join(p("allowed_adapters"), ", ")
     tokens = lambda e: F.array(F.lower(e), F.lower(F.element_at(F.split(F.replace(e, F.lit("\\"), F.lit("/")), "/"), -1)), F.regexp_replace(F.lower(F.element_at(F.split(F.replace(e, F.lit("\\"), F.lit("/")), "/"), -1)), r"\.exe$", ""))
@@ -220,4 +221,4 @@ def policy_audit(commands: DataFrame, policy: DataFrame) -> DataFrame:
         own(~p("network_access").isin("inherit", "disabled"), F.lit("network_access must be one of: inherit, disabled")),
     )
     reasons = F.when(p("enabled"), F.array_compact(F.concat(before, blocked, after))).otherwise(F.array().cast("array<string>"))
-    return rows.withColumn("reasons", reasons).withColumn("policy_status", F.when(F.size("reasons") > 0, "blocked").otherwise("allowed")).drop("_p")
+    return rows.withColumn("reasons", reasons).withColumn("policy_status", F.when(F.size("reasons") > 0, "blocked").otherwise("allowed"))
