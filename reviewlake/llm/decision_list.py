@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.llm import doc_stats
-from reviewlake.llm.common import stage
+from reviewlake.llm.common import small_batches, stage
 
 #: Labelled rows that the list is fitted on, at most.
 BOUND = 20_000
@@ -128,7 +128,8 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
 
 def apply_rules(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
     """doc_id, the base counts, base_failed and kept for every row; null or empty text fails the base; an empty table gives none."""
-    stats = stage(doc_stats.with_stats(docs), "text-stats")
+    with small_batches(docs.sparkSession):
+        stats = stage(doc_stats.with_stats(docs), "text-stats")
     verdict = learn(stats, labels, bound=bound).column(doc_stats.features())
     failed = doc_stats.base_failed()
     return stats.select("doc_id", *COUNTS, failed.alias("base_failed"), ((verdict == 1) & ~failed).alias("kept"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import stage, utf8
+from reviewlake.llm.common import small_batches, stage, utf8
 from reviewlake.llm.components import components
 from reviewlake.llm.words import cut
 
@@ -217,7 +217,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows without words have no shingles and link with nothing; rows with a null id get a null component;
     repeated rows share their component; an empty table gives no rows.
     """
-    signed = stage(sign(docs, id_col, text_col, least, words), "signed")
+    with small_batches(docs.sparkSession):
+        signed = stage(sign(docs, id_col, text_col, least, words), "signed")
     linked = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = linked.groupBy("set_hash").agg(F.min("id").alias("id"))
     reps = linked.join(classes, ["set_hash", "id"], "left_semi")
@@ -230,7 +231,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     in_family = families.select(F.col("node").alias("id"))
     near = stage(linked.select("id", "n", "bits").join(in_family, "id", "left_semi").dropDuplicates(["id"]), "near")
     first = stage(open_pairs(stars, near, least), "pairs")
-    sets = stage(sets_of(docs, id_col, text_col, in_family, words).dropDuplicates(["id"]), "sets")
+    with small_batches(docs.sparkSession):
+        sets = stage(sets_of(docs, id_col, text_col, in_family, words).dropDuplicates(["id"]), "sets")
     links = stage(links_of(first, sets, least), "links")
     for forest in (True, False):
         found = components(links, "a", "b")

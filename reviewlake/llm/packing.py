@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import stage, utf8
+from reviewlake.llm.common import small_batches, stage, utf8
 from reviewlake.llm.wordbpe import word_bpe
 
 TOKENS, SEGMENTS = 4096, 64
@@ -103,6 +103,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end: int, length: int = TOKENS) -
 
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, TOKENS)) -> DataFrame:
     """Tokenize whole texts, add the end id, cut and pack. A piece's first id bears no loss: nothing predicts it."""
-    pieces = stage(pieces_of(docs, tokenizer, end, limits[0]), "pieces").withColumn("loss", F.col("length") - 1)
+    with small_batches(docs.sparkSession):
+        pieces = stage(pieces_of(docs, tokenizer, end, limits[0]), "pieces").withColumn("loss", F.col("length") - 1)
     packed = pack(pieces, "length", "loss", limits, ("doc_id", "start", "ids_crc32"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.llm import doc_stats
-from reviewlake.llm.common import crc_bucket, stage
+from reviewlake.llm.common import crc_bucket, small_batches, stage
 
 THRESHOLD = 0.3
 
@@ -109,7 +109,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     Labels of held-out ids (crc32 of the id, modulo 5, is 0) are never read. Null and empty texts get the
     score of zero counts; without labels all scores are one half; an empty table gives no rows.
     """
-    stats = stage(doc_stats.with_stats(docs), "quality-stats")
+    with small_batches(docs.sparkSession):
+        stats = stage(doc_stats.with_stats(docs), "quality-stats")
     model = learn(stats, labels.where(crc_bucket("doc_id", 5) != 0))
     held = (crc_bucket("doc_id", 5) == 0).alias("held_out")
     return score_rows(stats, model).select("doc_id", held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

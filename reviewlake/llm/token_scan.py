@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import shared_dir, stage, utf8
+from reviewlake.llm.common import shared_dir, small_batches, stage, utf8
 from reviewlake.llm.wordbpe import word_bpe
 
 END = 49407
@@ -60,7 +60,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int = END, width: in
             fs.move(draft, f"{top}/{name}")
 
     kind = dict(docs.dtypes)["doc_id"]
-    return folder, stage(docs.select("doc_id", utf8("text").alias("t")).mapInArrow(run, f"doc_id {kind}, file string, ordinal long"), "token-files")
+    with small_batches(spark):
+        return folder, stage(docs.select("doc_id", utf8("text").alias("t")).mapInArrow(run, f"doc_id {kind}, file string, ordinal long"), "token-files")
 
 
 def block_separators(spark: SparkSession, folder: str, end: int = END, width: int = 2, block: int = BLOCK) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 from reviewlake.llm.words import cut
 
 #: Cuts in the table, and bytes that are worked on at once.
-TABLE, BATCH = 1_500_000, 2_000_000
+TABLE, BATCH = 1_000_000, 1_500_000
 
 _PLAIN = re.compile("[\x21-\x7eÀ-ÿ]+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")

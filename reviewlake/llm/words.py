@@ -14,7 +14,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
 
-@lru_cache(2)
+@lru_cache(3)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(1 << bits, _BASE), np.full(1 << bits, _INVERSE)
     up[0] = down[0] = 1
@@ -39,7 +39,7 @@ def cut(raw: bytes, lone_marks: bool = False) -> tuple[np.ndarray, np.ndarray, n
     else:
         starts = np.flatnonzero(inside[1:] & space[:-1]) + 1
         ends = np.flatnonzero(inside[:-1] & space[1:]) + 1
-    up, down = _powers(max(22, len(b).bit_length()))
+    up, down = _powers(max(18, len(b).bit_length()))
     sums = np.cumsum(_VALUE[b] * up[: len(b)], dtype=np.uint64)
     h = (sums[ends - 1] - sums[starts - 1]) * down[starts]
     return starts, ends, h ^ (h >> np.uint64(29))
