@@ -1,10 +1,15 @@
 """Language-model scores by prediction by partial matching over bytes.
 
 Training counts every run of ORDER + 1 bytes of the whole training corpus; from these follow the counts of all
-shorter contexts. A context is kept in the trie when it holds at least 1 / 2**SHARE of all training bytes, so a
-trie has at most 2**SHARE contexts of each length, whatever the corpus. Escapes are those of method C; what a
-longer context has seen is excluded from the shorter ones. As the trained model is fixed, the distribution of
-each context is worked out once, and a text's code length is a sum of look-ups along its trie path.
+shorter contexts. Escapes are those of method C; what a longer context has seen is excluded from the shorter ones.
+As the trained model is fixed, the distribution of each context is worked out once, and a text's code length is a
+sum of look-ups along its trie path.
+
+Every context counts. One that holds at least 1 / 2**SHARE of all training bytes is frequent; there are at most
+2**SHARE of each length, and their trie is broadcast. With a context its shorter ones are frequent too, so the trie's
+distributions are exact. Bytes whose five before them are no frequent context go by Spark, one row a text and run,
+to the training runs of the same head: the shortest end of the context that isn't frequent. A head has less than
+1 / 2**SHARE of the training bytes, and its contexts are worked out there on top of the trie.
 
 The unigram base needs the count of every word of every text. Words with at least 1 / 2**FREQUENT of all
 tokens are at most 2**FREQUENT many and are broadcast; the rest are joined by Spark, one row a text and word.
@@ -106,7 +111,7 @@ def gathered(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def trie_rows(counts: DataFrame) -> DataFrame:
-    """k (length of the context), context, byte, n of all kept contexts, from the counts of the longest runs."""
+    """k (length of the context), context, byte, n of all frequent contexts, from the counts of the longest runs."""
     runs = counts.where(F.col("gram").isNotNull())
     part = lambda k: F.struct(F.lit(k).alias("k"), F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("context"))
     each = runs.select(F.explode(F.array(*[part(k) for k in range(ORDER + 1)])).alias("c"), F.col("gram").bitwiseAND(F.lit(255)).alias("byte"), "n")
@@ -116,8 +121,17 @@ def trie_rows(counts: DataFrame) -> DataFrame:
     return by.join(held.select("k", "context"), ["k", "context"])
 
 
+def mixed(count: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Distributions of contexts from their counts and the distributions of the contexts a byte shorter, which are changed."""
+    met = count > 0
+    kinds, total = met.sum(1, keepdims=True, dtype=np.float32), count.sum(1, keepdims=True)
+    free[met] = 0
+    free *= kinds / np.maximum(free.sum(1, keepdims=True), np.float32(1e-30))
+    return (count + free) / np.maximum(total + kinds, 1)
+
+
 class Trie:
-    """Distributions of all kept contexts, and tables that lead from a context to the one a byte longer."""
+    """Distributions of all frequent contexts, and tables that lead from a context to the one a byte longer."""
 
     def __init__(self, k: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray) -> None:
         seen = np.unique(byte[k == 0])
@@ -146,16 +160,14 @@ class Trie:
                 mine = sort[ends[c] : ends[c + 1]]
                 count = np.zeros(part.shape, np.float32)
                 count[row[mine] - first, symbols[mine]] = counts[mine]
-                met = count > 0
-                kinds, total = met.sum(1, keepdims=True, dtype=np.float32), count.sum(1, keepdims=True)
                 free = below[up[first : first + ROWS]] if order else np.tile(uniform, (len(part), 1))
-                free[met] = 0
-                free *= kinds / np.maximum(free.sum(1, keepdims=True), np.float32(1e-30))
-                part[:] = (count + free) / np.maximum(total + kinds, 1) if len(mine) else uniform
+                part[:] = mixed(count, free) if len(mine) else uniform
             index.append(contexts)
             below = level
         np.log10(np.maximum(self.log, np.float32(1e-30), out=self.log), out=self.log)
-        self.log[:, -1] -= np.float32(np.log10(max(1, 256 - len(seen))))
+        self.unmet = np.float32(np.log10(max(1, 256 - len(seen))))
+        self.log[:, -1] -= self.unmet
+        self.base = base
         # step[order][state, symbol of the next older byte]: the longer context where it is kept, else the state itself
         self.steps = []
         for order in range(ORDER):
@@ -166,8 +178,12 @@ class Trie:
             self.steps.append(table.ravel())
         self.log = self.log.ravel()
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end."""
+    def score(self, texts: list[bytes], apart: list | None = None) -> np.ndarray:
+        """log10 probability of each text with its end.
+
+        With a list apart, bytes after contexts that aren't frequent are left out of it; the list gets for each text
+        how many runs these are, and their keys and times.
+        """
         x, first, size = stream(texts)
         s = self.symbol[x].astype(np.int32)
         at = spots(first, size)
@@ -175,8 +191,54 @@ class Trie:
         for order in range(ORDER):
             state = self.steps[order][state.astype(np.int64) * self.width + s[at - order - 1]]
         value = self.log[state.astype(np.int64) * self.width + s[at]].astype(np.float64)
+        if apart is not None:
+            odd = np.flatnonzero(state < self.base[ORDER])
+            value[odd] = 0
+            runs = np.zeros(len(odd), np.int64)
+            for k in range(ORDER, -1, -1):
+                runs = (runs << 8) | x[at[odd] - k]
+            owner = np.searchsorted(np.cumsum(size), odd, side="right")
+            keys = runs | np.searchsorted(self.base, state[odd], side="right") << 48  # the state's length and one
+            kinds, code = np.unique(keys, return_inverse=True)
+            both, times = np.unique(owner * max(1, len(kinds)) + code, return_counts=True)
+            apart += [np.bincount(both // max(1, len(kinds)), minlength=len(size)), kinds[both % max(1, len(kinds))] if len(kinds) else keys, times]
         return np.add.reduceat(value, np.cumsum(size) - size) if len(size) else np.empty(0)
 
+    def states(self, grams: np.ndarray) -> np.ndarray:
+        """The longest frequent context before the last byte of each run."""
+        state = np.zeros(len(grams), np.int64)
+        for order in range(ORDER):
+            state = self.steps[order][state * self.width + self.symbol[grams >> 8 * (order + 1) & 255]].astype(np.int64)
+        return state
+
+    def beyond(self, keys: np.ndarray, n: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """log10 probabilities of the last bytes of asked runs, from all training runs (keys, n) of their heads."""
+        full = (1 << 48) - 1
+        length, context, symbol = keys >> 48, (keys & full) >> 8, self.symbol[keys & 255]
+        q_length, q_context, q_symbol = asked >> 48, (asked & full) >> 8, self.symbol[asked & 255]
+        state, width = self.states(keys & full), self.width
+        value = self.log[self.states(asked & full) * width + q_symbol].astype(np.float64)
+        before = below = None
+        for order in range(1, ORDER + 1):
+            at, short = np.flatnonzero(length <= order), (1 << 8 * (order - 1)) - 1
+            contexts, first, row = np.unique(context[at] & ((1 << 8 * order) - 1), return_index=True, return_inverse=True)
+            head = length[at[first]] == order
+            free = np.empty((len(contexts), width), np.float32)
+            own = 10 ** self.log.reshape(-1, width)[state[at[first[head]]]]
+            own[:, -1] *= 10**self.unmet
+            free[head] = own
+            if not head.all():
+                free[~head] = below[np.searchsorted(before, contexts[~head] & short)]
+            count = np.bincount(row * width + symbol[at], n[at], len(contexts) * width).reshape(-1, width).astype(np.float32)
+            below, before = mixed(count, free), contexts
+            ask = np.flatnonzero(q_length <= order)
+            wanted = q_context[ask] & ((1 << 8 * order) - 1)
+            spot = np.minimum(np.searchsorted(contexts, wanted), max(0, len(contexts) - 1))
+            hit = contexts[spot] == wanted if len(contexts) else np.zeros(len(ask), bool)
+            ask, spot = ask[hit], spot[hit]
+            value[ask] = np.log10(np.maximum(below[spot, q_symbol[ask]], np.float32(1e-30))) - np.where(q_symbol[ask] == width - 1, self.unmet, 0)
+        return value
+
 
 _last: dict[str, tuple] = {}
 
@@ -195,9 +257,10 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def score_texts(docs: DataFrame, id_col: str, text_col: str, sent: Broadcast) -> DataFrame:
-    """row, id, n_tokens, base (sum over frequent words), n_known (of them), score, rare (other words with their times)."""
+    """row, id, n_tokens, base (sum over frequent words), n_known (of them), score (after frequent contexts), rare (other words
+    with their times), runs (keys of the other runs of bytes with their times)."""
     kind = dict(docs.dtypes)[id_col]
-    names = ["row", "id", "n_tokens", "base", "n_known", "score", "rare"]
+    names = ["row", "id", "n_tokens", "base", "n_known", "score", "rare", "runs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, known_hashes, logs = _model(sent)
@@ -205,11 +268,15 @@ def score_texts(docs: DataFrame, id_col: str, text_col: str, sent: Broadcast) ->
         for b in batches:
             texts = b.column(1).to_pylist()
             n_tokens, base, known, rare, score = [], [], [], [], []
+            held, keys, times = [np.zeros(1, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             ends = np.cumsum([len(t) for t in texts]) // SCORED
             for part in np.unique(ends):
                 at = np.flatnonzero(ends == part)
                 some = texts[at[0] : at[-1] + 1]
-                score += trie.score(some).tolist()
+                apart: list[np.ndarray] = []
+                score += trie.score(some, apart).tolist()
+                for all_of, part_of in zip((held, keys, times), apart, strict=True):
+                    all_of.append(part_of)
                 raw = b"\n" + b"\n".join(some).lower() + b"\n"
                 starts, stops, hashes = cut(raw)
                 spot = np.minimum(np.searchsorted(known_hashes, hashes), max(0, len(known_hashes) - 1))
@@ -225,13 +292,58 @@ def score_texts(docs: DataFrame, id_col: str, text_col: str, sent: Broadcast) ->
                     rare.append([{"word": w, "n": c} for w, c in Counter(raw[starts[k] : stops[k]] for k in odd).items()])
             pairs = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
             cols = [pa.array(range(row, row + len(texts)), pa.int64()), b.column(0), pa.array(n_tokens, pa.int64()), pa.array(base, pa.float64()), pa.array(known, pa.int64()), pa.array(score, pa.float64()), pa.array(rare, pairs)]
+            runs = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(times).astype(np.int32))], ["key", "n"])
+            cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(held)).astype(np.int32)), runs))
             row += len(texts)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = f"row long, id {kind}, n_tokens long, base double, n_known long, score double, rare array<struct<word:binary,n:bigint>>"
+    schema = f"row long, id {kind}, n_tokens long, base double, n_known long, score double, rare array<struct<word:binary,n:bigint>>, runs array<struct<key:bigint,n:int>>"
     return docs.select(id_col, utf8(text_col).alias("t")).mapInArrow(run, schema)
 
 
+def rare_runs(counts: DataFrame, sent: Broadcast) -> DataFrame:
+    """key, n of the training runs whose contexts aren't frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = _model(sent)[0]
+        for b in batches:
+            grams, n = np.asarray(b.column(0)), np.asarray(b.column(1))
+            length = np.searchsorted(trie.base, trie.states(grams), side="right")
+            at = np.flatnonzero(length <= ORDER)
+            yield pa.RecordBatch.from_arrays([pa.array(grams[at] | length[at] << 48), pa.array(n[at])], ["key", "n"])
+
+    return counts.where(F.col("gram").isNotNull()).select("gram", "n").mapInArrow(run, "key long, n long")
+
+
+def score_beyond(trained: DataFrame, asked: DataFrame, sent: Broadcast) -> DataFrame:
+    """row, gained: parts of each text's log10 probability from asked runs (key, row, n). Training runs come first in their head."""
+    head = "((key >> 48) << 40) | ((key >> 8) & (shiftleft(1L, cast(8 * (key >> 48) as int)) - 1))"
+    both = trained.select("key", F.lit(None).cast("long").alias("row"), "n").unionByName(asked.select("key", "row", F.col("n").cast("long")))
+    dealt = both.repartition(F.expr(head)).sortWithinPartitions(F.expr(f"({head}) * 2 + int(row is not null)"))
+
+    def heads(keys: np.ndarray) -> np.ndarray:
+        return keys >> 48 << 40 | (keys >> 8) & ((1 << 8 * (keys >> 48)) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = _model(sent)[0]
+        keys, times = np.empty(0, np.int64), np.empty(0, np.int64)  # training runs of the last head
+        for b in batches:
+            key, n, old = np.asarray(b.column(0)), np.asarray(b.column(2)), np.asarray(b.column(1).is_null())
+            if not len(key):
+                continue
+            keys, times = np.concatenate((keys, key[old])), np.concatenate((times, n[old]))
+            rows = np.asarray(b.column(1).drop_null())
+            if len(rows):
+                asked, code = np.unique(key[~old], return_inverse=True)
+                row, back = np.unique(rows, return_inverse=True)
+                gained = np.bincount(back, trie.beyond(keys, times, asked)[code] * n[~old], len(row))
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(gained)], ["row", "gained"])
+            last = heads(keys) == heads(key[-1:])
+            keys, times = keys[last], times[last]
+
+    return dealt.mapInArrow(run, "row long, gained double")
+
+
 def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
@@ -258,12 +370,15 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         scored = stage(score_texts(docs, id_col, text_col, sent), "scored")
     seldom = words.where(F.col("n") * 2**FREQUENT < total).withColumnRenamed("n", "c")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    more = rare.join(seldom, "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("more_known"))
+    more = rare.join(seldom, "word").select("row", (F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.col("n").alias("more_known"), F.lit(0.0).alias("gained"))
+    asked = scored.select("row", F.explode("runs").alias("r")).select("r.key", "row", "r.n")
+    gained = score_beyond(rare_runs(counts, sent), asked, sent).select("row", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("more_known"), "gained")
+    more = more.unionByName(gained).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "more_known", "gained")])
     out = scored.join(more, "row", "left")
     ends = float(np.log10(texts + 1.0))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(ends) - F.col("n_tokens") * F.lit(float(np.log10(max(1, total + kinds + 1))))
     return out.select(
         F.col("id").alias(id_col), (crc_bucket("id", 7) == 2).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + F.lit(int(texts > 0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("gained", F.lit(0.0))).alias("score"),
     )

@@ -271,6 +271,16 @@ def test_trie_gives_distributions():
     assert trie.score([b"abra"])[0] > trie.score([b"zqxv"])[0]
 
 
+@pytest.mark.parametrize("share", [4, 9])
+def test_contexts_below_the_broadcast_share_count(spark, docs, monkeypatch, share):
+    some = docs.where("doc_id % 3 = 0")
+    monkeypatch.setattr(ppm, "SHARE", 40)  # all contexts are broadcast
+    want = {r["doc_id"]: r["score"] for r in ppm.language_scores(some).collect()}
+    monkeypatch.setattr(ppm, "SHARE", share)
+    got = {r["doc_id"]: r["score"] for r in ppm.language_scores(some).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-5) for i in want)
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
