@@ -460,9 +460,10 @@ def match_boost(matches: DataFrame) -> DataFrame:
 def redos_hardening_delta(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """keys, new_pattern, old_pattern: for each new pattern the old one that it hardens with the greatest fall of risk; the first on a tie.
 
-    old: keys, old_pattern, old_seq. new: keys, new_pattern.
+    old: keys, old_pattern, old_seq. new: keys, new_pattern. Both are reduced to their different patterns before they meet.
     """
-    p = old.join(new, keys).where(redos_hardening("old_pattern", "new_pattern")).withColumn("drop", redos_risk_score("old_pattern") - redos_risk_score("new_pattern"))
+    old = old.groupBy(*keys, "old_pattern").agg(F.min(F.struct("old_seq"))["old_seq"].alias("old_seq"))
+    p = old.join(new.select(*keys, "new_pattern").distinct(), keys).where(redos_hardening("old_pattern", "new_pattern")).withColumn("drop", redos_risk_score("old_pattern") - redos_risk_score("new_pattern"))
     return first_by(p, [*keys, "new_pattern"], [F.desc("drop"), "old_seq"]).select(*keys, "new_pattern", "old_pattern", "drop")
 
 

@@ -98,6 +98,23 @@ def test_hardening(spark):
     assert row["h"]
 
 
+def test_hardening_delta_of_all_events_joins_patterns_only(spark):
+    from pyspark.sql import Window
+
+    from reviewlake.plans.queries import _shape
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    new = e.where("event_type <> 'view'").select("user_id", _shape(F.floor(F.col("event_id") / 3)).alias("new_pattern"))
+    old = e.where("event_type = 'view'").select("user_id", _shape(F.floor(F.col("event_id") / 7)).alias("old_pattern"), F.col("event_id").alias("old_seq"))
+    got = T.redos_hardening_delta(old, new, ["user_id"])
+    pairs = old.join(new, "user_id").where(C.redos_hardening("old_pattern", "new_pattern")).withColumn("drop", C.redos_risk_score("old_pattern") - C.redos_risk_score("new_pattern"))
+    first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("user_id", "new_pattern").orderBy(F.desc("drop"), "old_seq"))).where("r = 1")
+    want = first.select("user_id", "new_pattern", "old_pattern", "drop").collect()
+    assert want and sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Join", 1)[1].count("Aggregate") == 2  # both sides
+
+
 SOURCES = {
     "call": "import subprocess as sp\ndef get(req):\n    return req.args\ndef run():\n    c = 'ls ' + get(x)\n    d = f'{c} -l'\n    sp.run(d, shell=True)\n",
     "killed": "import subprocess\ndef run(a):\n    a = 'ls'\n    subprocess.run(a, shell=True)\n",
