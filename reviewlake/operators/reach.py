@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,18 +17,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def reachable(seeds: DataFrame, edges: DataFrame, keys: list[str], depth: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
+def reachable(seeds: DataFrame, edges: DataFrame, keys: list[str], depth: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """keys, node, carry: all nodes that a seed reaches along edges (src to dst), the seeds included.
 
-    Each round joins the newest nodes only; it ends when a round adds none, or at the given depth. Columns in carry go along.
+    Each round joins the newest nodes only; it ends when a round adds none. Columns in carry go along. Where a depth is
+    given and the round after it still adds nodes, that is an error.
     """
     cols = [*keys, "node", *carry]
     e = edges.select(*keys, "src", "dst").distinct()
     seen = new = checkpointed(seeds.select(cols).distinct())
-    for _ in range(depth):
+    for done in count():
         step = new.join(e.withColumnRenamed("src", "node"), [*keys, "node"]).drop("node").withColumnRenamed("dst", "node").select(cols).distinct()
         new = checkpointed(step.join(seen, cols, "left_anti"))
         if new.isEmpty():
             break
+        if done == depth:
+            raise RuntimeError(f"nodes are reached beyond {depth} rounds")
         seen = checkpointed(seen.unionByName(new))
     return seen

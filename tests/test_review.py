@@ -115,6 +115,18 @@ def test_hardening_delta_of_all_events_joins_patterns_only(spark):
     assert plan.split("Join", 1)[1].count("Aggregate") == 2  # both sides
 
 
+def test_reachability_goes_to_the_end(spark):
+    from reviewlake.operators.reach import reachable
+
+    edges = spark.createDataFrame([(1, k, k + 1) for k in range(70)] + [(1, 70, 68)], "unit int, src int, dst int").coalesce(1).cache()
+    seeds = spark.createDataFrame([(1, 0)], "unit int, node int").coalesce(1)
+    assert {r["node"] for r in reachable(seeds, edges, ["unit"]).collect()} == set(range(71))
+    short = edges.where("src < 3")
+    assert reachable(seeds, short, ["unit"], 3).count() == 4
+    with pytest.raises(RuntimeError):
+        reachable(seeds, short, ["unit"], 2)
+
+
 SOURCES = {
     "call": "import subprocess as sp\ndef get(req):\n    return req.args\ndef run():\n    c = 'ls ' + get(x)\n    d = f'{c} -l'\n    sp.run(d, shell=True)\n",
     "killed": "import subprocess\ndef run(a):\n    a = 'ls'\n    subprocess.run(a, shell=True)\n",
