@@ -776,20 +776,36 @@ def s12(spark, sf_dir):
     return doc.select("case_id", size("$.runs[0].results").alias("n_results"), size("$.runs[0].tool.driver.rules").alias("n_rules"))
 
 
+#: Events of a user in one program.
+SPAN = 1000
+
+
 @query("t7_sink_matches", EVENTS + """, d AS (SELECT user_id, line, event_type, last_value(CASE WHEN event_type IN ('click', 'view') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM e)
 SELECT user_id::VARCHAR AS unit, line AS sink_line, CASE WHEN last = 'click' THEN 0.10 ELSE 0.04 END::DOUBLE AS boost, CASE WHEN last = 'click' THEN 'input' ELSE '' END AS sources FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY line) AS r FROM d WHERE event_type = 'purchase') WHERE r = 1""")
 def t7(spark, sf_dir):
-    """A program for each user from its events in order: clicks read input, views assign a constant, purchases evaluate."""
+    """A program for each user and SPAN of its events in order: clicks read input, views assign a constant, purchases evaluate.
+
+    The last assignment before the span is its first line. The first match of a user's programs is the user's.
+    """
     from reviewlake.operators import taint as T
 
-    e = B.event_lines(spark, sf_dir)
-    code = F.when(F.col("content") == "click", "x = input()").when(F.col("content") == "view", "x = 'a'").when(F.col("content") == "purchase", "eval(x)").otherwise("pass")
-    src = e.groupBy(F.col("review_id").cast("string").alias("unit")).agg(F.sort_array(F.collect_list(F.struct("seq", code.alias("code")))).alias("l"))
-    src = src.select("unit", F.array_join(F.transform("l", lambda x: x["code"]), "\n").alias("source"), F.transform("l", lambda x: x["seq"].cast("int")).alias("changed"))
-    m = T.match_boost(T.sink_matches(T.code_facts(src)))
+    m = T.match_boost(T.sink_matches(T.code_facts(span_programs(B.event_lines(spark, sf_dir)))))
+    at = F.substring_index("unit", ":", -1).cast("long")
+    m = m.withColumns({"sink_line": at * SPAN + F.col("sink_line") - 1, "unit": F.substring_index("unit", ":", 1)})
+    m = J.first_by(m, ["unit", "rule_id"], ["sink_line"])
     return longs(m.select("unit", "sink_line", "boost", F.array_join("sources", ",").alias("sources")), "sink_line")
 
 
+def span_programs(e):
+    """unit (user:span), source, changed: at most SPAN lines, after one with the last assignment before them."""
+    code = F.when(F.col("content") == "click", "x = input()").when(F.col("content") == "view", "x = 'a'").when(F.col("content") == "purchase", "eval(x)").otherwise("pass")
+    e = J.as_of(e.withColumn("code", code), ["review_id"], ["seq"], F.col("content").isin("click", "view"), F.col("code"), "before")
+    unit = F.concat_ws(":", F.col("review_id").cast("string"), F.floor((F.col("seq") - 1) / SPAN).cast("string")).alias("unit")
+    src = e.where("review_id is not null").groupBy(unit).agg(F.sort_array(F.collect_list(F.struct("seq", "code", "before"))).alias("l"))
+    lines = F.concat(F.array(F.coalesce(F.get("l", F.lit(0))["before"], F.lit("pass"))), F.transform("l", lambda x: x["code"]))
+    return src.select("unit", F.array_join(lines, "\n").alias("source"), F.sequence(F.lit(1), F.size("l") + 1).alias("changed"))
+
+
 @query("review_diffs", None)
 def review_diffs(spark, sf_dir):
     """The review of a diff for each document by the text rules: lines, windows, masks, hits, first of equal ones, findings."""

@@ -127,6 +127,21 @@ def test_reachability_goes_to_the_end(spark):
         reachable(seeds, short, ["unit"], 2)
 
 
+def test_programs_are_bounded_and_know_the_assignment_before(spark, monkeypatch):
+    import duckdb
+
+    from reviewlake.plans import bindings, queries
+
+    monkeypatch.setattr(queries, "SPAN", 3)
+    sf = "/root/testdata/sf0.001"
+    programs = [r["source"].split("\n") for r in queries.span_programs(bindings.event_lines(spark, sf)).collect()]
+    assert max(map(len, programs)) == 4 and sum(map(len, programs)) - len(programs) == spark.read.parquet(f"{sf}/events.parquet").count()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    want = con.execute(queries.SQL["t7_sink_matches"]).fetchall()
+    assert sorted(map(tuple, queries.t7(spark, sf).collect())) == sorted(want)
+
+
 SOURCES = {
     "call": "import subprocess as sp\ndef get(req):\n    return req.args\ndef run():\n    c = 'ls ' + get(x)\n    d = f'{c} -l'\n    sp.run(d, shell=True)\n",
     "killed": "import subprocess\ndef run(a):\n    a = 'ls'\n    subprocess.run(a, shell=True)\n",
