@@ -1,15 +1,16 @@
 """Language-model scores by prediction by partial matching over bytes.
 
 Training counts every run of ORDER + 1 bytes of the whole training corpus; from these follow the counts of all
-shorter contexts. Escapes are those of method C; what a longer context has seen is excluded from the shorter ones.
-As the trained model is fixed, the distribution of each context is worked out once, and a text's code length is a
-sum of look-ups along its trie path.
+shorter runs. They are the nodes of a trie that is kept as rows: a node is a context and the byte after it, a level is the
+context's length. Escapes are those of method C; what a longer context has seen is excluded from the shorter ones.
+A byte that a context has seen n times of all its T, among K different ones, has probability n / (T + K). Any other has
+the context's escape weight, K / (T + K) over the share that the shorter context leaves to bytes not seen here, times its
+probability after the shorter context. A byte seen after a context was seen after the shorter ones too, so both numbers
+follow from counts of two levels, and Spark works them out level by level. Every run counts, however rare.
 
-Every context counts. One that holds at least 1 / 2**SHARE of all training bytes is frequent; there are at most
-2**SHARE of each length, and their trie is broadcast. With a context its shorter ones are frequent too, so the trie's
-distributions are exact. Bytes whose five before them are no frequent context go by Spark, one row a text and run,
-to the training runs of the same head: the shortest end of the context that isn't frequent. A head has less than
-1 / 2**SHARE of the training bytes, and its contexts are worked out there on top of the trie.
+Most bytes of a text are found on the longest level. Its commonest runs, 2**SHARE at most, are broadcast as two flat arrays,
+and each batch of texts looks its different runs up there. The other runs, one row a text and run, meet the whole trie in
+one join by Spark: rare runs, and those of held-out texts that training never met.
 
 The unigram base needs the count of every word of every text. Words with at least 1 / 2**FREQUENT of all
 tokens are at most 2**FREQUENT many and are broadcast; the rest are joined by Spark, one row a text and word.
@@ -23,325 +24,244 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.llm.common import crc_bucket, small_batches, stage, utf8
 from reviewlake.llm.words import cut
 
-ORDER, SHARE, FREQUENT = 5, 18, 18
+#: A context's bytes at most (five fit the 48 bits of a run's number), and the logarithms of how many runs and words are broadcast.
+ORDER, SHARE, FREQUENT = 5, 22, 18
 #: Never a byte of UTF-8: ends a text, and stands before it.
 END = 0xFF
-#: Bytes that are counted and scored at once, contexts that are worked out at once, and different words that a task sums before it sends them.
-BATCH, SCORED, ROWS, WORDS = 4_000_000, 1_000_000, 8192, 150_000
+#: Bytes that are counted or scored at once, and different runs and words that a task sums before it sends them.
+BATCH, RUNS, WORDS = 1_000_000, 1_000_000, 150_000
 
 
-def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The lower-cased texts in one array, each after ORDER ends and before one; start and length (with its end) of each."""
+def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the run that ends at each byte of the lower-cased texts and their ends; the bytes of each text with its end."""
     pad = bytes([END]) * ORDER
-    raw = b"".join(x for t in texts for x in (pad, t.lower(), b"\xff"))
     size = np.array([len(t) + 1 for t in texts], np.int64)
-    first = np.cumsum(size + ORDER) - size
-    return np.frombuffer(raw, np.uint8), first, size
-
-
-def spots(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places of all bytes that are predicted."""
-    through = np.cumsum(size)
-    return np.repeat(first - through + size, size) + np.arange(through[-1] if len(through) else 0)
-
-
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Different runs of ORDER + 1 bytes as numbers, the predicted byte last, and their counts."""
-    x, first, size = stream(texts)
-    at = spots(first, size)
-    keys = np.zeros(len(at), np.int64)
-    for k in range(ORDER, -1, -1):
-        keys = (keys << 8) | x[at - k]
-    return np.unique(keys, return_counts=True)
+    raw = b"".join([x for t in texts for x in (pad, t.lower(), b"\xff")]) + bytes(8)
+    first = np.cumsum(size + ORDER) - size - ORDER  # where the run of a text's first byte starts
+    before = np.cumsum(size) - size
+    at = np.repeat(first - before, size) + np.arange(int(size.sum()))
+    eight = np.ndarray((len(raw) - 7,), ">u8", raw, 0, (1,))  # the eight bytes from each place on
+    return (eight[at] >> np.uint64(64 - 8 * (ORDER + 1))).astype(np.int64), size
+
+
+def in_batches(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """The texts in their order, in lists of about `most` bytes; a longer text is a list of its own."""
+    part: list[bytes] = []
+    size = 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def gathered(docs: DataFrame, text_col: str) -> DataFrame:
     """gram or word, n: counts over all of docs. A text adds one to the row with neither. Tasks send sums."""
+    names = ["gram", "word", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _last.clear()  # a worker that has scored before holds the model of that time
         words: Counter[bytes] = Counter()
         texts = 0
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merge() -> None:
+            grams, back = np.unique(np.concatenate([k[0] for k in kept]), return_inverse=True)
+            kept[:] = [(grams, np.bincount(back, np.concatenate([k[1] for k in kept]), len(grams)).astype(np.int64))]
 
-        def rows(g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(g), pa.nulls(len(g), pa.binary()), pa.array(n)], ["gram", "word", "n"])
+        def rows() -> pa.RecordBatch:
+            grams, n = kept.pop()
+            return pa.RecordBatch.from_arrays([pa.array(grams), pa.nulls(len(grams), pa.binary()), pa.array(n)], names)
 
         def sums() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["gram", "word", "n"])
+            out = [pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())]
             words.clear()
-            return out
-
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+            return pa.RecordBatch.from_arrays(out, names)
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            g, back = np.unique(np.concatenate([k[0] for k in kept]), return_inverse=True)
-            return g, np.bincount(back, np.concatenate([k[1] for k in kept]), len(g)).astype(np.int64)
-
-        part: list[bytes] = []
-        size = 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                texts += 1
-                words.update(t.lower().split())
-                part.append(t)
-                size += len(t)
-                if size > BATCH:
-                    kept.append(grams(part))
-                    part, size = [], 0
+            for part in in_batches(b.column(0).to_pylist(), BATCH):
+                texts += len(part)
+                for t in part:
+                    words.update(t.lower().split())
                 if len(words) > WORDS:
                     yield sums()
-            if len(kept) > 4:
-                kept[:] = [merged()]
-                if len(kept[0][0]) > 3_000_000:
-                    yield rows(*kept.pop())
-        if part:
-            kept.append(grams(part))
+                kept.append(np.unique(runs_of(part)[0], return_counts=True))
+                if sum(len(k[0]) for k in kept[1:]) > RUNS:
+                    merge()
+                    if len(kept[0][0]) > RUNS:
+                        yield rows()
         if kept:
-            yield rows(*merged())
+            merge()
+            yield rows()
         yield sums()
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([texts], pa.int64())], ["gram", "word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([texts], pa.int64())], names)
 
     sent = docs.select(utf8(text_col).alias("t")).mapInArrow(run, "gram long, word binary, n long")
     return sent.groupBy("gram", "word").agg(F.sum("n").alias("n"))
 
 
-def trie_rows(counts: DataFrame) -> DataFrame:
-    """k (length of the context), context, byte, n of all frequent contexts, from the counts of the longest runs."""
-    runs = counts.where(F.col("gram").isNotNull())
-    part = lambda k: F.struct(F.lit(k).alias("k"), F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("context"))
-    each = runs.select(F.explode(F.array(*[part(k) for k in range(ORDER + 1)])).alias("c"), F.col("gram").bitwiseAND(F.lit(255)).alias("byte"), "n")
-    by = each.groupBy("c.k", "c.context", "byte").agg(F.sum("n").alias("n"))
-    whole = int(runs.agg(F.sum("n")).first()[0] or 0)
-    held = by.groupBy("k", "context").agg(F.sum("n").alias("held")).where(F.col("held") * 2**SHARE >= whole)
-    return by.join(held.select("k", "context"), ["k", "context"])
-
-
-def mixed(count: np.ndarray, free: np.ndarray) -> np.ndarray:
-    """Distributions of contexts from their counts and the distributions of the contexts a byte shorter, which are changed."""
-    met = count > 0
-    kinds, total = met.sum(1, keepdims=True, dtype=np.float32), count.sum(1, keepdims=True)
-    free[met] = 0
-    free *= kinds / np.maximum(free.sum(1, keepdims=True), np.float32(1e-30))
-    return (count + free) / np.maximum(total + kinds, 1)
-
-
-class Trie:
-    """Distributions of all frequent contexts, and tables that lead from a context to the one a byte longer."""
-
-    def __init__(self, k: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray) -> None:
-        seen = np.unique(byte[k == 0])
-        self.symbol = np.full(256, len(seen), np.int64)  # all bytes never met share the last symbol
-        self.symbol[seen] = np.arange(len(seen))
-        self.width = width = len(seen) + 1
-        uniform = np.full(width, 1 / 256, np.float32)
-        uniform[-1] = (256 - len(seen)) / 256
-        index = []
-        sizes = [max(1, len(np.unique(context[k == order]))) if not order else len(np.unique(context[k == order])) for order in range(ORDER + 1)]
-        base = np.concatenate(([0], np.cumsum(sizes)))
-        self.log = np.empty((base[-1], width), np.float32)
-        below = None  # the level of shorter contexts, as probabilities
-        for order in range(ORDER + 1):
-            at = k == order
-            contexts, row = np.unique(context[at], return_inverse=True)
-            if not order and not len(contexts):  # nothing was trained on
-                contexts = np.zeros(1, np.int64)
-            symbols, counts = self.symbol[byte[at]], n[at].astype(np.float32)
-            up = np.searchsorted(index[-1], contexts & ((1 << 8 * (order - 1)) - 1)) if order else None
-            sort = np.argsort(row, kind="stable")
-            ends = np.searchsorted(row[sort], np.arange(0, len(contexts) + ROWS, ROWS))
-            level = self.log[base[order] : base[order + 1]]
-            for c, first in enumerate(range(0, len(contexts), ROWS)):
-                part = level[first : first + ROWS]
-                mine = sort[ends[c] : ends[c + 1]]
-                count = np.zeros(part.shape, np.float32)
-                count[row[mine] - first, symbols[mine]] = counts[mine]
-                free = below[up[first : first + ROWS]] if order else np.tile(uniform, (len(part), 1))
-                part[:] = mixed(count, free) if len(mine) else uniform
-            index.append(contexts)
-            below = level
-        np.log10(np.maximum(self.log, np.float32(1e-30), out=self.log), out=self.log)
-        self.unmet = np.float32(np.log10(max(1, 256 - len(seen))))
-        self.log[:, -1] -= self.unmet
-        self.base = base
-        # step[order][state, symbol of the next older byte]: the longer context where it is kept, else the state itself
-        self.steps = []
-        for order in range(ORDER):
-            table = np.repeat(np.arange(base[order + 1], dtype=np.int32)[:, None], width, 1)
-            longer = index[order + 1]
-            short = np.searchsorted(index[order], longer & ((1 << 8 * order) - 1)) + base[order]
-            table[short, self.symbol[longer >> 8 * order]] = base[order + 1] + np.arange(len(longer))
-            self.steps.append(table.ravel())
-        self.log = self.log.ravel()
-
-    def score(self, texts: list[bytes], apart: list | None = None) -> np.ndarray:
-        """log10 probability of each text with its end.
-
-        With a list apart, bytes after contexts that aren't frequent are left out of it; the list gets for each text
-        how many runs these are, and their keys and times.
-        """
-        x, first, size = stream(texts)
-        s = self.symbol[x].astype(np.int32)
-        at = spots(first, size)
-        state = np.zeros(len(at), np.int32)
-        for order in range(ORDER):
-            state = self.steps[order][state.astype(np.int64) * self.width + s[at - order - 1]]
-        value = self.log[state.astype(np.int64) * self.width + s[at]].astype(np.float64)
-        if apart is not None:
-            odd = np.flatnonzero(state < self.base[ORDER])
-            value[odd] = 0
-            runs = np.zeros(len(odd), np.int64)
-            for k in range(ORDER, -1, -1):
-                runs = (runs << 8) | x[at[odd] - k]
-            owner = np.searchsorted(np.cumsum(size), odd, side="right")
-            keys = runs | np.searchsorted(self.base, state[odd], side="right") << 48  # the state's length and one
-            kinds, code = np.unique(keys, return_inverse=True)
-            both, times = np.unique(owner * max(1, len(kinds)) + code, return_counts=True)
-            apart += [np.bincount(both // max(1, len(kinds)), minlength=len(size)), kinds[both % max(1, len(kinds))] if len(kinds) else keys, times]
-        return np.add.reduceat(value, np.cumsum(size) - size) if len(size) else np.empty(0)
-
-    def states(self, grams: np.ndarray) -> np.ndarray:
-        """The longest frequent context before the last byte of each run."""
-        state = np.zeros(len(grams), np.int64)
-        for order in range(ORDER):
-            state = self.steps[order][state * self.width + self.symbol[grams >> 8 * (order + 1) & 255]].astype(np.int64)
-        return state
-
-    def beyond(self, keys: np.ndarray, n: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        """log10 probabilities of the last bytes of asked runs, from all training runs (keys, n) of their heads."""
-        full = (1 << 48) - 1
-        length, context, symbol = keys >> 48, (keys & full) >> 8, self.symbol[keys & 255]
-        q_length, q_context, q_symbol = asked >> 48, (asked & full) >> 8, self.symbol[asked & 255]
-        state, width = self.states(keys & full), self.width
-        value = self.log[self.states(asked & full) * width + q_symbol].astype(np.float64)
-        before = below = None
-        for order in range(1, ORDER + 1):
-            at, short = np.flatnonzero(length <= order), (1 << 8 * (order - 1)) - 1
-            contexts, first, row = np.unique(context[at] & ((1 << 8 * order) - 1), return_index=True, return_inverse=True)
-            head = length[at[first]] == order
-            free = np.empty((len(contexts), width), np.float32)
-            own = 10 ** self.log.reshape(-1, width)[state[at[first[head]]]]
-            own[:, -1] *= 10**self.unmet
-            free[head] = own
-            if not head.all():
-                free[~head] = below[np.searchsorted(before, contexts[~head] & short)]
-            count = np.bincount(row * width + symbol[at], n[at], len(contexts) * width).reshape(-1, width).astype(np.float32)
-            below, before = mixed(count, free), contexts
-            ask = np.flatnonzero(q_length <= order)
-            wanted = q_context[ask] & ((1 << 8 * order) - 1)
-            spot = np.minimum(np.searchsorted(contexts, wanted), max(0, len(contexts) - 1))
-            hit = contexts[spot] == wanted if len(contexts) else np.zeros(len(ask), bool)
-            ask, spot = ask[hit], spot[hit]
-            value[ask] = np.log10(np.maximum(below[spot, q_symbol[ask]], np.float32(1e-30))) - np.where(q_symbol[ask] == width - 1, self.unmet, 0)
-        return value
-
-
-_last: dict[str, tuple] = {}
-
-
-def _model(sent: Broadcast) -> tuple[Trie, np.ndarray, np.ndarray]:
-    """The trie, and hashes of frequent words in order with their logarithms. Built once for each worker process."""
-    value = sent.value
-    if _last.get("of") is not value:
-        _last.clear()
-        _last.update(of=value, model=(Trie(*value[0]), *value[1]))
-    return _last["model"]
+def _low(col: Column | str, count: int) -> Column:
+    """The last bytes of a run's number."""
+    return (F.col(col) if isinstance(col, str) else col).bitwiseAND(F.lit((1 << 8 * count) - 1))
+
+
+def trie_levels(counts: DataFrame) -> list[DataFrame]:
+    """For each length of context: gram (its bytes and the one after), context, n, total (T + K), escape (the context's weight).
+
+    counts: gram, n of the longest runs. Each level but the longest is staged; the shares of bytes add up to exactly one.
+    """
+    grams = [counts.select("gram", "n")]
+    for k in range(ORDER - 1, -1, -1):
+        grams.insert(0, stage(grams[0].groupBy(_low("gram", k + 1).alias("gram")).agg(F.sum("n").alias("n")), "grams"))
+    levels: list[DataFrame] = []
+    own = Window.partitionBy("context")
+    for k, level in enumerate(grams):
+        if k:
+            shorter = levels[-1].select(F.col("gram").alias("short"), F.col("n").alias("short_n"), F.col("total").alias("short_total"))
+            level = level.withColumn("short", _low("gram", k)).join(shorter, "short")
+        else:  # before the shortest level all 256 bytes are alike
+            level = level.withColumns({"short_n": F.lit(1).cast("long"), "short_total": F.lit(256).cast("long")})
+        level = level.withColumn("context", F.shiftright("gram", 8)).withColumns({"kinds": F.count(F.lit(1)).over(own), "held": F.sum("n").over(own), "taken": F.sum("short_n").over(own)})
+        total, free = F.col("held") + F.col("kinds"), F.greatest(F.col("short_total") - F.col("taken"), F.lit(1))
+        level = level.select("gram", "context", "n", total.alias("total"), (F.col("kinds") / total * F.col("short_total") / free).alias("escape"))
+        levels.append(stage(level, "level"))
+    return levels
+
+
+def _key(kind: int, level: int, bits: Column) -> Column:
+    return bits + F.lit((kind << 56) + (level << 48))
+
+
+def trie_table(levels: list[DataFrame]) -> DataFrame:
+    """key, value: log10 of the probability of each node, and of the escape weight of each context."""
+    parts = []
+    for k, level in enumerate(levels):
+        parts.append(level.select(_key(0, k, F.col("gram")).alias("key"), F.log10(F.col("n") / F.col("total")).alias("value")))
+        parts.append(level.groupBy("context").agg(F.log10(F.min("escape")).alias("value")).select(_key(1, k, F.col("context")).alias("key"), "value"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def gram_scores(asked: DataFrame, table: DataFrame) -> DataFrame:
+    """gram, value: log10 probability of the last byte of each asked run. asked: gram, each once."""
+    probes = [F.struct(F.lit(k).alias("level"), F.lit(kind).alias("kind"), _key(kind, k, _low("gram", k + 1) if not kind else _low(F.shiftright("gram", 8), k)).alias("key")) for k in range(ORDER + 1) for kind in (0, 1)]
+    each = asked.select("gram", F.explode(F.array(*probes)).alias("p")).select("gram", "p.*").join(table, "key")
+    met = F.max(F.when(F.col("kind") == 0, F.struct("level", "value"))).alias("met")
+    escapes = F.collect_list(F.when(F.col("kind") == 1, F.struct("level", "value"))).alias("escapes")  # one for each level at most
+    found = asked.join(each.groupBy("gram").agg(met, escapes), "gram", "left")
+    deep, least = F.coalesce("met.level", F.lit(-1)), F.coalesce("met.value", F.lit(float(-np.log10(256))))
+    escaped = F.aggregate(F.filter("escapes", lambda e: e["level"] > deep), F.lit(0.0), lambda a, e: a + e["value"])
+    return found.select("gram", (least + F.coalesce(escaped, F.lit(0.0))).alias("value"))
+
+
+_last: dict[str, object] = {}
+
+
+def _model(sent: Broadcast) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Broadcast runs in order with their logarithms, and hashes of frequent words in order with theirs."""
+    _last.update(of=sent.value)
+    return _last["of"]
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return cut(b"\n" + b"\n".join(words) + b"\n")[2] if words else np.empty(0, np.uint64)
 
 
+def look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are known, and their values (0 for others)."""
+    if not len(known):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    spot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    found = known[spot] == keys
+    return found, np.where(found, values[spot], 0.0)
+
+
 def score_texts(docs: DataFrame, id_col: str, text_col: str, sent: Broadcast) -> DataFrame:
-    """row, id, n_tokens, base (sum over frequent words), n_known (of them), score (after frequent contexts), rare (other words
-    with their times), runs (keys of the other runs of bytes with their times)."""
+    """row, id, n_tokens, base (sum over frequent words), n_known (of them), score (of broadcast runs), rare (other words
+    with their times), runs (numbers of the other runs of bytes with their times)."""
     kind = dict(docs.dtypes)[id_col]
     names = ["row", "id", "n_tokens", "base", "n_known", "score", "rare", "runs"]
+    pairs = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+
+    def bytes_of(texts: list[bytes]) -> tuple[list[float], np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, and how many other runs each text has, which, and how often."""
+        known, logs = _model(sent)[:2]
+        grams, size = runs_of(texts)
+        kinds, code = np.unique(grams, return_inverse=True)
+        found, value = look_up(kinds, known, logs)
+        score = np.add.reduceat(value[code], np.cumsum(size) - size).tolist()
+        odd = np.flatnonzero(~found[code])
+        owner = np.searchsorted(np.cumsum(size), odd, side="right")
+        both, times = np.unique(owner * np.int64(len(kinds)) + code[odd], return_counts=True)
+        return score, np.bincount(both // len(kinds), minlength=len(texts)), kinds[both % len(kinds)], times
+
+    def words_of(texts: list[bytes]) -> list[tuple[int, float, int, list[dict]]]:
+        """Tokens, sum over frequent words, how many these are, and the other words of each text."""
+        raw = b"\n" + b"\n".join(texts).lower() + b"\n"
+        starts, stops, hashes = cut(raw)
+        found, value = look_up(hashes, *_model(sent)[2:])
+        border = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))))
+        sums, seen = np.concatenate(([0.0], np.cumsum(value))), np.concatenate(([0], np.cumsum(found)))
+        out = []
+        for first, last in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
+            known = int(seen[last] - seen[first])
+            odd = (np.flatnonzero(~found[first:last]) + first).tolist() if known < last - first else []
+            out.append((last - first + 1, float(sums[last] - sums[first]), known, [{"word": w, "n": c} for w, c in Counter(raw[starts[k] : stops[k]] for k in odd).items()]))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known_hashes, logs = _model(sent)
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for b in batches:
-            texts = b.column(1).to_pylist()
-            n_tokens, base, known, rare, score = [], [], [], [], []
-            held, keys, times = [np.zeros(1, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            ends = np.cumsum([len(t) for t in texts]) // SCORED
-            for part in np.unique(ends):
-                at = np.flatnonzero(ends == part)
-                some = texts[at[0] : at[-1] + 1]
-                apart: list[np.ndarray] = []
-                score += trie.score(some, apart).tolist()
-                for all_of, part_of in zip((held, keys, times), apart, strict=True):
-                    all_of.append(part_of)
-                raw = b"\n" + b"\n".join(some).lower() + b"\n"
-                starts, stops, hashes = cut(raw)
-                spot = np.minimum(np.searchsorted(known_hashes, hashes), max(0, len(known_hashes) - 1))
-                found = known_hashes[spot] == hashes if len(known_hashes) else np.zeros(len(hashes), bool)
-                value = np.where(found, logs[spot], 0.0) if len(logs) else np.zeros(len(hashes))
-                border = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(t) + 1 for t in some]))))
-                sums, seen = np.concatenate(([0.0], np.cumsum(value))), np.concatenate(([0], np.cumsum(found)))
-                for first, last in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
-                    n_tokens.append(last - first + 1)
-                    base.append(float(sums[last] - sums[first]))
-                    known.append(int(seen[last] - seen[first]))
-                    odd = (np.flatnonzero(~found[first:last]) + first).tolist() if known[-1] < last - first else []
-                    rare.append([{"word": w, "n": c} for w, c in Counter(raw[starts[k] : stops[k]] for k in odd).items()])
-            pairs = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-            cols = [pa.array(range(row, row + len(texts)), pa.int64()), b.column(0), pa.array(n_tokens, pa.int64()), pa.array(base, pa.float64()), pa.array(known, pa.int64()), pa.array(score, pa.float64()), pa.array(rare, pairs)]
-            runs = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(times).astype(np.int32))], ["key", "n"])
-            cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(held)).astype(np.int32)), runs))
-            row += len(texts)
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    schema = f"row long, id {kind}, n_tokens long, base double, n_known long, score double, rare array<struct<word:binary,n:bigint>>, runs array<struct<key:bigint,n:int>>"
+            at = 0
+            for some in in_batches(b.column(1).to_pylist(), BATCH):
+                score, held, grams, times = bytes_of(some)
+                n_tokens, base, known, rare = zip(*words_of(some), strict=True)
+                runs = pa.StructArray.from_arrays([pa.array(grams), pa.array(times.astype(np.int32))], ["gram", "n"])
+                cols = [
+                    pa.array(range(row, row + len(some)), pa.int64()), b.column(0).slice(at, len(some)), pa.array(n_tokens, pa.int64()), pa.array(base, pa.float64()), pa.array(known, pa.int64()),
+                    pa.array(score, pa.float64()), pa.array(rare, pairs), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(held))).astype(np.int32)), runs),
+                ]
+                row, at = row + len(some), at + len(some)
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    schema = f"row long, id {kind}, n_tokens long, base double, n_known long, score double, rare array<struct<word:binary,n:bigint>>, runs array<struct<gram:bigint,n:int>>"
     return docs.select(id_col, utf8(text_col).alias("t")).mapInArrow(run, schema)
 
 
-def rare_runs(counts: DataFrame, sent: Broadcast) -> DataFrame:
-    """key, n of the training runs whose contexts aren't frequent."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _model(sent)[0]
-        for b in batches:
-            grams, n = np.asarray(b.column(0)), np.asarray(b.column(1))
-            length = np.searchsorted(trie.base, trie.states(grams), side="right")
-            at = np.flatnonzero(length <= ORDER)
-            yield pa.RecordBatch.from_arrays([pa.array(grams[at] | length[at] << 48), pa.array(n[at])], ["key", "n"])
-
-    return counts.where(F.col("gram").isNotNull()).select("gram", "n").mapInArrow(run, "key long, n long")
-
-
-def score_beyond(trained: DataFrame, asked: DataFrame, sent: Broadcast) -> DataFrame:
-    """row, gained: parts of each text's log10 probability from asked runs (key, row, n). Training runs come first in their head."""
-    head = "((key >> 48) << 40) | ((key >> 8) & (shiftleft(1L, cast(8 * (key >> 48) as int)) - 1))"
-    both = trained.select("key", F.lit(None).cast("long").alias("row"), "n").unionByName(asked.select("key", "row", F.col("n").cast("long")))
-    dealt = both.repartition(F.expr(head)).sortWithinPartitions(F.expr(f"({head}) * 2 + int(row is not null)"))
-
-    def heads(keys: np.ndarray) -> np.ndarray:
-        return keys >> 48 << 40 | (keys >> 8) & ((1 << 8 * (keys >> 48)) - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _model(sent)[0]
-        keys, times = np.empty(0, np.int64), np.empty(0, np.int64)  # training runs of the last head
-        for b in batches:
-            key, n, old = np.asarray(b.column(0)), np.asarray(b.column(2)), np.asarray(b.column(1).is_null())
-            if not len(key):
-                continue
-            keys, times = np.concatenate((keys, key[old])), np.concatenate((times, n[old]))
-            rows = np.asarray(b.column(1).drop_null())
-            if len(rows):
-                asked, code = np.unique(key[~old], return_inverse=True)
-                row, back = np.unique(rows, return_inverse=True)
-                gained = np.bincount(back, trie.beyond(keys, times, asked)[code] * n[~old], len(row))
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(gained)], ["row", "gained"])
-            last = heads(keys) == heads(key[-1:])
-            keys, times = keys[last], times[last]
-
-    return dealt.mapInArrow(run, "row long, gained double")
+def common_grams(longest: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest runs in order and their logarithms: all of at least some power of two, 2**SHARE runs at most."""
+    sizes = longest.groupBy(F.floor(F.log2("n")).alias("power")).count().orderBy(F.desc("power")).collect()  # 63 rows at most
+    least, held = None, 0
+    for r in sizes:
+        held += r["count"]
+        if held > 2**SHARE:
+            break
+        least = 1 << r["power"]
+    if least is None:
+        return np.empty(0, np.int64), np.empty(0, np.float32)
+    rows = longest.where(F.col("n") >= least).select("gram", F.log10(F.col("n") / F.col("total")).cast("float").alias("value")).toArrow()
+    grams, logs = np.asarray(rows.column("gram")), np.asarray(rows.column("value"))
+    order = np.argsort(grams)
+    return grams[order], logs[order]
+
+
+def common_words(words: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order of the words with a share of 1 / 2**FREQUENT, 2**FREQUENT words at most, and logarithms of their counts and one."""
+    often = words.where(F.col("n") * 2**FREQUENT >= total).select("word", "n").toArrow()
+    hashes, logs = word_hashes(often.column("word").to_pylist()), np.log10(np.asarray(often.column("n")) + 1.0)
+    order = np.argsort(hashes)
+    return hashes[order], logs[order]
 
 
 def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,26 +279,25 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total, texts = int(sums[0] or 0), int(sums[2] or 0)
     kinds = int(sums[1] or 0) + (texts > 0)
     words = words.where(F.col("word").isNotNull())
-    often = words.where(F.col("n") * 2**FREQUENT >= total).select("word", "n").toArrow()  # 2**FREQUENT rows at most
-    hashes, logs = word_hashes(often.column("word").to_pylist()), np.log10(np.asarray(often.column("n")) + 1.0)
-    order = np.argsort(hashes)
-    trie = trie_rows(counts).toArrow()  # (ORDER + 1) * 2**SHARE contexts at most
-    kinds_of = {"k": np.uint8, "context": np.int64, "byte": np.uint8, "n": np.float32}
-    sent = spark.sparkContext.broadcast((tuple(np.asarray(trie.column(c)).astype(t) for c, t in kinds_of.items()), (hashes[order], logs[order])))
-
+    levels = trie_levels(counts.where(F.col("gram").isNotNull()))
+    sent = spark.sparkContext.broadcast((*common_grams(levels[-1]), *common_words(words, total)))
     with small_batches(spark):
         scored = stage(score_texts(docs, id_col, text_col, sent), "scored")
+    sent.destroy()  # what follows is Spark's alone
+
     seldom = words.where(F.col("n") * 2**FREQUENT < total).withColumnRenamed("n", "c")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    more = rare.join(seldom, "word").select("row", (F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.col("n").alias("more_known"), F.lit(0.0).alias("gained"))
-    asked = scored.select("row", F.explode("runs").alias("r")).select("r.key", "row", "r.n")
-    gained = score_beyond(rare_runs(counts, sent), asked, sent).select("row", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("more_known"), "gained")
+    nothing, none = F.lit(0.0), F.lit(0).cast("long")
+    more = rare.join(seldom, "word").select("row", (F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.col("n").alias("more_known"), nothing.alias("gained"))
+    asked = scored.select("row", F.explode("runs").alias("r")).select("row", "r.gram", "r.n")
+    values = stage(gram_scores(asked.select("gram").distinct(), trie_table(levels)), "values")
+    gained = asked.join(values, "gram").select("row", nothing.alias("more"), none.alias("more_known"), (F.col("n") * F.col("value")).alias("gained"))
     more = more.unionByName(gained).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "more_known", "gained")])
     out = scored.join(more, "row", "left")
     ends = float(np.log10(texts + 1.0))
-    base = F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(ends) - F.col("n_tokens") * F.lit(float(np.log10(max(1, total + kinds + 1))))
+    base = F.col("base") + F.coalesce("more", nothing) + F.lit(ends) - F.col("n_tokens") * F.lit(float(np.log10(max(1, total + kinds + 1))))
     return out.select(
         F.col("id").alias(id_col), (crc_bucket("id", 7) == 2).alias("held_out"), "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + F.lit(int(texts > 0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("gained", F.lit(0.0))).alias("score"),
+        (F.col("n_known") + F.coalesce("more_known", none) + F.lit(int(texts > 0))).cast("long").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("gained", nothing)).alias("score"),
     )

@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -256,19 +257,50 @@ def test_language_scores(docs, rows, empty):
     assert ppm.language_scores(empty).count() == 0
 
 
-def test_trie_gives_distributions():
-    texts = [b"abracadabra", b"abrasive", "ébène".encode(), b""]
-    g, n = ppm.grams(texts)
-    k, c, b, m = [], [], [], []
-    for order in range(ppm.ORDER + 1):
-        for key, times in Counter({(int(x >> 8) & ((1 << 8 * order) - 1), int(x & 255)): 0 for x in g}).items():
-            times = int(n[[(int(x >> 8) & ((1 << 8 * order) - 1), int(x & 255)) == key for x in g]].sum())
-            k.append(order), c.append(key[0]), b.append(key[1]), m.append(times)
-    trie = ppm.Trie(*map(np.array, (k, c, b, m)))
-    rows = 10 ** trie.log.reshape(-1, trie.width).astype(float)
-    rows[:, -1] *= 256 - (trie.width - 1)
-    assert np.allclose(rows.sum(1), 1, atol=1e-4)
-    assert trie.score([b"abra"])[0] > trie.score([b"zqxv"])[0]
+def ppm_by_hand(texts, asked, order=5):
+    """log10 probabilities by counting with plain dictionaries: method C with exclusion."""
+    seen: dict = {}
+    for t in texts:
+        s = [255] * order + list(t.lower()) + [255]
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                c = seen.setdefault(tuple(s[i - k : i]), Counter())
+                c[s[i]] += 1
+
+    @lru_cache(None)
+    def spread(context):
+        short = spread(context[1:]) if context else (1 / 256,) * 256
+        c = seen.get(context)
+        if not c:
+            return short
+        total, free = sum(c.values()) + len(c), sum(p for b, p in enumerate(short) if b not in c)
+        return tuple(c[b] / total if b in c else len(c) / total * p / free for b, p in enumerate(short))
+
+    out = []
+    for t in asked:
+        s = [255] * order + list(t.lower()) + [255]
+        spreads = [spread(tuple(s[i - order : i])) for i in range(order, len(s))]
+        assert all(abs(sum(p) - 1) < 1e-9 for p in spreads[:20])
+        out.append(sum(math.log10(p[b]) for p, b in zip(spreads, s[order:], strict=True)))
+    return out
+
+
+@pytest.mark.parametrize("share", [40, 3])
+def test_scores_are_those_of_a_plain_model(spark, monkeypatch, share):
+    monkeypatch.setattr(ppm, "SHARE", share)
+    texts = ["abracadabra", "Abrasive", "ébène", "", None, "zqxv \x01", "a" * 3000, "the cat sat on the mat", "the cat sat on the hat", "abra", "abra", "0" * 9, "ÿĀ日本"]
+    ids = list(range(40, 40 + len(texts)))
+    got = {r["doc_id"]: r["score"] for r in ppm.language_scores(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()}
+    raw = [(t or "").encode() for t in texts]
+    train = [t for i, t in zip(ids, raw, strict=True) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert len(train) < len(raw)
+    assert all(math.isclose(got[i], w, rel_tol=1e-6) for i, w in zip(ids, ppm_by_hand(train, raw), strict=True))
+
+
+def test_without_training_rows_all_bytes_are_alike(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = ppm.language_scores(spark.createDataFrame([(i, "ab") for i in held], "doc_id long, text string")).collect()
+    assert got and all(r["held_out"] and math.isclose(r["score"], -3 * math.log10(256)) and (r["n_tokens"], r["n_known"], r["train_tokens"]) == (2, 0, 0) for r in got)
 
 
 @pytest.mark.parametrize("share", [4, 9])
