@@ -37,21 +37,60 @@ SPAN = "array<struct<kind:string,start:int,end:int,value:string,before:string,af
 FEATURES = ["generator", "length", "digits", "upper", "lower", "hexadecimal", "groups", "keyword", "mark_before", "mark_after"]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running sums or maxima (0 at first) of an array of ints, in about n * sqrt(n) steps: along blocks, then over the blocks' last ones."""
+    none = F.array().cast("array<int>")
+
+    def along(items: Column, last: Callable[[Column], Column]) -> Column:
+        grown = lambda a, x: F.concat(a, F.array(join(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)), last(x)).cast("int")))
+        return F.aggregate(items, none, grown)
+
+    def whole(v: Column, size: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda k: along(F.slice(v, k * size + 1, size), lambda x: x))
+        before = lambda ends, k: F.when(k == 0, 0).otherwise(F.get(ends, k - 1))
+        return let(blocks, lambda bs: let(along(bs, lambda x: F.element_at(x, -1)), lambda ends: F.flatten(F.transform(bs, lambda x, k: F.transform(x, lambda y: join(before(ends, k), y).cast("int"))))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda size: whole(v, size))).otherwise(none))
+
+
 def matches(text: Column, kind: str, pattern: str) -> Column:
-    """All leftmost non-overlapping matches with code point offsets, end exclusive, and 24 characters before, 8 after."""
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    """All leftmost non-overlapping matches with code point offsets, end exclusive, and up to 24 characters before, 8 after.
+
+    The text is never entered by an offset, which would cost a walk from its start: places are sums of the pieces' lengths.
+    """
+
+    def spans(apart: Column, found: Column, ends: Column) -> Column:
+        def span(m: Column, k: Column) -> Column:
+            after = F.concat(F.left(F.get(apart, k + 1), F.lit(8)), F.left(F.coalesce(F.get(found, k + 1), F.lit("")), F.lit(8)))
+            return F.struct(
+                F.lit(kind).alias("kind"), (F.get(ends, k) - F.length(m)).alias("start"), F.get(ends, k).alias("end"), m.alias("value"),
+                F.right(F.get(apart, k), F.lit(24)).alias("before"), F.left(after, F.lit(8)).alias("after"),
+            )
+
+        return F.transform(found, span)
+
+    lengths = lambda apart, found: F.transform(found, lambda m, k: F.length(F.get(apart, k)) + F.length(m))
+    ends = lambda apart, found: let(running(lengths(apart, found), lambda a, b: a + b), lambda e: spans(apart, found, e))
+    return let(F.split(text, pattern, -1), lambda apart: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: ends(apart, found)))
+
+
+def reach(spans: Column, before: Callable[[Column], Column], base: Column) -> Column:
+    """For each span the furthest end (0: none) of the base spans that start before the place before(span); one sort and one running maximum."""
+    event = lambda place, kind, end, k: F.struct(place.cast("int").alias("place"), F.lit(kind).alias("kind"), k.cast("int").alias("k"), end.cast("int").alias("end"))
+    asked = F.transform(spans, lambda s, k: event(before(s), 0, F.lit(0), k))
+    both = F.array_sort(F.concat(asked, F.transform(base, lambda b, k: event(b["start"], 1, b["end"], k))))
 
-    def step(a: Column, x: Column) -> Column:
-        first = a["at"] + F.length(x["p"])
-        end = first + F.length(x["m"])
-        span = F.struct(
-            F.lit(kind).alias("kind"), first.alias("start"), end.alias("end"), x["m"].alias("value"),
-            F.right(x["p"], F.lit(24)).alias("before"), F.substr(text, end + 1, F.lit(8)).alias("after"),
-        )
-        return F.when(x["m"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out")))
+    def answer(events: Column, most: Column) -> Column:
+        found = F.transform(events, lambda e, i: F.struct(e["kind"].alias("kind"), e["k"].alias("k"), F.get(most, i).alias("most")))
+        return F.transform(F.array_sort(F.filter(found, lambda e: e["kind"] == 0)), lambda e: e["most"])
 
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    runs = lambda events: let(running(F.transform(events, lambda e: e["end"]), F.greatest), lambda most: answer(events, most))
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), let(both, runs)).otherwise(F.transform(spans, lambda _: F.lit(0)))
 
 
 def passes(kind: str, value: Column) -> Column:
@@ -106,13 +145,12 @@ def features(s: Column) -> dict[str, Column]:
     }
 
 
-def seeded(s: Column, base: Column) -> Column:
-    """What a seed rule says of a candidate: a known key format, or a value given to a secret's name. Numbers: those of a base span."""
+def seeded(s: Column, inside: Column) -> Column:
+    """What a seed rule says of a candidate: a known key format, or a value given to a secret's name. Numbers: those inside a base span."""
     key = s["value"].rlike(r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^(?:ghp|gho|ghs|glpat|xox[abp]|sk|pk)[_-][A-Za-z0-9_-]{16,}$|^[0-9a-f]{40}$|^[0-9a-f]{64}$")
     named = s["before"].rlike(KEYWORD + "[^A-Za-z0-9]{1,6}$") & s["value"].rlike("[0-9]")
     given = s["value"].rlike("[:=].*[0-9]") & (F.length(s["value"]) >= 16)
-    number = F.exists(base, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
-    return F.when(s["kind"] == "key", key | named).when(s["kind"] == "assigned", given).otherwise(number)
+    return F.when(s["kind"] == "key", key | named).when(s["kind"] == "assigned", given).otherwise(inside)
 
 
 @dataclass
@@ -188,18 +226,27 @@ def calibrate(model: Boosted, x: np.ndarray, good: np.ndarray, bad: np.ndarray,
                 model.thresholds[g] = float(score[r]) - 1e-6
 
 
-def annotate(docs: DataFrame) -> DataFrame:
-    """Add base (spans) and more (candidates as structs of span and f, their features)."""
-    docs = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
-    docs = docs.withColumn("base", base_spans(F.col("_t"))).withColumn("_more", candidates(F.col("_t")))
-    with_f = lambda s: F.struct(s.alias("s"), F.struct(*[c.cast("int").alias(n) for n, c in features(s).items()]).alias("f"))
-    return docs.withColumn("more", F.transform("_more", with_f)).drop("_t", "_more")
+def annotate(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """row (the whole row), text (null as empty), base (spans) and more (candidates: span s, features f, inside and touches a base span)."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("found", candidates(F.col("text")))
 
+    def one(s: Column, inside: Column, touches: Column) -> Column:
+        f = F.struct(*[c.cast("int").alias(n) for n, c in features(s).items()])
+        return F.struct(s.alias("s"), f.alias("f"), inside.alias("inside"), touches.alias("touches"))
 
-def learn(found: DataFrame, key: str = "doc_id", precision: float = 0.95) -> Boosted:
-    """Boost on the counts of one half of the ids, calibrate on the other. What is collected has a row for each feature vector."""
-    one = found.select(F.pmod(F.xxhash64(key), F.lit(2)).alias("fold"), "base", F.explode("more").alias("c"))
-    cells = one.groupBy("fold", "c.f").agg(F.count_if(seeded(F.col("c.s"), F.col("base"))).alias("good"), F.count(F.lit(1)).alias("n"))
+    # let, not columns: a column that is used once is put into the lambda by the optimizer and worked out for each element
+    ends = lambda before: reach(F.col("found"), before, F.col("base"))
+    joined = lambda held, met: F.transform("found", lambda s, k: one(s, F.get(held, k) >= s["end"], F.get(met, k) > s["start"]))
+    more = let(ends(lambda s: s["start"] + 1), lambda held: let(ends(lambda s: s["end"]), lambda met: joined(held, met)))
+    base = F.transform("base", lambda b: F.struct(b["kind"], b["start"], b["end"]).cast("struct<kind:string,start:int,end:int>"))
+    return rows.select("row", "text", base.alias("base"), more.alias("more"))
+
+
+def learn(found: DataFrame, precision: float = 0.95) -> Boosted:
+    """Boost on the counts of one half of the texts, calibrate on the other. What is collected has a row for each feature vector."""
+    one = found.select(F.pmod(F.xxhash64("text"), F.lit(2)).alias("fold"), F.explode("more").alias("c"))
+    cells = one.groupBy("fold", "c.f").agg(F.count_if(seeded(F.col("c.s"), F.col("c.inside"))).alias("good"), F.count(F.lit(1)).alias("n"))
     rows = sorted(cells.select("fold", "f.*", "good", "n").collect())
     table = np.array(rows, float).reshape(-1, len(FEATURES) + 3)
     fold, x, good, bad = table[:, 0], table[:, 1:-2].astype(int), table[:, -2], table[:, -1] - table[:, -2]
@@ -210,11 +257,10 @@ def learn(found: DataFrame, key: str = "doc_id", precision: float = 0.95) -> Boo
 
 def selected(model: Boosted) -> Column:
     """Base spans, then the chosen candidates that no base span touches, as (kind, start, end) by kind and place."""
-    kept = F.filter("more", lambda c: model.column(c["f"]) & ~F.exists("base", lambda b: (b["start"] < c["s"]["end"]) & (c["s"]["start"] < b["end"])))
+    kept = F.filter("more", lambda c: ~c["touches"] & model.column(c["f"]))
     as_kind = lambda c: reduce(lambda a, g: F.when(c["s"]["kind"] == g, MORE[g][1]).otherwise(a), MORE, F.lit(""))
     more = F.transform(kept, lambda c: F.struct(as_kind(c).alias("kind"), c["s"]["start"].alias("start"), c["s"]["end"].alias("end")))
-    base = F.transform("base", lambda b: F.struct(b["kind"], b["start"], b["end"]).cast("struct<kind:string,start:int,end:int>"))
-    return F.concat(base, F.array_distinct(F.array_sort(more)))
+    return F.concat("base", F.array_distinct(F.array_sort(more)))
 
 
 def digest(spans: Column) -> Column:
@@ -222,25 +268,56 @@ def digest(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row; null text counts as empty, an empty table gives none."""
-    found = stage(annotate(docs.select("doc_id", "text")).drop("text"), "pii")
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, BASE), F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(selected(learn(found))).alias("spans"))
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_number, n_spans for every row.
+
+    Null text counts as empty; repeated rows give repeated results; other columns of docs, whatever their names, don't matter; an
+    empty table gives no rows.
+    """
+    found = stage(annotate(docs.select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), F.xxhash64("text").alias("text"), "base", "more"), "pii")
+    found = found.withColumn("chosen", selected(learn(found)))
+    count = lambda of, k: F.size(F.filter(of, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    added = [count("chosen", k) for k in dict.fromkeys(kind for _, kind in MORE.values())]
+    base = [count("base", k) for k in BASE]
+    return found.select("doc_id", *base, F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("chosen")).alias("spans"), *added, F.size("chosen").cast("long").alias("n_spans"))
+
+
+#: Characters of a block of text that is entered by an offset.
+PIECE = 1024
+
+
+def without(text: Column, spans: Column) -> Column:
+    """text with its spans (kind, start, end) replaced by their kinds in brackets; of overlapping spans what the first ones leave is replaced too."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def piece(blocks: Column, first: Column, last: Column) -> Column:
+        a, b = F.floor(first / PIECE).cast("int"), F.floor(last / PIECE).cast("int")
+        head, tail = F.coalesce(F.get(blocks, a), F.lit("")), F.coalesce(F.get(blocks, b), F.lit(""))
+        middle = F.array_join(F.slice(blocks, a + 2, F.greatest(b - a - 1, F.lit(0))), "")
+        across = F.concat(F.substr(head, first % PIECE + 1, F.lit(PIECE)), middle, F.left(tail, last % PIECE))
+        return F.when(a == b, F.substr(head, first % PIECE + 1, last - first)).otherwise(across)
+
+    def put(blocks: Column, marks: Column, most: Column) -> Column:
+        at = lambda k: F.when(k == 0, 0).otherwise(F.get(most, k - 1))
+        parts = F.transform(marks, lambda s, k: F.when(s["end"] > at(k), F.concat(piece(blocks, at(k), F.greatest(at(k), s["start"])), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
+        rest = piece(blocks, F.element_at(most, -1), F.length(text))
+        return F.concat(F.array_join(parts, ""), rest)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    marked = lambda b: let(ordered, lambda marks: let(running(F.transform(marks, lambda s: s["end"]), F.greatest), lambda most: put(b, marks, most)))
+    return let(blocks, marked)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span of text replaced by its kind in brackets, and n_chars, if there, counted anew. Null text stays null."""
-    model = learn(stage(annotate(docs.select("doc_id", "text")).drop("text"), "pii"))
-    found = annotate(docs).withColumn("_spans", F.array_sort(F.transform(selected(model), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
-
-    def step(a: Column, s: Column) -> Column:
-        first = F.greatest(a["at"], s["start"])
-        out = F.concat(a["out"], F.substr("text", a["at"] + 1, first - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["end"] <= a["at"], a).otherwise(F.struct(s["end"].alias("at"), out.alias("out")))
-
-    rest = lambda a: F.concat(a["out"], F.substr("text", a["at"] + 1, F.length("text")))
-    text = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
-    found = found.withColumn("text", F.when(F.size("_spans") == 0, F.col("text")).otherwise(text))
+    """docs with each span of text replaced by its kind in brackets, and n_chars, if there, counted anew.
+
+    Null and empty texts stay as they are, so do all other columns, whatever their names; repeated rows are redacted alike; an
+    empty table gives none. Texts are annotated once: spans are staged with their rows.
+    """
+    found = stage(annotate(docs), "pii")
+    found = found.withColumn("chosen", selected(learn(found)))
+    hit = F.size("chosen") > 0
+    row = F.col("row").withField("text", F.when(hit, without(F.col("text"), F.col("chosen"))).otherwise(F.col("row.text")))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return found.select(docs.columns)
+        counted = F.length(row["text"]).cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", F.when(hit, counted).otherwise(F.col("row.n_chars")))
+    return found.select(row.alias("row")).select("row.*")
