@@ -1,15 +1,17 @@
 """Word-shingle Jaccard self-join: size-banded tiles, hashed bitmaps, exact intersections.
 
-Candidates. Two sets that link differ in few shingles: with s1 + s2 = S, in at most S (1 - t) / (1 + t). The hash
-range is cut into more segments than that, so some segment is equal in both; equal segments of documents of one
-size band are an equi-join, on keys far more selective than single shingles. Segments without shingles would
-be common keys: as many spare segments are added as a document may leave out, and only documents with
-more empty ones than that emit keys for them.
-
-Verification. Sets that are equal are one class. In each group of equal keys, members are held against the
-least member only; pairs that parity bitmaps leave open are decided on the sorted sets. What is still apart
-within a family (documents chained by keys) is compared in size-banded tiles of bitmaps: first a forest of the
-likeliest pairs, then every pair across components. So no link is lost, and no group emits all its pairs.
+Families. Two sets that link differ in few shingles: with s1 + s2 = S, in at most S (1 - t) / (1 + t). The hash
+range is cut into more segments than that, so some segments are equal in both; equal segments of documents of one
+size band are an equi-join, on keys far more selective than single shingles. Spare segments are added, and as many of
+a document's keys are left out, the commonest first (a prefix filter: one order for all documents, so two that link
+still meet): segments without shingles, and those that hold nothing but a passage that many documents share.
+
+Pairs. Sets that are equal are one class. In each group of equal keys, members are first held against the
+least member only. What is still apart within a family (documents chained by keys) is compared in tiles of two blocks,
+each of one size band: bit counts of hashed bitmaps bound the overlap from above, and pairs that they leave open are
+decided on the sorted sets; first a forest of the likeliest pairs of each tile, then every pair across components. Blocks
+hold about TILE documents, of one component where it fills a block, and tiles within one component are left out. So no
+link is lost, no group emits all its pairs, and no family or key is gathered in one task.
 """
 
 from __future__ import annotations
@@ -32,8 +34,11 @@ from reviewlake.llm.words import cut
 LEAST = 90
 WORDS = 3
 TILE = 256
-#: Ratio of a size band's ends.
-BAND = 1.35
+#: Ratio of a size band's ends, and of the bands of a family's blocks.
+BAND, NARROW = 1.35, 1.06
+#: A key is common from COMMON documents and one in 2**RARE documents on: at most 2**RARE times the keys of a document.
+COMMON, RARE = 64, 14
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
@@ -63,24 +68,46 @@ def bands(least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first.append(max(first[-1] + 1, int(first[-1] * BAND)))
     top = np.array(first[1:]) - 1  # the largest size of each band
     differ = 2 * top * (100 - least) // (100 + least)
-    spare = np.where(differ > 0, 1 + differ // 32, 0)
+    spare = np.where(differ > 0, 1 + differ // 16, 0)
     return np.array(first[:-1]), differ + 1 + spare, spare
 
 
+def bands_of(n: int, least: int) -> range:
+    """A set's own band, and the next where a partner may be in it."""
+    first = bands(least)[0]
+    return range(int(np.searchsorted(first, n, "right")) - 1, int(np.searchsorted(first, n * 100 // least, "right")))
+
+
+@lru_cache(256)
+def empty_keys(band: int, least: int) -> np.ndarray:
+    """The keys of a band's segments where they hold nothing."""
+    return _mix(_mix(np.arange(int(bands(least)[1][band]), dtype=np.uint64) + np.uint64((band + 1) << 40)))
+
+
 def segment_keys(s: np.ndarray, least: int) -> np.ndarray:
-    """The join keys of a sorted set: for its own band, and for the next where a partner may be in it."""
-    first, segments, spares = bands(least)
-    n = len(s)
-    own = int(np.searchsorted(first, n, "right")) - 1
-    last = int(np.searchsorted(first, n * 100 // least, "right")) - 1
+    """The join keys of a sorted set: one for each segment of each of its bands."""
     sums = np.concatenate(([np.uint64(0)], np.cumsum(_mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
     out = []
-    for band in range(own, last + 1):
-        k = int(segments[band])
+    for band in bands_of(len(s), least):
+        k = int(bands(least)[1][band])
         ends = np.searchsorted((s >> np.uint64(32)) * np.uint64(k) >> np.uint64(32), np.arange(k + 1, dtype=np.uint64))
-        keys = _mix((sums[ends[1:]] - sums[ends[:-1]]) ^ _mix(np.arange(k, dtype=np.uint64) + np.uint64((band + 1) << 40)))
-        empty = ends[1:] == ends[:-1]
-        out.append(keys if empty.sum() > spares[band] else keys[~empty])
+        out.append(_mix((sums[ends[1:]] - sums[ends[:-1]]) ^ _mix(np.arange(k, dtype=np.uint64) + np.uint64((band + 1) << 40))))
+    return np.concatenate(out)
+
+
+def rarest_keys(keys: np.ndarray, n: int, least: int, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """A set's keys without the commonest of each band, as many as it has spare segments. common: sorted, with their times."""
+    out, at = [], 0
+    for band in bands_of(n, least):
+        empty, spare = empty_keys(band, least), int(bands(least)[2][band])
+        part = keys[at : at + len(empty)]
+        at += len(empty)
+        weight = np.zeros(len(part), np.int64)
+        if len(common):
+            spot = np.minimum(np.searchsorted(common, part), len(common) - 1)
+            weight = np.where(common[spot] == part, times[spot], weight)
+        weight[part == empty] = np.iinfo(np.int64).max
+        out.append(part[np.lexsort((part, weight))[: len(part) - spare]])
     return np.concatenate(out)
 
 
@@ -166,8 +193,61 @@ def links_of(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return pairs.join(side(1, "a"), "a").join(side(2, "b"), "b").mapInArrow(run, "a long, b long")
 
 
+def posts_of(reps: DataFrame, least: int, common: np.ndarray, times: np.ndarray) -> DataFrame:
+    """id, key: the keys that each document meets others by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists, n = b.column(2), b.column(1).to_pylist()
+            flat, ends = np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            kept = [rarest_keys(flat[ends[i] : ends[i + 1]], n[i], least, common, times) for i in range(len(n))]
+            ids = np.repeat(np.asarray(b.column(0)), [len(k) for k in kept])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([*kept, np.empty(0, np.uint64)]).view(np.int64))], ["id", "key"])
+
+    return reps.select("id", "n", "keys").mapInArrow(run, "id long, key long")
+
+
+def star_pairs(reps: DataFrame, least: int) -> DataFrame:
+    """Distinct (a, b): each document b with the least one that has a key in common with it."""
+    keys = reps.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("times"))
+    keys = stage(keys.where("times > 1"), "keys")
+    bar = max(COMMON, reps.count() >> RARE)
+    found = keys.where(F.col("times") >= bar).select("key", "times").toArrow()  # 2**RARE times the keys of a document at most
+    common, times = np.asarray(found.column("key")).view(np.uint64), np.asarray(found.column("times"))
+    order = np.argsort(common)
+    posts = posts_of(reps, least, common[order], times[order])
+    return posts.join(keys, "key").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct()
+
+
+def in_blocks(nodes: DataFrame) -> DataFrame:
+    """Add band, part and salt to id, n, family, component: blocks of about TILE documents of a family, by counts alone.
+
+    A component with TILE documents in a band has blocks of its own (part: its id); the others of a band share blocks.
+    """
+    nodes = nodes.withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(NARROW)))))
+    sizes = nodes.groupBy("family", "band", "component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.withColumn("part", F.when(F.col("size") >= TILE, F.col("component")))
+    blocks = sizes.groupBy("family", "band", "part").agg(F.ceil(F.sum("size") / TILE).alias("salts"))
+    plain = sizes.select("family", "band", "component", "part")
+    same = (plain["family"] == blocks["family"]) & (plain["band"] == blocks["band"]) & plain["part"].eqNullSafe(blocks["part"])
+    where = plain.join(blocks, same).select(plain["family"], plain["band"], plain["component"], plain["part"], "salts")
+    out = nodes.join(where, ["family", "band", "component"])
+    return out.withColumns({"part": F.coalesce("part", F.lit(-1)), "own": F.col("part").isNotNull(), "salt": F.pmod(F.xxhash64("id"), F.col("salts"))}).drop("salts")
+
+
+def tiles_of(nodes: DataFrame, least: int) -> DataFrame:
+    """family, left, right (blocks as structs) of all tiles in which documents of different components may link."""
+    block = F.struct("band", "own", "part", "salt").alias("block")
+    ends = [F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c1"), F.max("component").alias("c2")]
+    blocks = nodes.groupBy("family", block).agg(*ends)
+    other = blocks.select("family", *[F.col(c).alias(f"{c}_r") for c in ("block", "low", "high", "c1", "c2")])
+    apart = F.least("c1", "c1_r") != F.greatest("c2", "c2_r")
+    sizes = (100 * F.col("high") >= least * F.col("low_r")) & (100 * F.col("high_r") >= least * F.col("low"))
+    return blocks.join(other, "family").where((F.col("block") <= F.col("block_r")) & apart & sizes).select("family", F.col("block").alias("left"), F.col("block_r").alias("right"))
+
+
 def tile_pairs(nodes: DataFrame, least: int, forest: bool) -> DataFrame:
-    """Open pairs (a, b) across components of a family, from tiles of bitmaps. nodes: id, n, bits, family, component.
+    """Open pairs (a, b) across components of a family, from tiles of bitmaps. nodes: id, n, bits, family, component, band, own, part, salt.
 
     forest: of each tile only as many pairs as could join its components, those of the highest bound first.
     """
@@ -176,10 +256,12 @@ def tile_pairs(nodes: DataFrame, least: int, forest: bool) -> DataFrame:
         rows = rows.sort_values(["n", "id"], ignore_index=True)
         words = min(map(len, rows["bits"])) // 8
         bits = np.stack([fold(np.frombuffer(x, np.uint64), words) for x in rows["bits"]])
-        n, part, block = rows["n"].to_numpy(), rows["component"].to_numpy(), rows["block"].to_numpy()
-        ids, found = rows["id"].to_numpy(), []
-        for i in np.flatnonzero(block == key[1]):
-            j = np.arange(i + 1, len(ids)) if key[1] == key[2] else np.flatnonzero(block == key[2])
+        n, part, ids = rows["n"].to_numpy(), rows["component"].to_numpy(), rows["id"].to_numpy()
+        first = rows["first"].to_numpy()
+        alone = bool(rows["alone"].iloc[0])
+        found = []
+        for i in np.flatnonzero(first):
+            j = np.arange(i + 1, len(ids)) if alone else np.flatnonzero(~first)
             j = j[part[j] != part[i]]
             apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64)
             ok = may_link(n[i], n[j], apart, least)
@@ -201,14 +283,11 @@ def tile_pairs(nodes: DataFrame, least: int, forest: bool) -> DataFrame:
             found = kept
         return pd.DataFrame({"a": [ids[f[1]] for f in found], "b": [ids[f[2]] for f in found]}, dtype="int64")
 
-    rank = F.row_number().over(Window.partitionBy("family").orderBy("n", "id"))
-    nodes = nodes.withColumn("block", F.floor((rank - 1) / TILE))
-    blocks = nodes.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = blocks.select("family", F.col("block").alias("right"), F.col("low").alias("low2"))
-    tiles = blocks.join(other, "family").where((F.col("right") >= F.col("block")) & (100 * F.col("high") >= least * F.col("low2")))
-    tiles = tiles.select("family", F.col("block").alias("left"), "right")
-    sides = tiles.select("*", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
-    return nodes.join(sides, ["family", "block"]).groupBy("family", "left", "right").applyInPandas(run, "a long, b long")
+    tiles = stage(tiles_of(nodes, least), "tiles")
+    alone = (F.col("left") == F.col("right")).alias("alone")
+    sides = tiles.select("*", alone, F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
+    sides = sides.select("family", F.xxhash64("left").alias("l"), F.xxhash64("right").alias("r"), "alone", (F.col("block") == F.col("left")).alias("first"), "block.*")
+    return nodes.join(sides, ["family", "band", "own", "part", "salt"]).groupBy("family", "l", "r").applyInPandas(run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, words: int = WORDS) -> DataFrame:
@@ -222,10 +301,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     linked = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = linked.groupBy("set_hash").agg(F.min("id").alias("id"))
     reps = linked.join(classes, ["set_hash", "id"], "left_semi")
-    posts = reps.select("id", F.explode("keys").alias("key"))
-    group = Window.partitionBy("key")
-    stars = posts.withColumn("a", F.min("id").over(group)).where(F.col("a") != F.col("id"))
-    stars = stage(stars.select("a", F.col("id").alias("b")).distinct(), "stars")
+    with small_batches(docs.sparkSession):
+        stars = stage(star_pairs(reps, least), "stars")
 
     families = stage(components(stars, "a", "b"), "families")
     in_family = families.select(F.col("node").alias("id"))
@@ -236,11 +313,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = stage(links_of(first, sets, least), "links")
     for forest in (True, False):
         found = components(links, "a", "b")
-        nodes = near.join(families.select(F.col("node").alias("id"), F.col("component").alias("family")), "id")
+        nodes = near.select("id", "n").join(families.select(F.col("node").alias("id"), F.col("component").alias("family")), "id")
         nodes = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        nodes = stage(nodes, "nodes")
-        torn = nodes.groupBy("family").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("family")
-        more = stage(tile_pairs(nodes.join(torn, "family", "left_semi"), least, forest), "pairs")
+        nodes = stage(in_blocks(stage(nodes, "nodes")).join(near.select("id", "bits"), "id"), "blocks")
+        more = stage(tile_pairs(nodes, least, forest), "pairs")
         if more.isEmpty():
             break
         links = stage(links.unionByName(links_of(more, sets, least)), "links")
