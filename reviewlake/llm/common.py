@@ -12,22 +12,41 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one on one machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and reread it: cuts lineage, survives lost executors, is computed once."""
+    """Write df to the shared folder and reread it: cuts lineage, survives lost executors, is computed once.
+
+    The files stay until drop_stages, as results read them when they are asked for.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stages(spark: SparkSession) -> int:
+    """Delete what this process has staged so far, once its results are written; returns how many folders."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    count = len(_staged)
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """Fewer rows to a Python worker at once, for what runs inside: its memory is bounded by a batch of long texts."""
@@ -45,6 +64,17 @@ def utf8(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")
 
 
+def text_key(col: str = "text") -> Column:
+    """A hash of a text by which rows that share an id are told apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(col), F.lit(""))).alias("text_key")
+
+
+def without_rows(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id (null equals null) and text aren't those of a rejected row. rejected: id_col, text_key."""
+    gone = rejected.select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(gone["_id"]) & (text_key(text_col) == gone["_key"]), "left_anti")
+
+
 def crc_bucket(col: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo a number."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import stage
+from reviewlake.llm.common import stage, text_key
 
 WINDOW, SHINGLE = 13, 3
 #: Windows, and shingles, that are broadcast at once: some tens of MB.
@@ -84,13 +84,14 @@ def hits_of(docs: DataFrame, anchors: DataFrame, size: int, with_rows: bool) ->
     return found.where(keep).select("doc_id", "text_key", "n_words", only(start).alias("start"), only(F.col("length")).alias("length"), only(F.col("item_ids")).alias("item_ids"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, percent: int = 5) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs.
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, percent: int = 5) -> DataFrame:
+    """doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs.
 
-    Null and wordless texts and items hit nothing; repeated rows give repeated results; a null item id counts as
-    an empty one; without items nothing is hit; an empty table gives no rows.
+    Null and wordless texts and items hit nothing; rows with a null id are judged like others; repeated rows give repeated results; columns
+    of docs other than doc_id and text don't matter, whatever their names; a null item id counts as an empty one; without items
+    nothing is hit; an empty table gives no rows.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key())
     windows = stage(item_windows(items, window, shingle), "windows")
     sizes = [r["size"] for r in windows.groupBy("size").count().orderBy(F.desc("size")).collect()]  # as many rows as a shingle has words at most
     parts = []
@@ -116,6 +117,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     )
     each = by_text.withColumn("n_hit", covered).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return each.select(
-        "doc_id", "n_words", "n_hit", F.size("found").cast("long").alias("n_items"), F.sha2(F.array_join("found", ","), 256).alias("items_sha256"),
+        "doc_id", "text_key", "n_words", "n_hit", F.size("found").cast("long").alias("n_items"), F.sha2(F.array_join("found", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"),
     )
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, percent: int = 5) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: the digest of contamination."""
+    return contamination(docs, items, window, shingle, percent).drop("text_key")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import utf8
+from reviewlake.llm.common import text_key, utf8
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_distinct", "n_top", "n_upper", "n_digits", "n_marks", "n_bangs", "n_short", "n_numbered", "longest_run", "n_stops"]
@@ -59,16 +59,16 @@ def text_stats(raw: bytes) -> list[int]:
 
 
 def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and the statistics of every row; null text counts as empty."""
+    """id_col, text_key (a hash of the text) and the statistics of every row; null text counts as empty."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = COUNTS + MORE
         for b in batches:
-            rows = np.array([text_stats(x) for x in b.column(1).to_pylist()], np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, rows.T.copy())], [id_col, *names])
+            rows = np.array([text_stats(x) for x in b.column(2).to_pylist()], np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, rows.T.copy())], [id_col, "text_key", *names])
 
-    return docs.select(F.col(id_col), utf8(text_col).alias("t")).mapInArrow(run, f"{id_col} {kind}, {SCHEMA}")
+    return docs.select(F.col(id_col), text_key(text_col), utf8(text_col).alias("t")).mapInArrow(run, f"{id_col} {kind}, text_key long, {SCHEMA}")
 
 
 def base_failed() -> Column:

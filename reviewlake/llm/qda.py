@@ -91,26 +91,32 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
 
 
 def score_rows(stats: DataFrame, model: Discriminant, id_col: str = "doc_id") -> DataFrame:
-    """id_col and score."""
+    """id_col, text_key and score."""
     kind = dict(stats.dtypes)[id_col]
     names = list(transformed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in names], 1)
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(model.score(x))], [id_col, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("text_key"), pa.array(model.score(x))], [id_col, "text_key", "score"])
 
-    return stats.select(id_col, *[c.alias(n) for n, c in transformed().items()]).mapInArrow(run, f"{id_col} {kind}, score double")
+    return stats.select(id_col, "text_key", *[c.alias(n) for n, c in transformed().items()]).mapInArrow(run, f"{id_col} {kind}, text_key long, score double")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs.
+def quality_verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_key, held_out, score, predicted for every row of docs.
 
     Labels of held-out ids (crc32 of the id, modulo 5, is 0) are never read. Null and empty texts get the
-    score of zero counts; without labels all scores are one half; an empty table gives no rows.
+    score of zero counts; rows with a null id are scored like others; repeated rows get equal scores, and columns of docs other than
+    doc_id and text don't matter, whatever their names; without labels all scores are one half; an empty table gives no rows.
     """
     with small_batches(docs.sparkSession):
         stats = stage(doc_stats.with_stats(docs), "quality-stats")
     model = learn(stats, labels.where(crc_bucket("doc_id", 5) != 0))
     held = (crc_bucket("doc_id", 5) == 0).alias("held_out")
-    return score_rows(stats, model).select("doc_id", held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return score_rows(stats, model).select("doc_id", "text_key", held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted: the digest of quality_verdicts."""
+    return quality_verdicts(docs, labels, threshold).drop("text_key")

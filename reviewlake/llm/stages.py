@@ -1,36 +1,49 @@
-"""The stages of the corpus pipeline. Ids are assumed unique among documents; null ids are kept by filters."""
+"""The stages of the corpus pipeline.
+
+Each works on any documents table: null ids and texts, empty and very long texts, repeated ids and rows, no rows at all, and columns
+of any names, all of which are returned as they are but for what the stage decides. Verdicts are carried by id and text together.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import table
-from reviewlake.llm.decontam import decontaminate
+from reviewlake.llm.common import stage, table, without_rows
+from reviewlake.llm.decontam import contamination
 from reviewlake.llm.ngram_join import similar_documents
 from reviewlake.llm.packing import pack_documents
 from reviewlake.llm.pii import redact
-from reviewlake.llm.qda import quality_scores
+from reviewlake.llm.qda import quality_verdicts
 from reviewlake.llm.queries import tokenizer_path
 
+#: Near duplicates of the pipeline: Jaccard similarity in hundredths, and the words of a shingle.
+SIMILAR, WORDS = 80, 5
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    rejected = quality_scores(docs, table(spark, sf_dir, "labels")).where(F.col("predicted") == 0).select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Documents that the classifier rejects go, rows with null ids too; of rows that share an id each is judged by its own text."""
+    return without_rows(docs, quality_verdicts(docs, table(spark, sf_dir, "labels")).where(F.col("predicted") == 0))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the least id. Rows with null ids stay."""
-    groups = similar_documents(docs).where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    """One row of each group of near-duplicates stays: that of the least id, a null id last; of rows that share an id any one.
+
+    Rows are numbered for this, so those that share an id, or have none, are told apart. Texts without words are no one's
+    duplicates.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]  # so that a column of docs may have any name
+    rows = stage(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    id_of, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    found = similar_documents(rows.select("row", F.col(text).alias("text")), "row", least=SIMILAR, words=WORDS)
+    both = found.select("row", F.col("component_id").alias("group")).join(rows.select("row", F.col(id_of).alias("id")), "row")
+    first = both.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("row"))
+    return rows.join(first, "row", "left_semi").select(names).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark items beyond the limit go."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold benchmark items beyond the limit go; of rows that share an id each is judged by its own text."""
+    return without_rows(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -155,24 +155,54 @@ def test_personal_data(docs, rows, empty):
     for i, t in rows:
         want = base_by_hand(t)
         assert got[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest() and set(want) <= set(got[i]["spans"].split(",")) | {""}
-        assert got[i]["n_email"] == sum(w.startswith("email") for w in want)
+        assert got[i]["n_email"] == sum(w.startswith("email") for w in want) and got[i]["n_spans"] == len([x for x in got[i]["spans"].split(",") if x])
     assert pii.personal_data(empty).count() == 0
 
 
+def test_added_spans_catch_planted_secrets_and_leave_the_like(spark):
+    """One planted secret and one near miss for each generator, in a corpus that has such things."""
+    rng = np.random.default_rng(3)
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    line = {0: lambda: f'the token = "{hexes(40)}" was set', 1: lambda: f"call +1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)} now", 2: lambda: f"plain words from {rng.integers(1900, 2000)} {rng.integers(2000, 2030)} stand here", 3: lambda: f"build{rng.integers(10)} of version-{rng.integers(9)}.2 ran on {hexes(9)}"}
+    texts = [(k, line[k % 4]()) for k in range(400)]
+    key = hexes(40)
+    planted = [(1000, f'say token = "{key}" here'), (1001, f"digest {key[:9]} short"), (1002, "the password is a word: see below"), (1003, "year 2019 2020 and 12 pages"), (1004, "tokens and secrets of well-known-phrases-in-prose")]
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(texts + planted, "doc_id long, text string")).collect()}
+    kinds = lambda i: {x.split(":")[0] for x in got[i]["spans"].split(",") if x}
+    at = planted[0][1].index(key)
+    assert f"secret:{at}:{at + 40}" in got[1000]["spans"].split(",") and got[1000]["n_secret"] >= 1
+    assert all(got[k]["n_secret"] >= 1 for k in range(0, 400, 4)) and not any(got[k]["n_spans"] for k in range(400) if k % 4 > 1)
+    assert [kinds(i) for i in (1001, 1002, 1003, 1004)] == [set()] * 4
+
+
+def test_spans_of_very_long_texts(spark):
+    """Places are found in about linear time: 50,000 numbers and as many matches in one text, and a redaction of 3,000 spans."""
+    numbers = ", ".join(str(1234567 + 7919 * i) for i in range(50_000))
+    mails = " ".join(f"né{i} a{i}@b.cc 10.0.0.{i % 256};" for i in range(1500))
+    d = spark.createDataFrame([(1, numbers), (2, mails)], "doc_id long, text string")
+    r = {x["doc_id"]: x for x in pii.personal_data(d).collect()}
+    for i, t in ((1, numbers), (2, mails)):
+        assert r[i]["base_sha256"] == hashlib.sha256(",".join(base_by_hand(t)).encode()).hexdigest()
+    assert pii.redact(d.where("doc_id = 2")).first()["text"] == re.sub(r"10[.]0[.]0[.]\d+", "[IP]", re.sub(r"a\d+@b[.]cc", "[EMAIL]", mails))
+
+
 def test_redaction_keeps_everything_else(spark, docs):
     plain = docs.where("doc_id in (9001, 9006, 9007)").drop("n_words")
     got = {r["doc_id"]: r["text"] for r in pii.redact(plain).collect()}
     assert got[9001] is None and got[9006] == "same same same"
     assert got[9007].startswith("Mail [EMAIL], [EMAIL][EMAIL] tel [PHONE] card [CARD] ip 999.1.1.1 or [IP]")
+    clash = plain.select("*", *[F.lit("own").alias(c) for c in ("base", "more", "found", "row", "chosen", "spans", "a.b")])
+    back = pii.redact(clash)
+    assert back.columns == clash.columns
+    assert all(r[c] == "own" for r in back.collect() for c in clash.columns[5:]) and {r["doc_id"]: r["text"] for r in back.collect()} == got
 
 
-def test_ngram_join(spark, docs, empty):
-    extra = [(7000 + k, " ".join(f"w{i}" for i in range(60) if i not in range(k, k + (k > 0)))) for k in range(6)] + [(7100, "A b"), (7101, "a B"), (7102, "a  b\n")]
-    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+def linked(texts, least, n):
+    """Shingle count and least id of each text's component, by comparing all pairs."""
     sets = {}
-    for r in d.collect():
-        w = words(lower(r["text"] or ""))
-        sets[r["doc_id"]] = frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))) if w else frozenset()
+    for i, t in texts.items():
+        w = words(lower(t or ""))
+        sets[i] = frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
     root = {i: i for i in sets}
 
     def top(x):
@@ -182,14 +212,45 @@ def test_ngram_join(spark, docs, empty):
 
     for i in sets:
         for j in sets:
-            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
                 x, y = top(i), top(j)
                 root[max(x, y)] = min(x, y)
-    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similar_documents(d.repartition(5)).collect()}
-    assert got == {(i, len(s), top(i)) for i, s in sets.items()}
+    return {(i, len(s), top(i)) for i, s in sets.items()}
+
+
+def similar(df, **how):
+    return {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similar_documents(df, **how).collect()}
+
+
+def test_ngram_join(spark, docs, empty):
+    extra = [(7000 + k, " ".join(f"w{i}" for i in range(60) if i not in range(k, k + (k > 0)))) for k in range(6)] + [(7100, "A b"), (7101, "a B"), (7102, "a  b\n")]
+    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    assert similar(d.repartition(5)) == linked(texts, 90, 3)
+    assert similar(d.repartition(3), least=80, words=5) == linked(texts, 80, 5)
     assert ngram_join.similar_documents(empty).count() == 0
 
 
+def test_ngram_join_of_chains_and_shared_passages(spark, monkeypatch):
+    """Near copies about the threshold, and one passage in unrelated texts: torn families, many tiles, common keys."""
+    monkeypatch.setattr(ngram_join, "TILE", 8)
+    monkeypatch.setattr(ngram_join, "COMMON", 3)
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(60)]
+    texts, now = {}, [f"w{i}" for i in range(150)]
+    for k in range(90):
+        now = list(now)
+        for at in rng.integers(0, len(now), 1 + k % 3):
+            now[at] = f"x{rng.integers(10**6)}"
+        texts[k] = " ".join(now[: 150 - k % 3])
+    for k in range(60):
+        texts[1000 + k] = " ".join([f"y{rng.integers(10**6)}" for _ in range(int(rng.integers(3, 90)))] + passage)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    for least, n in ((90, 3), (80, 5)):
+        want = linked(texts, least, n)
+        assert similar(d, least=least, words=n) == want and 2 < len({c for _, _, c in want}) < 140
+
+
 def test_bounds_never_exclude_a_link():
     rng = np.random.default_rng(1)
     for n in (1, 5, 9, 12, 30, 200, 1500):
@@ -350,10 +411,48 @@ def test_pipeline_equals_its_operators(spark, tmp_path):
     bench, labels = spark.read.parquet(f"{SF}/benchmark.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     bad = {r["doc_id"] for r in qda.quality_scores(docs, labels).where("predicted = 0").collect()}
     left = docs.where(~F.col("doc_id").isin(bad)).cache()
-    first = {r["component_id"] for r in ngram_join.similar_documents(left).collect()}
+    first = {r["component_id"] for r in ngram_join.similar_documents(left, least=80, words=5).collect()}  # the rule for stages on shingles
     left = left.where(F.col("doc_id").isin(first)).cache()
     leaked = {r["doc_id"] for r in decontam.decontaminate(left, bench).where("contaminated").collect()}
     want = pii.redact(left.where(~F.col("doc_id").isin(leaked)))
     assert want.columns == docs.columns
     keep = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     assert sorted_rows(corpus_pipeline.run(spark, SF).select(keep)) == sorted_rows(packing.pack_documents(want, tokenizer_path()).select(keep))
+
+
+ODD_ROWS = [
+    (None, "a text without an id that says a thing or two", "own"), (None, "a text without an id that says a thing or two", "own"), (1, None, "own"), (2, "", "own"), (3, "same id, one text of words", "own"),
+    (3, "same id, but quite another text it is", "own"), (3, "same id, but quite another text it is", "own"), (4, "w " * 60_000, "own"),
+]
+
+
+@pytest.mark.parametrize("name", ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "PII", "packing"])
+def test_stages_take_any_rows(spark, name):
+    """Null ids and texts, repeated ids and rows, long texts, clashing columns, and no rows."""
+    from reviewlake.llm import stages
+
+    step = dict(stages.STAGES)[name]
+    clashes = ["component_id", "text_key", "predicted", "row", "base", "_id", "_key", "_bucket", "n_words"]
+    odd = spark.createDataFrame(ODD_ROWS, "doc_id long, text string, own string").select("*", *[F.col("own").alias(c) for c in clashes])
+    out, none = step(spark, odd, SF), step(spark, odd.where("false"), SF)
+    assert none.count() == 0
+    kept = [(r["doc_id"], r["text"], *[r[c] for c in clashes]) for r in out.collect()] if name != "packing" else []
+    if name == "packing":
+        assert sum(r["start"] == 0 for r in out.collect()) == len(odd.collect())
+        return
+    assert out.columns == odd.columns and all(set(r[2:]) == {"own"} for r in kept)
+    want = {"n-gram Jaccard join": Counter([r[:2] for r in ODD_ROWS][1:6] + [r[:2] for r in ODD_ROWS][7:]), "benchmark decontamination": Counter(r[:2] for r in ODD_ROWS), "PII": Counter(r[:2] for r in ODD_ROWS)}.get(name)
+    assert want is None or Counter(r[:2] for r in kept) == want
+
+
+def test_verdicts_go_by_id_and_text(spark):
+    """A contaminated text goes, also without an id; a clean one of the same id stays."""
+    from reviewlake.llm import stages
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").first()["text"]
+    rows = [(None, item), (None, "clean words only"), (5, item), (5, "clean words again")]
+    got = stages.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(r["text"] for r in got.collect()) == ["clean words again", "clean words only"]
+    copies = [(7, "one two three four five six seven eight"), (None, "one two three four five six seven eight"), (6, "one two three four five six seven eight"), (7, "nothing like it at all in here")]
+    kept = stages.near_duplicates(spark, spark.createDataFrame(copies, "doc_id long, text string"), SF).collect()
+    assert sorted(map(tuple, kept)) == [(6, copies[0][1]), (7, copies[3][1])]
