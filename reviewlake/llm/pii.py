@@ -214,7 +214,7 @@ def boost(x: np.ndarray, good: np.ndarray, bad: np.ndarray, rounds: int = 25, de
 
 
 def calibrate(model: Boosted, x: np.ndarray, good: np.ndarray, bad: np.ndarray, precision: float) -> None:
-    """For each generator the lowest threshold with the asked precision on held-back counts; without one it adds nothing."""
+    """For each generator the lowest threshold with the asked precision on held-back counts, midway to the next score; without one it adds nothing."""
     score = model.margin(x) if len(x) else np.empty(0)
     for g in range(len(MORE)):
         rows = np.flatnonzero(x[:, 0] == g) if len(x) else []
@@ -222,8 +222,9 @@ def calibrate(model: Boosted, x: np.ndarray, good: np.ndarray, bad: np.ndarray,
         p = n = 0.0
         for i, r in enumerate(rows):
             p, n = p + good[r], n + bad[r]
-            if (i + 1 == len(rows) or score[rows[i + 1]] < score[r]) and p and p / (p + n) >= precision:
-                model.thresholds[g] = float(score[r]) - 1e-6
+            below = score[rows[i + 1]] if i + 1 < len(rows) else score[r] - 2
+            if below < score[r] and p and p / (p + n) >= precision:
+                model.thresholds[g] = float(score[r] + below) / 2
 
 
 def annotate(docs: DataFrame, text_col: str = "text") -> DataFrame:
