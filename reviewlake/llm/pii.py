@@ -257,8 +257,12 @@ def learn(found: DataFrame, precision: float = 0.95) -> Boosted:
 
 
 def selected(model: Boosted) -> Column:
-    """Base spans, then the chosen candidates that no base span touches, as (kind, start, end) by kind and place."""
-    kept = F.filter("more", lambda c: ~c["touches"] & model.column(c["f"]))
+    """Base spans, then the chosen candidates, as (kind, start, end) by kind and place.
+
+    A number that touches a base span adds nothing; a secret does unless it lies inside one (a key may hold the digits of a card).
+    """
+    adds = lambda c: F.when(c["s"]["kind"] == "number", ~c["touches"]).otherwise(~c["inside"])
+    kept = F.filter("more", lambda c: adds(c) & model.column(c["f"]))
     as_kind = lambda c: reduce(lambda a, g: F.when(c["s"]["kind"] == g, MORE[g][1]).otherwise(a), MORE, F.lit(""))
     more = F.transform(kept, lambda c: F.struct(as_kind(c).alias("kind"), c["s"]["start"].alias("start"), c["s"]["end"].alias("end")))
     return F.concat("base", F.array_distinct(F.array_sort(more)))
