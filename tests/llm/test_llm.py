@@ -127,10 +127,28 @@ def test_html_extraction(spark):
     assert host_paths.main_text(pages.where("false")).count() == 0
 
 
-def test_boilerplate_goes_by_markup():
+def texts_of(spark, pages):
+    rows = [(k, url, page) for k, (url, page) in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in host_paths.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))).collect()}
+
+
+def test_boilerplate_goes_by_markup_and_consensus(spark):
     page = '<body><div class="wrap"><header>Site</header><div class="content"><p>Hello <b>wor</b>ld, A &amp; B<p>More text here<ul><li>x<li>y</ul></div><div id="comments"><p>bad</p></div><div class="cookie-notice">no</div><form>no</form></div><footer>f</footer>'
-    blocks, path, _ = host_paths.parse(page)
-    assert path == "body/div.wrap/div.content" and [t for _, t in blocks] == ["Hello world, A & B", "More text here", "x", "y"]
+    assert texts_of(spark, [("http://a/", page)])[0] == "Hello world, A & B More text here x y"
+
+
+def test_names_alone_cut_no_text(spark):
+    """Three templates of hosts: what only sounds like boilerplate stays, what a host's pages agree on goes."""
+    say = lambda k, n: " ".join(f"word{k}x{i}, so" for i in range(n))
+    blog = lambda k: f'<nav>Menu</nav><article><header class="entry-header"><h1>Title {k}</h1></header><p title="the hidden gem">{say(k, 20)}</p><div class="ad">Buy {k}</div><p>End {k}.</p><section class="comments"><p>First! {say(k + 50, 5)}</p></section></article><footer>f</footer>'
+    lab = lambda k: f'<main><h1>Paper {k}</h1><p>{say(k, 9)}</p><section class="related-work"><h2>Related work</h2><p>{say(k, 12)}</p></section><div class="toc-free search-guide"><p>How to search {k}, {say(k, 6)}</p></div><p hidden>not shown</p><div role="complementary">aside</div></main>'
+    news = lambda k: f'<div class="page"><div class="top-links"><a href="/">One of the links</a></div><div class="story post-{k}"><p>{say(k, 30)}</p><ul><li><a href="/1">the same link as ever</a></li></ul><p>Last {k}</p></div><div class="story-foot">foot</div></div>'
+    got = texts_of(spark, [(f"http://{h}/{k}", make(k)) for h, make in (("blog", blog), ("lab", lab), ("news", news)) for k in range(5)])
+    for k in range(5):
+        assert got[k] == f"Title {k} {say(k, 20)} End {k}."
+        assert got[5 + k] == f"Paper {k} {say(k, 9)} Related work {say(k, 12)} How to search {k}, {say(k, 6)}"
+        assert got[10 + k] == f"{say(k, 30)} Last {k}"
+    assert texts_of(spark, [("http://x/", blog(0))] * 4) == dict.fromkeys(range(4), got[0])  # repeated rows don't make text a repeated one
 
 
 def luhn(s):
