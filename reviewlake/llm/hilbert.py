@@ -1,7 +1,7 @@
 """Sharding by a Hilbert curve over quantised metadata, with DataFrame functions only.
 
-Each dimension is mapped to a number that keeps its order (strings by their first six bytes), cut into
-2**bits ranges at approximate quantiles over all rows, and a cell's coordinates become its position on
+Each dimension is cut into 2**bits ranges at quantiles over all rows (approximate ones for numbers; for strings
+those of the whole values, by counts of the different ones), and a cell's coordinates become its position on
 the curve. Rows are ranked along the curve and the ranking is cut into runs whose row counts differ by
 at most one, so a shard covers a small box of every dimension and min/max statistics prune it.
 
@@ -17,22 +17,45 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+from reviewlake.llm.common import stage
 
+#: Salts of a cell at least, and rows of the table for each further one.
+SALTS, SALT_ROWS = 64, 1_000_000
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A double that keeps the order of the column; null sorts first."""
-    if dict(df.dtypes)[name] in ("string", "binary"):
-        head = F.rpad(F.hex(F.substring(F.encode(F.col(name), "utf-8"), 1, 6)), 12, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
-    return F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
 
+def is_text(df: DataFrame, name: str) -> bool:
+    return dict(df.dtypes)[name] in ("string", "binary")
 
-def cuts(df: DataFrame, dims: list[str], bits: int) -> list[list[float]]:
-    """Inner quantile bounds of each dimension over all rows, without repeats: 2**bits - 1 numbers at most."""
-    shares = [i / 2**bits for i in range(1, 2**bits)]
-    row = df.agg(*[F.percentile_approx(as_number(df, d), F.array(*map(F.lit, shares)), 10000).alias(f"q{i}") for i, d in enumerate(dims)]).first()
-    return [sorted(set(row[i] or [])) for i in range(len(dims))]
+
+def number_cuts(df: DataFrame, dims: list[str], bits: int) -> dict[str, list[float]]:
+    """Inner quantile bounds of the number columns, without repeats: 2**bits - 1 of each at most. Nulls lie below all bounds."""
+    shares = F.array(*[F.lit(i / 2**bits) for i in range(1, 2**bits)])
+    row = df.agg(F.count(F.lit(1)), *[F.percentile_approx(F.coalesce(F.col(d).cast("double"), F.lit(float("-inf"))), shares, 10000) for d in dims]).first()
+    return {d: sorted({x for x in row[i + 1] or [] if x != float("-inf")}) for i, d in enumerate(dims)}
+
+
+def text_cuts(df: DataFrame, name: str, bits: int) -> list:
+    """Inner quantile bounds of a string column by its whole values, without repeats: 2**bits - 1 at most.
+
+    The different values, with their counts, are dealt in order to partitions; counts before a partition and within it add up to a
+    value's rank, and those that cross a quantile are the bounds.
+    """
+    values = df.groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = stage(values.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    parts = dealt.groupBy("part").agg(F.sum("n").alias("held"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    parts = parts.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"), F.sum("held").over(Window.partitionBy()).alias("total"))
+    through = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    ranked = dealt.join(F.broadcast(parts), "part").withColumn("through", through)
+    share = lambda c: F.floor(c * F.lit(2**bits) / F.col("total"))
+    crossing = ranked.where(F.col("v").isNotNull() & (share(F.col("through")) > share(F.col("through") - F.col("n"))))
+    return sorted(r["v"] for r in crossing.select("v").collect())
+
+
+def cuts(df: DataFrame, dims: list[str], bits: int) -> list[list]:
+    """The bounds of each dimension."""
+    numbers = number_cuts(df, [d for d in dims if not is_text(df, d)], bits)
+    return [text_cuts(df, d, bits) if is_text(df, d) else numbers[d] for d in dims]
 
 
 def hilbert_index(df: DataFrame, coords: list[str], bits: int, out: str) -> DataFrame:
@@ -59,17 +82,19 @@ def hilbert_index(df: DataFrame, coords: list[str], bits: int, out: str) -> Data
     return df.withColumn(out, reduce(lambda a, b: a + b, spread)).drop("_t", "_on", *x)
 
 
-def hilbert_shards(df: DataFrame, dims: list[str], shards: int, order_by: list[str], bits: int = 4, salts: int = SALTS) -> DataFrame:
+def hilbert_shards(df: DataFrame, dims: list[str], shards: int, order_by: list[str], bits: int = 4) -> DataFrame:
     """Add hilbert, shard and slot (gapless from 0 within a shard) to every row.
 
     Null dimensions sort first; rows equal in every order_by column take any order among themselves; an
     empty table gives an empty result; columns other than those added are kept as they are.
     """
     bounds = cuts(df, dims, bits)
+    salts = max(SALTS, df.count() // SALT_ROWS)
     coords = [f"_c{i}" for i in range(len(dims))]
     cell = F.lit(0).cast("long")
     for name, d, at in zip(coords, dims, bounds, strict=True):
-        above = [F.when(as_number(df, d) >= F.lit(b), 1).otherwise(0) for b in at]
+        value = F.col(d) if is_text(df, d) else F.col(d).cast("double")
+        above = [F.when(value >= F.lit(b), 1).otherwise(0) for b in at]  # null is above none
         df = df.withColumn(name, reduce(lambda a, b: a + b, above, F.lit(0)))
         cell = F.shiftleft(cell, bits) + F.col(name)
     df = df.withColumns({"_cell": cell, "_salt": F.pmod(F.xxhash64(*order_by), F.lit(salts)).cast("int")})
@@ -95,7 +120,11 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """The digest: doc_id, size, text_crc32, law, shard, slot, grown_shard. The text is read once and never shuffled."""
+    """The digest: doc_id, size, text_crc32, law, shard, slot, grown_shard. Texts are never shuffled.
+
+    Null text counts as empty; null ids and metadata sort first; repeated rows each have their slot; other columns of docs, whatever their
+    names, don't matter; an empty table gives no rows.
+    """
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
     meta = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", "n_chars",
