@@ -62,8 +62,10 @@ def pack_vectors(demands: np.ndarray, limits: tuple[int, ...]) -> np.ndarray:
 def pack(pieces: DataFrame, tokens_col: str, loss_col: str, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, TOKENS), keys: tuple[str, ...] = ()) -> DataFrame:
     """Add sequence_id and offset. keys: columns that identify a row, by which rows are dealt and ordered.
 
-    Segments count 1 a row. Ties keep the order of keys; null demands count as 0; an empty table gives none.
+    Segments count 1 a row. Ties keep the order of keys; null demands count as 0; rows equal in all keys fall into one bucket; other
+    columns may have any name but those two; an empty table gives none.
     """
+    bucket = next(x for x in ("_bucket" + "_" * k for k in range(len(pieces.columns) + 1)) if x not in pieces.columns)
     n = pieces.count()
     buckets = max(1, math.ceil(n / BUCKET))
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id long, offset long"
@@ -76,13 +78,13 @@ def pack(pieces: DataFrame, tokens_col: str, loss_col: str, limits: tuple[int, i
         order = np.argsort(bins, kind="stable")
         before = np.cumsum(size[order]) - size[order]
         first = np.r_[True, bins[order][1:] != bins[order][:-1]]
-        out = rows.iloc[order].drop(columns="_bucket")
+        out = rows.iloc[order].drop(columns=bucket)
         out["sequence_id"] = (int(key[0]) << 32) + bins[order]
         out["offset"] = before - np.maximum.accumulate(np.where(first, before, 0))
         return out
 
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*(keys or pieces.columns)), F.lit(buckets)))
-    return dealt.groupBy("_bucket").applyInPandas(run, schema)
+    dealt = pieces.withColumn(bucket, F.pmod(F.xxhash64(*(keys or pieces.columns)), F.lit(buckets)))
+    return dealt.groupBy(bucket).applyInPandas(run, schema)
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, end: int, length: int = TOKENS) -> DataFrame:
@@ -102,8 +104,12 @@ def pieces_of(docs: DataFrame, tokenizer: str, end: int, length: int = TOKENS) -
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, TOKENS)) -> DataFrame:
-    """Tokenize whole texts, add the end id, cut and pack. A piece's first id bears no loss: nothing predicts it."""
+    """Tokenize whole texts, add the end id, cut and pack. A piece's first id bears no loss: nothing predicts it.
+
+    Null and empty texts are their end id alone; null ids and repeated rows are packed like others; other columns of docs, whatever
+    their names, don't matter; an empty table gives no rows.
+    """
     with small_batches(docs.sparkSession):
-        pieces = stage(pieces_of(docs, tokenizer, end, limits[0]), "pieces").withColumn("loss", F.col("length") - 1)
-    packed = pack(pieces, "length", "loss", limits, ("doc_id", "start", "ids_crc32"))
+        pieces = stage(pieces_of(docs, tokenizer, end, limits[0]).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    packed = pack(pieces.withColumn("loss", F.col("length") - 1), "length", "loss", limits, ("doc_id", "start", "ids_crc32", "row"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -324,6 +324,18 @@ def test_hilbert(spark, docs, rows, empty):
     assert [p[0] for p in path] == list(range(256)) and all(abs(a[1] - b[1]) + abs(a[2] - b[2]) == 1 for a, b in zip(path, path[1:], strict=False))
 
 
+def test_shards_cover_small_boxes_of_every_dimension(spark, tmp_path):
+    """Also where strings share a long prefix: file statistics of the written shards prune by each dimension."""
+    d = spark.range(4096).select("id", F.format_string("https://www.example.com/a/long/common/prefix/%04d", F.pmod(F.col("id") * 2654435761, F.lit(4096)).cast("int")).alias("url"), F.pmod(F.col("id") * 40503, F.lit(65536)).cast("int").alias("size"))
+    d = d.withColumn("url", F.when(F.col("id") % 97 > 0, F.col("url")))
+    hilbert.write_shards(hilbert.hilbert_shards(d, ["url", "size"], 16, ["id"]), f"file://{tmp_path}/out")
+    got = spark.read.parquet(f"file://{tmp_path}/out").toPandas()
+    assert sorted(got["id"]) == list(range(4096)) and got.groupby("shard").size().tolist() == [256] * 16
+    rank = {u: k for k, u in enumerate(sorted(got["url"].dropna().unique()))}
+    spans = got.assign(u=got["url"].map(rank).fillna(-1)).groupby("shard").agg(u=("u", lambda x: x.max() - x.min()), s=("size", lambda x: x.max() - x.min()))
+    assert spans["u"].mean() < 0.5 * 4096 and spans["s"].mean() < 0.5 * 65536  # rows dealt at random would span nearly all
+
+
 def test_language_scores(docs, rows, empty):
     got = {(r["doc_id"]): r for r in ppm.language_scores(docs).collect()}
     tokens = {i: words(lower(t)) + [None] for i, t in rows}
@@ -418,6 +430,20 @@ def test_vector_limits_hold():
     assert bins.max() + 1 <= 1.25 * max(d[:, 0].sum() / 100, 100, d[:, 2].sum() / 70)
 
 
+def test_packing_of_instruction_data_with_little_padding(spark):
+    """Examples whose loss is of answers alone: the third limit binds, the others don't, and bins are near their least number."""
+    rng = np.random.default_rng(4)
+    rows = [(k, int(p + a), int(a)) for k, (p, a) in enumerate(zip(rng.integers(10, 400, 900), rng.integers(10, 300, 900), strict=True))]
+    d = spark.createDataFrame([(*r, "own") for r in rows], "id long, tokens long, answer long, _bucket string")
+    got = packing.pack(d, "tokens", "answer", (4096, 64, 1200), ("id",)).toPandas()
+    by = got.groupby("sequence_id").agg(t=("tokens", "sum"), a=("answer", "sum"), n=("id", "size"))
+    assert len(got) == 900 and set(got["_bucket"]) == {"own"} and by["t"].max() <= 4096 and by["a"].max() <= 1200
+    assert len(by) <= 1.05 * by["a"].sum() / 1200 and by["a"].sum() / 1200 > 1.1 * by["t"].sum() / 4096
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    p = packing.pack_documents(docs, tokenizer_path()).toPandas()
+    assert p["length"].sum() >= 0.98 * 4096 * p["sequence_id"].nunique()
+
+
 def test_every_operator_has_its_query():
     assert {q.split("_")[0] for q in queries()} == {f"op{k}" for k in range(1, 11)}
 
