@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,29 +22,61 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of a few numbers up to which a table is broadcast to a join, after it was counted.
+FEW = 300_000
+
 _staged: list[str] = []
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and reread it: cuts lineage, survives lost executors, is computed once.
 
-    The files stay until drop_stages, as results read them when they are asked for.
+    The files stay until drop_stages, or until the block of scratch() that they belong to ends: results read them when they are asked for.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
     _staged.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def drop_stages(spark: SparkSession) -> int:
-    """Delete what this process has staged so far, once its results are written; returns how many folders."""
+def drop_stages(spark: SparkSession, since: int = 0, kept: tuple[str, ...] = ()) -> int:
+    """Delete what this process has staged (since a count of folders), once its results are written; returns how many folders."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    count = len(_staged)
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+    gone = [p for p in _staged[since:] if p not in kept]
+    _staged[since:] = [p for p in _staged[since:] if p in kept]
+    for p in gone:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
-    return count
+    return len(gone)
+
+
+def drop(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in staged:
+        at = _staged.index(df.staged_at)
+        drop_stages(df.sparkSession, at, tuple(_staged[at + 1 :]))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is staged inside is deleted at the end, but for tables that are passed to the function given."""
+    since, kept = len(_staged), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.staged_at)
+        return df
+
+    yield keep
+    drop_stages(spark, since, tuple(kept))
+
+
+def if_few(df: DataFrame, name: str) -> DataFrame:
+    """df staged, to be broadcast where it has FEW rows at most: then the other side of a join isn't shuffled."""
+    df = stage(df, name)
+    return F.broadcast(df) if df.count() <= FEW else df
 
 
 @contextmanager
@@ -71,7 +103,7 @@ def text_key(col: str = "text") -> Column:
 
 def without_rows(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id (null equals null) and text aren't those of a rejected row. rejected: id_col, text_key."""
-    gone = rejected.select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).distinct()
+    gone = if_few(rejected.select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).distinct(), "rejected")
     return docs.join(gone, F.col(id_col).eqNullSafe(gone["_id"]) & (text_key(text_col) == gone["_key"]), "left_anti")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import stage
+from reviewlake.llm.common import drop, stage
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     mark = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
     now, seen = stage(now, "edges"), None
     while (found := tuple(now.agg(*mark).first())) != seen and found[0]:
-        seen = found
-        now = stage(_star(_star(now, True), False), "edges")
+        seen, last = found, now
+        now = stage(_star(_star(last, True), False), "edges")
+        drop(last)
     least = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(least)

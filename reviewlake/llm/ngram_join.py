@@ -23,10 +23,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import small_batches, stage, utf8
+from reviewlake.llm.common import drop, scratch, small_batches, stage, utf8
 from reviewlake.llm.components import components
 from reviewlake.llm.words import cut
 
@@ -36,6 +37,8 @@ WORDS = 3
 TILE = 256
 #: Ratio of a size band's ends, and of the bands of a family's blocks.
 BAND, NARROW = 1.35, 1.06
+#: Logarithm of the bits of a filter of keys that several documents have; where there are more keys it only lets more through.
+FILTER = 27
 #: A key is common from COMMON documents and one in 2**RARE documents on: at most 2**RARE times the keys of a document.
 COMMON, RARE = 64, 14
 
@@ -193,16 +196,28 @@ def links_of(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return pairs.join(side(1, "a"), "a").join(side(2, "b"), "b").mapInArrow(run, "a long, b long")
 
 
-def posts_of(reps: DataFrame, least: int, common: np.ndarray, times: np.ndarray) -> DataFrame:
-    """id, key: the keys that each document meets others by."""
+def filter_of(keys: DataFrame) -> np.ndarray:
+    """One bit for each key, by its low bits: 2**(FILTER - 6) words at most."""
+    word, bit = F.col("key").bitwiseAND(F.lit((1 << FILTER - 6) - 1)), F.shiftrightunsigned("key", FILTER - 6).bitwiseAND(F.lit(63)).cast("int")
+    rows = keys.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")).toArrow()
+    out = np.zeros(1 << FILTER - 6, np.uint64)
+    out[np.asarray(rows.column("word"))] = np.asarray(rows.column("bits")).view(np.uint64)
+    return out
+
+
+def posts_of(reps: DataFrame, least: int, sent: Broadcast) -> DataFrame:
+    """id, key: the keys that each document meets others by. sent: common keys in order, their times, the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, times, bits = sent.value
         for b in batches:
             lists, n = b.column(2), b.column(1).to_pylist()
             flat, ends = np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             kept = [rarest_keys(flat[ends[i] : ends[i + 1]], n[i], least, common, times) for i in range(len(n))]
             ids = np.repeat(np.asarray(b.column(0)), [len(k) for k in kept])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([*kept, np.empty(0, np.uint64)]).view(np.int64))], ["id", "key"])
+            keys = np.concatenate([*kept, np.empty(0, np.uint64)])
+            met = bits[(keys & np.uint64(len(bits) - 1)).astype(np.int64)] >> (keys >> np.uint64(FILTER - 6) & np.uint64(63)) & np.uint64(1) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(keys[met].view(np.int64))], ["id", "key"])
 
     return reps.select("id", "n", "keys").mapInArrow(run, "id long, key long")
 
@@ -215,7 +230,7 @@ def star_pairs(reps: DataFrame, least: int) -> DataFrame:
     found = keys.where(F.col("times") >= bar).select("key", "times").toArrow()  # 2**RARE times the keys of a document at most
     common, times = np.asarray(found.column("key")).view(np.uint64), np.asarray(found.column("times"))
     order = np.argsort(common)
-    posts = posts_of(reps, least, common[order], times[order])
+    posts = posts_of(reps, least, reps.sparkSession.sparkContext.broadcast((common[order], times[order], filter_of(keys))))
     return posts.join(keys, "key").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct()
 
 
@@ -296,20 +311,26 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows without words have no shingles and link with nothing; rows with a null id get a null component;
     repeated rows share their component; an empty table gives no rows.
     """
-    with small_batches(docs.sparkSession):
-        signed = stage(sign(docs, id_col, text_col, least, words), "signed")
+    with small_batches(docs.sparkSession), scratch(docs.sparkSession) as keep:
+        return keep(stage(_similar(docs, id_col, text_col, least, words), "similar"))
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, least: int, words: int) -> DataFrame:
+    signed = stage(sign(docs, id_col, text_col, least, words), "signed")
     linked = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = linked.groupBy("set_hash").agg(F.min("id").alias("id"))
     reps = linked.join(classes, ["set_hash", "id"], "left_semi")
-    with small_batches(docs.sparkSession):
-        stars = stage(star_pairs(reps, least), "stars")
+    stars = stage(star_pairs(reps, least), "stars")
 
     families = stage(components(stars, "a", "b"), "families")
     in_family = families.select(F.col("node").alias("id"))
     near = stage(linked.select("id", "n", "bits").join(in_family, "id", "left_semi").dropDuplicates(["id"]), "near")
+    narrow = stage(signed.select("id", "n", "set_hash"), "narrow")
+    drop(signed)  # keys and bitmaps of all documents
+    linked = narrow.where((F.col("n") > 0) & F.col("id").isNotNull())
+    classes = linked.groupBy("set_hash").agg(F.min("id").alias("id"))
     first = stage(open_pairs(stars, near, least), "pairs")
-    with small_batches(docs.sparkSession):
-        sets = stage(sets_of(docs, id_col, text_col, in_family, words).dropDuplicates(["id"]), "sets")
+    sets = stage(sets_of(docs, id_col, text_col, in_family, words).dropDuplicates(["id"]), "sets")
     links = stage(links_of(first, sets, least), "links")
     for forest in (True, False):
         found = components(links, "a", "b")
@@ -317,12 +338,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         nodes = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         nodes = stage(in_blocks(stage(nodes, "nodes")).join(near.select("id", "bits"), "id"), "blocks")
         more = stage(tile_pairs(nodes, least, forest), "pairs")
+        drop(nodes)
         if more.isEmpty():
             break
         links = stage(links.unionByName(links_of(more, sets, least)), "links")
     else:
         found = components(links, "a", "b")
     where = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
-    out = signed.join(where, "set_hash", "left")
+    out = narrow.join(where, "set_hash", "left")
     own = F.when(F.col("id").isNotNull() & (F.col("n") == 0), F.col("id")).when(F.col("id").isNotNull(), F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import stage, table, without_rows
+from reviewlake.llm.common import if_few, table, without_rows
 from reviewlake.llm.decontam import contamination
 from reviewlake.llm.ngram_join import similar_documents
 from reviewlake.llm.packing import pack_documents
@@ -29,16 +29,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: that of the least id, a null id last; of rows that share an id any one.
 
-    Rows are numbered for this, so those that share an id, or have none, are told apart. Texts without words are no one's
-    duplicates.
+    Rows are told apart by a 64-bit hash of id and text; rows equal in both are one. Texts without words are no one's
+    duplicates, but repeated rows of such a text with one id are one, too.
     """
-    names = [f"c{k}" for k in range(len(docs.columns))]  # so that a column of docs may have any name
-    rows = stage(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "numbered")
-    id_of, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
-    found = similar_documents(rows.select("row", F.col(text).alias("text")), "row", least=SIMILAR, words=WORDS)
-    both = found.select("row", F.col("component_id").alias("group")).join(rows.select("row", F.col(id_of).alias("id")), "row")
+    row = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row")
+    found = similar_documents(docs.select(row, "text"), "row", least=SIMILAR, words=WORDS)
+    both = found.select("row", F.col("component_id").alias("group")).join(docs.select(row, F.col("doc_id").alias("id")), "row").distinct()
     first = both.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("row"))
-    return rows.join(first, "row", "left_semi").select(names).toDF(*docs.columns)
+    gone = if_few(both.join(first, "row", "left_anti").select(F.col("row").alias("_row")), "gone")
+    kept = docs.join(gone, row == gone["_row"], "left_anti")
+    again = if_few(found.groupBy("row").count().where("count > 1").select(F.col("row").alias("_row")), "again")
+    if again.isEmpty():
+        return kept
+    names = [f"c{k}" for k in range(len(docs.columns))]  # so that a column of docs may have any name
+    copies = kept.join(again, row == again["_row"], "left_semi").select(row, *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    return kept.join(again, row == again["_row"], "left_anti").union(copies.dropDuplicates(["row"]).select(names).toDF(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
