@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import drop, scratch, small_batches, stage, utf8
+from reviewlake.llm.common import drop, if_few, scratch, small_batches, stage, utf8
 from reviewlake.llm.components import components
 from reviewlake.llm.words import cut
 
@@ -330,8 +330,15 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, least: int, words: int
     linked = narrow.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = linked.groupBy("set_hash").agg(F.min("id").alias("id"))
     first = stage(open_pairs(stars, near, least), "pairs")
-    sets = stage(sets_of(docs, id_col, text_col, in_family, words).dropDuplicates(["id"]), "sets")
-    links = stage(links_of(first, sets, least), "links")
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        ids = if_few(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+        sets = stage(sets_of(docs, id_col, text_col, ids, words).dropDuplicates(["id"]), "sets")
+        out = stage(links_of(pairs, sets, least), "links")
+        drop(sets)
+        return out
+
+    links = decided(first)
     for forest in (True, False):
         found = components(links, "a", "b")
         nodes = near.select("id", "n").join(families.select(F.col("node").alias("id"), F.col("component").alias("family")), "id")
@@ -341,7 +348,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, least: int, words: int
         drop(nodes)
         if more.isEmpty():
             break
-        links = stage(links.unionByName(links_of(more, sets, least)), "links")
+        links = stage(links.unionByName(decided(more)), "links")
     else:
         found = components(links, "a", "b")
     where = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
