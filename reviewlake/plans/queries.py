@@ -631,12 +631,12 @@ def review_slice(spark, sf_dir):
 # ---- sources, dataflow, streams ----------------------------------------------------------------------------
 
 
-@query("s3_json_path", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE json_extract_string(props, '$.k')::BIGINT % 2 = 0")
+@query("s3_json_path", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 def s3(spark, sf_dir):
     from reviewlake.sources.tool_output import get
 
     e = B.table(spark, sf_dir, "events").withColumn("doc", F.try_parse_json("props"))
-    return e.select("event_id", get("doc", "$.k", "bigint").alias("k")).where("k % 2 = 0")
+    return e.select("event_id", get("doc", "$.k", "bigint").alias("k"))
 
 
 @query("s9_evidence_markers", "SELECT event_id, 'validation' AS kind, event_type AS message, 'rule-' || (event_id % 7) AS rule_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 5 END AS start_line FROM events WHERE event_id % 3 = 0")
@@ -655,14 +655,14 @@ def t4(spark, sf_dir):
     return J.as_of(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "click", F.col("event_id"), "def_id").select("event_id", "def_id")
 
 
-@query("t5_reachable", """WITH RECURSIVE e(src, dst) AS (SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem), r(node, origin) AS (SELECT 'c' || c_custkey, c_nationkey::VARCHAR FROM customer WHERE c_nationkey < 2 UNION SELECT e.dst, r.origin FROM r JOIN e ON e.src = r.node) SELECT node, origin FROM r""")
+@query("t5_reachable", """WITH RECURSIVE e(src, dst) AS (SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem), r(node, origin) AS (SELECT 'c' || c_custkey, c_nationkey::VARCHAR FROM customer UNION SELECT e.dst, r.origin FROM r JOIN e ON e.src = r.node) SELECT node, origin FROM r""")
 def t5(spark, sf_dir):
     from reviewlake.operators.reach import reachable
 
     t = lambda n: B.table(spark, sf_dir, n)
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = t("orders").select(tag("c", "o_custkey").alias("src"), tag("o", "o_orderkey").alias("dst")).unionByName(t("lineitem").select(tag("o", "l_orderkey").alias("src"), tag("p", "l_partkey").alias("dst")))
-    seeds = t("customer").where("c_nationkey < 2").select(tag("c", "c_custkey").alias("node"), F.col("c_nationkey").cast("string").alias("origin"))
+    seeds = t("customer").select(tag("c", "c_custkey").alias("node"), F.col("c_nationkey").cast("string").alias("origin"))
     unit = F.lit(1).alias("unit")
     return reachable(seeds.select(unit, "*"), edges.select(unit, "*"), ["unit"], 8, ("origin",)).select("node", "origin")
 
@@ -705,13 +705,13 @@ def t12(spark, sf_dir):
 HARDER = f"(o <> n AND (({_prone('o')} AND NOT {_prone('n')}) OR {score_sql('o')} > {score_sql('n')} OR ({COMMA.format('o')} AND NOT {COMMA.format('n')}) OR ({ANCHORS.format('n')} > {ANCHORS.format('o')} AND ({_prone('o')} OR {score_sql('o')} >= 2))))"
 
 
-@query("t13_redos_hardening_delta", f"WITH p AS (SELECT e.user_id, {shape_sql('(e.event_id // 50)')} AS n, {shape_sql('(f.event_id // 20)')} AS o, f.event_id AS k FROM (SELECT * FROM events WHERE event_id % 50 = 0) e JOIN (SELECT * FROM events WHERE event_id % 20 = 7) f ON e.user_id = f.user_id), q AS (SELECT *, {score_sql('o')} - {score_sql('n')} AS d FROM p WHERE {HARDER}) SELECT user_id, n AS new_pattern, o AS old_pattern, d::BIGINT AS drop FROM (SELECT *, row_number() OVER (PARTITION BY user_id, n ORDER BY d DESC, k) AS r FROM q) WHERE r = 1")
+@query("t13_redos_hardening_delta", f"WITH n AS (SELECT DISTINCT user_id, {shape_sql('(event_id // 50)')} AS n FROM events), o AS (SELECT user_id, {shape_sql('(event_id // 20)')} AS o, min(event_id) AS k FROM events GROUP BY 1, 2), p AS (SELECT user_id, n, o, k FROM n JOIN o USING (user_id)), q AS (SELECT *, {score_sql('o')} - {score_sql('n')} AS d FROM p WHERE {HARDER}) SELECT user_id, n AS new_pattern, o AS old_pattern, d::BIGINT AS drop FROM (SELECT *, row_number() OVER (PARTITION BY user_id, n ORDER BY d DESC, k) AS r FROM q) WHERE r = 1")
 def t13(spark, sf_dir):
     from reviewlake.operators.taint import redos_hardening_delta
 
     e = B.table(spark, sf_dir, "events")
-    new = e.where("event_id % 50 = 0").select("user_id", _shape(F.floor(F.col("event_id") / 50)).alias("new_pattern"))
-    old = e.where("event_id % 20 = 7").select("user_id", _shape(F.floor(F.col("event_id") / 20)).alias("old_pattern"), F.col("event_id").alias("old_seq"))
+    new = e.select("user_id", _shape(F.floor(F.col("event_id") / 50)).alias("new_pattern"))
+    old = e.select("user_id", _shape(F.floor(F.col("event_id") / 20)).alias("old_pattern"), F.col("event_id").alias("old_seq"))
     return longs(redos_hardening_delta(old, new, ["user_id"]), "drop")
 
 

@@ -49,11 +49,12 @@ def parse_semgrep(runs: DataFrame, payload: str = "payload") -> DataFrame:
 
 def parse_sarif(runs: DataFrame, payload: str = "payload", adapter: str = "codeql") -> DataFrame:
     """First location only. Rules of the driver and of extensions; a later one of the same id wins."""
-    r = each(parsed(runs, payload).withColumn("_id", F.monotonically_increasing_id()), "doc", "$.runs", "run", "run_no")
+    docs = runs.select("review_id", "tool_name", F.xxhash64(payload).alias("report"), F.try_parse_json(F.col(payload)).alias("doc"))
+    r = each(docs, "doc", "$.runs", "run", "run_no")
     results = each(r, "run", "$.results", "r", "seq")
-    driver = each(r, "run", "$.tool.driver.rules", "rule", "n").withColumn("part", F.lit(-1)).select("review_id", "tool_name", "run_no", "part", "n", "rule")
-    extensions = each(each(r, "run", "$.tool.extensions", "ext", "part"), "ext", "$.rules", "rule", "n").select("review_id", "tool_name", "run_no", "part", "n", "rule")
-    keys = ["review_id", "tool_name", "run_no", "rule_id"]
+    driver = each(r, "run", "$.tool.driver.rules", "rule", "n").withColumn("part", F.lit(-1)).select("review_id", "tool_name", "report", "run_no", "part", "n", "rule")
+    extensions = each(each(r, "run", "$.tool.extensions", "ext", "part"), "ext", "$.rules", "rule", "n").select("review_id", "tool_name", "report", "run_no", "part", "n", "rule")
+    keys = ["review_id", "tool_name", "report", "run_no", "rule_id"]  # rules are those of their own report
     rules = driver.unionByName(extensions).withColumn("rule_id", filled(get("rule", "$.id"))).where("rule_id is not null")
     rules = rules.select(*keys, "part", "n", get("rule", "$.defaultConfiguration.level").alias("_level"), F.to_json(F.try_variant_get("rule", "$.properties", "variant")).alias("metadata"))
     rules = rules.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("part"), F.desc("n")))).where("_k = 1").drop("_k", "part", "n")
@@ -62,7 +63,7 @@ def parse_sarif(runs: DataFrame, payload: str = "payload", adapter: str = "codeq
     uri = slashes(get("r", f"{place}.artifactLocation.uri"))
     path = F.when(F.startswith(uri, F.lit("file:///")), F.substr(uri, F.lit(9))).when(F.startswith(uri, F.lit("file://")), F.substr(uri, F.lit(8))).otherwise(F.ltrim(uri, F.lit("./")))
     found = results.where(filled(uri).isNotNull() & (start > 0)).select(
-        "review_id", "tool_name", "run_no", F.lit(adapter).alias("adapter"), F.coalesce(get("r", "$.ruleId"), F.lit("")).alias("rule_id"), F.coalesce(first_of("r", "$.message.text", "$.message.markdown"), F.lit("")).alias("message"),
+        "review_id", "tool_name", "report", "run_no", F.lit(adapter).alias("adapter"), F.coalesce(get("r", "$.ruleId"), F.lit("")).alias("rule_id"), F.coalesce(first_of("r", "$.message.text", "$.message.markdown"), F.lit("")).alias("message"),
         path.alias("file_path"), start.alias("start_line"), F.coalesce(get("r", f"{place}.region.endLine", INT), start).alias("end_line"), filled(get("r", "$.level")).alias("_own"), "seq",
     )
     out = found.join(rules, keys, "left").withColumn("severity", F.lower(F.coalesce("_own", filled("_level"), F.lit("unknown"))))

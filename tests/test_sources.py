@@ -110,3 +110,15 @@ def test_sarif(spark):
     run = json.loads(K.to_sarif(f).first()["sarif"])["runs"][0]
     (r,) = run["results"]
     assert r["level"] == "error" and r["locations"][0]["physicalLocation"]["region"] == {"startLine": 2, "endLine": 4} and r["partialFingerprints"] == {"findingId": "id1"}
+
+
+def test_sarif_rules_belong_to_their_report(spark):
+    """Two reports of one review and tool that give one rule two levels."""
+    from reviewlake.sources.tool_output import parse_sarif
+
+    def report(level):
+        place = '[{"physicalLocation": {"artifactLocation": {"uri": "a.py"}, "region": {"startLine": 3}}}]'
+        return '{"runs": [{"tool": {"driver": {"rules": [{"id": "r", "defaultConfiguration": {"level": "%s"}}]}}, "results": [{"ruleId": "r", "message": {"text": "%s"}, "locations": %s}]}]}' % (level, level, place)
+
+    runs = spark.createDataFrame([("1", "t", report("error")), ("1", "t", report("note"))], "review_id string, tool_name string, payload string")
+    assert sorted((r["message"], r["severity"]) for r in parse_sarif(runs).collect()) == [("error", "error"), ("note", "note")]
