@@ -1,17 +1,18 @@
 """Word-shingle Jaccard self-join: size-banded tiles, hashed bitmaps, exact intersections.
 
-Families. Two sets that link differ in few shingles: with s1 + s2 = S, in at most S (1 - t) / (1 + t). The hash
+Keys. Two sets that link differ in few shingles: with s1 + s2 = S, in at most S (1 - t) / (1 + t). The hash
 range is cut into more segments than that, so some segments are equal in both; equal segments of documents of one
 size band are an equi-join, on keys far more selective than single shingles. Spare segments are added, and as many of
 a document's keys are left out, the commonest first (a prefix filter: one order for all documents, so two that link
 still meet): segments without shingles, and those that hold nothing but a passage that many documents share.
 
 Pairs. Sets that are equal are one class. In each group of equal keys, members are first held against the
-least member only. What is still apart within a family (documents chained by keys) is compared in tiles of two blocks,
-each of one size band: bit counts of hashed bitmaps bound the overlap from above, and pairs that they leave open are
-decided on the sorted sets; first a forest of the likeliest pairs of each tile, then every pair across components. Blocks
-hold about TILE documents, of one component where it fills a block, and tiles within one component are left out. So no
-link is lost, no group emits all its pairs, and no family or key is gathered in one task.
+least member only. Groups whose members are still in several components are compared, groups of the same members once, in
+tiles: a small group is one tile, a larger one is cut into blocks of one size band, of about TILE documents, of one component
+where it fills a block, and tiles are two blocks each; those within one component are left out. Bit counts of hashed bitmaps
+bound the overlap from above, and pairs that they leave open are decided on the sorted sets; first a forest of the likeliest
+pairs of each tile, then every pair across components. So no link is lost, no group emits all its pairs, and no key is
+gathered in one task.
 """
 
 from __future__ import annotations
@@ -35,12 +36,14 @@ from reviewlake.llm.words import cut
 LEAST = 90
 WORDS = 3
 TILE = 256
-#: Ratio of a size band's ends, and of the bands of a family's blocks.
+#: Ratio of a size band's ends, and of the bands of a large group's blocks.
 BAND, NARROW = 1.35, 1.06
 #: Logarithm of the bits of a filter of keys that several documents have; where there are more keys it only lets more through.
 FILTER = 27
 #: A key is common from COMMON documents and one in 2**RARE documents on: at most 2**RARE times the keys of a document.
 COMMON, RARE = 64, 14
+#: Members of small groups that one call of the comparison takes.
+DEAL = 4000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -222,8 +225,8 @@ def posts_of(reps: DataFrame, least: int, sent: Broadcast) -> DataFrame:
     return reps.select("id", "n", "keys").mapInArrow(run, "id long, key long")
 
 
-def star_pairs(reps: DataFrame, least: int) -> DataFrame:
-    """Distinct (a, b): each document b with the least one that has a key in common with it."""
+def shared_keys(reps: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """id, key of the keys that each document meets others by; and distinct (a, b): each document b with the least one of a key."""
     keys = reps.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("times"))
     keys = stage(keys.where("times > 1"), "keys")
     bar = max(COMMON, reps.count() >> RARE)
@@ -231,7 +234,21 @@ def star_pairs(reps: DataFrame, least: int) -> DataFrame:
     common, times = np.asarray(found.column("key")).view(np.uint64), np.asarray(found.column("times"))
     order = np.argsort(common)
     posts = posts_of(reps, least, reps.sparkSession.sparkContext.broadcast((common[order], times[order], filter_of(keys))))
-    return posts.join(keys, "key").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct()
+    posts = stage(posts.join(keys, "key").select("id", "key", "a"), "posts")
+    return posts.select("id", "key"), posts.where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct()
+
+
+def open_groups(posts: DataFrame, found: DataFrame) -> DataFrame:
+    """id, family (a key), size, component of the groups with members in several components; of groups of the same members one.
+
+    posts: id, key; found: node, component of those that links join. Members are told by two 64-bit sums of hashes and a count.
+    """
+    found = if_few(found.withColumnRenamed("node", "id"), "found")
+    members = stage(posts.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
+    same = [F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+    groups = members.groupBy("key").agg(*same, F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2")
+    groups = if_few(groups.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size"), "groups")
+    return members.join(groups, "key").withColumnRenamed("key", "family")
 
 
 def in_blocks(nodes: DataFrame) -> DataFrame:
@@ -240,9 +257,9 @@ def in_blocks(nodes: DataFrame) -> DataFrame:
     A component with TILE documents in a band has blocks of its own (part: its id); the others of a band share blocks.
     """
     nodes = nodes.withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(NARROW)))))
-    sizes = nodes.groupBy("family", "band", "component").agg(F.count(F.lit(1)).alias("size"))
-    sizes = sizes.withColumn("part", F.when(F.col("size") >= TILE, F.col("component")))
-    blocks = sizes.groupBy("family", "band", "part").agg(F.ceil(F.sum("size") / TILE).alias("salts"))
+    sizes = nodes.groupBy("family", "band", "component").agg(F.count(F.lit(1)).alias("members"))
+    sizes = sizes.withColumn("part", F.when(F.col("members") >= TILE, F.col("component")))
+    blocks = sizes.groupBy("family", "band", "part").agg(F.ceil(F.sum("members") / TILE).alias("salts"))
     plain = sizes.select("family", "band", "component", "part")
     same = (plain["family"] == blocks["family"]) & (plain["band"] == blocks["band"]) & plain["part"].eqNullSafe(blocks["part"])
     where = plain.join(blocks, same).select(plain["family"], plain["band"], plain["component"], plain["part"], "salts")
@@ -261,48 +278,71 @@ def tiles_of(nodes: DataFrame, least: int) -> DataFrame:
     return blocks.join(other, "family").where((F.col("block") <= F.col("block_r")) & apart & sizes).select("family", F.col("block").alias("left"), F.col("block_r").alias("right"))
 
 
-def tile_pairs(nodes: DataFrame, least: int, forest: bool) -> DataFrame:
-    """Open pairs (a, b) across components of a family, from tiles of bitmaps. nodes: id, n, bits, family, component, band, own, part, salt.
+def in_tiles(nodes: DataFrame, least: int) -> DataFrame:
+    """id, n, component, tile, alone (of one block), first (of the left block), and the deal of tiles that is compared at once.
+
+    nodes: id, n, family, size, component. Small groups are dealt out together, each as one tile; a tile of two blocks is a deal.
+    """
+    tile = ["id", "n", "component", "deal", "tile", "alone", "first"]
+    small, large = nodes.where(F.col("size") <= TILE), nodes.where(F.col("size") > TILE)
+    deal = F.pmod(F.xxhash64("family"), F.lit(1 + small.count() // DEAL))
+    out = small.select("*", deal.alias("deal"), F.col("family").alias("tile"), F.lit(True).alias("alone"), F.lit(True).alias("first")).select(tile)
+    if large.isEmpty():
+        return out
+    blocks = stage(in_blocks(large), "blocks")
+    sides = tiles_of(blocks, least).select("*", (F.col("left") == F.col("right")).alias("alone"), F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
+    sides = sides.select("family", F.xxhash64("family", "left", "right").alias("tile"), "alone", (F.col("block") == F.col("left")).alias("first"), "block.*")
+    return out.unionByName(blocks.join(sides, ["family", "band", "own", "part", "salt"]).withColumn("deal", F.col("tile")).select(tile))
+
+
+def spanning(found: list[tuple], part: np.ndarray) -> list[tuple]:
+    """Of pairs in order of distance, those that join components that earlier ones leave apart."""
+    root = {c: c for c in set(part.tolist())}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    kept = []
+    for f in sorted(found):
+        x, y = top(part[f[1]]), top(part[f[2]])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(f)
+    return kept
+
+
+def tile_pairs(tiles: DataFrame, near: DataFrame, least: int, forest: bool) -> DataFrame:
+    """Open pairs (a, b) across components, from tiles of bitmaps. near: id, bits.
 
     forest: of each tile only as many pairs as could join its components, those of the highest bound first.
     """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "id"], ignore_index=True)
-        words = min(map(len, rows["bits"])) // 8
-        bits = np.stack([fold(np.frombuffer(x, np.uint64), words) for x in rows["bits"]])
-        n, part, ids = rows["n"].to_numpy(), rows["component"].to_numpy(), rows["id"].to_numpy()
-        first = rows["first"].to_numpy()
-        alone = bool(rows["alone"].iloc[0])
-        found = []
+    def compare(rows: pd.DataFrame) -> Iterator[tuple[int, int]]:
+        n, part, ids, first = (rows[c].to_numpy() for c in ("n", "component", "id", "first"))
+        maps = [np.frombuffer(x, np.uint64) for x in rows["bits"]]
+        widths = np.array([len(x) for x in maps])  # they grow with n
+        alone, found = bool(rows["alone"].iloc[0]), []
+        folded = {w: np.stack([fold(x, min(w, len(x))) if len(x) >= w else np.zeros(w, np.uint64) for x in maps]) for w in (np.unique(widths).tolist() if alone else [int(widths.min())])}
         for i in np.flatnonzero(first):
-            j = np.arange(i + 1, len(ids)) if alone else np.flatnonzero(~first)
+            if alone:
+                bits, j = folded[int(widths[i])], np.arange(i + 1, np.searchsorted(n, n[i] * 100 // least, "right"))
+            else:
+                bits, j = folded[int(widths.min())], np.flatnonzero(~first)
             j = j[part[j] != part[i]]
             apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64)
             ok = may_link(n[i], n[j], apart, least)
             found += zip(apart[ok] / (n[i] + n[j][ok]), [i] * int(ok.sum()), j[ok], strict=True)
-        if forest:
-            root = {c: c for c in set(part.tolist())}
-
-            def top(c: int) -> int:
-                while root[c] != c:
-                    root[c] = c = root[root[c]]
-                return c
-
-            kept = []
-            for f in sorted(found):
-                x, y = top(part[f[1]]), top(part[f[2]])
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    kept.append(f)
-            found = kept
-        return pd.DataFrame({"a": [ids[f[1]] for f in found], "b": [ids[f[2]] for f in found]}, dtype="int64")
-
-    tiles = stage(tiles_of(nodes, least), "tiles")
-    alone = (F.col("left") == F.col("right")).alias("alone")
-    sides = tiles.select("*", alone, F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
-    sides = sides.select("family", F.xxhash64("left").alias("l"), F.xxhash64("right").alias("r"), "alone", (F.col("block") == F.col("left")).alias("first"), "block.*")
-    return nodes.join(sides, ["family", "band", "own", "part", "salt"]).groupBy("family", "l", "r").applyInPandas(run, "a long, b long")
+        for f in spanning(found, part) if forest else found:
+            yield min(ids[f[1]], ids[f[2]]), max(ids[f[1]], ids[f[2]])
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["tile", "n", "id"], ignore_index=True)
+        pairs = [p for _, tile in rows.groupby("tile", sort=False) for p in compare(tile)]
+        return pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}, dtype="int64")
+
+    return tiles.join(near.select("id", "bits"), "id").groupBy("deal").applyInPandas(run, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, words: int = WORDS) -> DataFrame:
@@ -320,11 +360,10 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, least: int, words: int
     linked = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = linked.groupBy("set_hash").agg(F.min("id").alias("id"))
     reps = linked.join(classes, ["set_hash", "id"], "left_semi")
-    stars = stage(star_pairs(reps, least), "stars")
-
-    families = stage(components(stars, "a", "b"), "families")
-    in_family = families.select(F.col("node").alias("id"))
-    near = stage(linked.select("id", "n", "bits").join(in_family, "id", "left_semi").dropDuplicates(["id"]), "near")
+    posts, stars = shared_keys(reps, least)
+    stars = stage(stars, "stars")
+    in_group = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
+    near = stage(linked.select("id", "n", "bits").join(in_group, "id", "left_semi").dropDuplicates(["id"]), "near")
     narrow = stage(signed.select("id", "n", "set_hash"), "narrow")
     drop(signed)  # keys and bitmaps of all documents
     linked = narrow.where((F.col("n") > 0) & F.col("id").isNotNull())
@@ -341,10 +380,8 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, least: int, words: int
     links = decided(first)
     for forest in (True, False):
         found = components(links, "a", "b")
-        nodes = near.select("id", "n").join(families.select(F.col("node").alias("id"), F.col("component").alias("family")), "id")
-        nodes = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        nodes = stage(in_blocks(stage(nodes, "nodes")).join(near.select("id", "bits"), "id"), "blocks")
-        more = stage(tile_pairs(nodes, least, forest), "pairs")
+        nodes = stage(open_groups(posts, found).join(near.select("id", "n"), "id"), "nodes")
+        more = stage(tile_pairs(in_tiles(nodes, least), near, least, forest), "pairs")
         drop(nodes)
         if more.isEmpty():
             break
