@@ -227,15 +227,16 @@ def posts_of(reps: DataFrame, least: int, sent: Broadcast) -> DataFrame:
 
 def shared_keys(reps: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """id, key of the keys that each document meets others by; and distinct (a, b): each document b with the least one of a key."""
-    keys = reps.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("times"))
+    keys = reps.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("times"))  # no ids: most keys are one document's
     keys = stage(keys.where("times > 1"), "keys")
     bar = max(COMMON, reps.count() >> RARE)
     found = keys.where(F.col("times") >= bar).select("key", "times").toArrow()  # 2**RARE times the keys of a document at most
     common, times = np.asarray(found.column("key")).view(np.uint64), np.asarray(found.column("times"))
     order = np.argsort(common)
     posts = posts_of(reps, least, reps.sparkSession.sparkContext.broadcast((common[order], times[order], filter_of(keys))))
-    posts = stage(posts.join(keys, "key").select("id", "key", "a"), "posts")
-    return posts.select("id", "key"), posts.where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct()
+    posts = stage(posts.join(keys, "key").select("id", "key"), "posts")
+    least_ids = posts.groupBy("key").agg(F.min("id").alias("a"))
+    return posts, posts.join(least_ids, "key").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct()
 
 
 def open_groups(posts: DataFrame, found: DataFrame) -> DataFrame:
@@ -359,7 +360,9 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, least: int, words: int
     signed = stage(sign(docs, id_col, text_col, least, words), "signed")
     linked = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = linked.groupBy("set_hash").agg(F.min("id").alias("id"))
-    reps = linked.join(classes, ["set_hash", "id"], "left_semi")
+    own = linked.join(classes.withColumnRenamed("id", "first"), "set_hash").where(F.col("id") != F.col("first"))
+    copies = if_few(own.select("set_hash", "id").distinct(), "copies")
+    reps = linked.join(copies, ["set_hash", "id"], "left_anti")  # keys aren't shuffled where copies are few
     posts, stars = shared_keys(reps, least)
     stars = stage(stars, "stars")
     in_group = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
