@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.functions.columns import severity_rank
-from reviewlake.operators.joins import first_by
+from reviewlake.operators.joins import first_by, first_n
 
 
 def artifact_index(files: DataFrame, content: str = "content", keep: tuple[str, ...] = ("label", "kind", "path")) -> DataFrame:
@@ -36,9 +36,9 @@ def attest(index: DataFrame, current: DataFrame, keys: tuple[str, ...] = ("path"
 
 def top_findings(findings: DataFrame, key: str = "review_id", n: int = 5) -> DataFrame:
     """The first n findings of a review, with total and shown."""
-    whole = Window.partitionBy(key)
-    out = findings.withColumn("_n", F.row_number().over(whole.orderBy("seq"))).withColumn("total", F.count(F.lit(1)).over(whole))
-    return out.where(F.col("_n") <= n).withColumn("shown", F.least(F.lit(n), F.col("total"))).drop("_n")
+    totals = findings.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("total"))  # a count over the window would stop its limit
+    out = first_n(findings, [key], ["seq"], n)
+    return out.join(totals, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").withColumn("shown", F.least(F.lit(n), F.col("total")))
 
 
 def order_findings(findings: DataFrame) -> DataFrame:

@@ -6,23 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Buckets that an interval may span before it is dealt to wide ones, of LONG buckets each.
+LONG = 4096
+
+
+def _dealt(df: DataFrame, lo: str, hi: str, width: int, ours: int, theirs: int) -> DataFrame:
+    """df by _kind and _bucket. Kinds: 0 both sides short, `ours` only this side long, `theirs` only the other, 3 both long."""
+    cut = lambda w: F.sequence(F.floor(F.col(lo) / w), F.floor(F.col(hi) / w))
+    kind = lambda k, w: F.transform(cut(w), lambda x: F.struct(F.lit(k).alias("_kind"), x.alias("_bucket")))
+    wide = width * LONG
+    short = F.abs(F.floor(F.col(hi) / width) - F.floor(F.col(lo) / width)) < LONG
+    spots = F.when(short, F.concat(kind(0, width), kind(theirs, wide))).otherwise(F.concat(kind(ours, wide), kind(3, wide)))
+    return df.withColumn("_spot", F.explode(spots)).select(*[F.col(f"`{c}`") for c in df.columns], "_spot.*")
+
+
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], lo: tuple[str, str], hi: tuple[str, str], width: int, how: str = "inner") -> DataFrame:
     """Rows whose closed intervals [lo, hi] intersect, equal in keys.
 
     Both sides are dealt to buckets of `width`, which makes the join an equi-join: a long file isn't compared
-    line by line. A pair is kept only in the bucket of the later start, so it comes once. Columns other than keys
-    must differ. how: inner, left_semi or left_anti. Intervals are assumed to span few buckets.
+    line by line. Intervals of over LONG buckets, and what may meet them, are dealt to wide buckets, so that one up to 2**31 takes
+    some thousands of rows at width 64, not millions. A pair is kept only in the bucket of the later start, so it comes once.
+    Columns other than keys must differ. how: inner, left_semi or left_anti.
     """
-    cut = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
     meet = (F.col(lo[0]) <= F.col(hi[1])) & (F.col(lo[1]) <= F.col(hi[0]))
-    b = right.withColumn("_bucket", cut(lo[1], hi[1]))
+    spot = [*keys, "_kind", "_bucket"]
+    b = _dealt(right, lo[1], hi[1], width, 2, 1)
     if how == "inner":
-        a = left.withColumn("_bucket", cut(lo[0], hi[0]))
-        once = F.floor(F.greatest(lo[0], lo[1]) / width) == F.col("_bucket")
-        return a.join(b, [*keys, "_bucket"]).where(meet & once).drop("_bucket")
+        wide = F.when(F.col("_kind") == 0, width).otherwise(width * LONG)
+        once = F.floor(F.greatest(lo[0], lo[1]) / wide) == F.col("_bucket")
+        return _dealt(left, lo[0], hi[0], width, 1, 2).join(b, spot).where(meet & once).drop("_kind", "_bucket")
     # semi and anti: a left row may meet many, so it is asked in its buckets and answered once, by a row id that is made before
     a = left.withColumn("_row", F.struct(*[F.col(c) for c in left.columns]))
-    hit = a.withColumn("_bucket", cut(lo[0], hi[0])).join(b, [*keys, "_bucket"]).where(meet).select("_row").distinct()
+    hit = _dealt(a, lo[0], hi[0], width, 1, 2).join(b, spot).where(meet).select("_row").distinct()
     return a.join(hit, a["_row"].eqNullSafe(hit["_row"]), how).select(left.columns)
 
 

@@ -9,6 +9,8 @@ from reviewlake.functions.columns import effective_line, normalize_path, paths_o
 from reviewlake.operators.joins import first_n, range_join
 
 MAX_LINES, RADIUS, SAMPLES = 12, 8, 25
+#: Lines of a bucket by which findings meet scoped ranges.
+BUCKET = 64
 HUNK = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
 
@@ -115,9 +117,9 @@ def split_in_scope(findings: DataFrame, ranges: DataFrame, key: str = "review_id
     """
     tail = lambda p: F.element_at(F.split(normalize_path(p), "/"), -1)
     scoped = ranges.select(key, tail("file_path").alias("_tail"), F.col("file_path").alias("_path"), "scope_start", "scope_end")
-    f = findings.withColumns({"_tail": tail("file_path"), "_lo": F.col("start_line"), "_hi": F.coalesce("end_line", "start_line")})
-    meets = paths_overlap("file_path", "_path") & (F.col("_lo") <= F.col("scope_end")) & (F.col("scope_start") <= F.col("_hi")) & (F.col("_lo") > 0)
-    hits = f.join(scoped, [key, "_tail"]).where(meets).select(key, "seq").distinct().withColumn("_hit", F.lit(True))
+    f = findings.select(key, "seq", F.col("file_path").alias("_file"), tail("file_path").alias("_tail"), F.col("start_line").alias("_lo"), F.coalesce("end_line", "start_line").alias("_hi"))
+    met = range_join(f.where("_lo > 0"), scoped, [key, "_tail"], ("_lo", "scope_start"), ("_hi", "scope_end"), BUCKET)
+    hits = met.where(paths_overlap("_file", "_path")).select(key, "seq").distinct().withColumn("_hit", F.lit(True))
     known = ranges.select(key).distinct().withColumn("_scoped", F.lit(True))
     out = findings.join(hits, [key, "seq"], "left").join(known, key, "left")
     return out.withColumn("in_scope", F.col("_scoped").isNull() | F.col("_hit").isNotNull()).drop("_hit", "_scoped")

@@ -1,6 +1,7 @@
 """Manifests, logs, bundles, streams, extension points, promotion and integrity."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from reviewlake.operators import failures as X
 from reviewlake.operators import integrity as I
 from reviewlake.operators import rules as R
 from reviewlake.operators import scoring as S
+from reviewlake.operators.integrity import top_findings
+from reviewlake.operators.joins import range_join
 from reviewlake.plans.review import register_rule_pack, review
 from reviewlake.sources import cases as K
 from reviewlake.sources import tool_output as P
@@ -115,3 +118,28 @@ def test_tampering_shows(spark, tmp_path):
     (tmp_path / "y").unlink()
     got = {r["label"]: r for r in I.attest(index, I.artifact_index(I.read_artifacts(spark, str(tmp_path)))).collect()}
     assert len(got["x"]["failures"]) == 1 and "SHA-256 changed" in got["x"]["failures"][0] and "missing" in got["y"]["failures"][0]
+
+
+def test_range_join_of_long_intervals(spark):
+    rng = random.Random(5)
+    top = [3, 70, 5_000, 400_000, 2**31 - 2]
+
+    def some(n):
+        rows = [(i, rng.choice("ab"), lo := rng.choice([rng.randint(0, 300), rng.randint(0, 2**31 - 2)]), min(lo + rng.randint(0, rng.choice(top)), 2**31 - 2)) for i in range(n)]
+        return [*rows, (n, "a", 0, 2**31 - 2), (n + 1, "b", None, 5), (n + 2, None, 1, 5)]
+
+    left, right = some(80), some(90)
+    a, b = spark.createDataFrame(left, "i int, k string, lo int, hi int"), spark.createDataFrame(right, "j int, k string, lo2 int, hi2 int")
+    full = lambda r: r[1] is not None and r[2] is not None
+    want = sorted((x[0], y[0]) for x in left for y in right if full(x) and full(y) and x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3])
+    join = lambda how: range_join(a, b, ["k"], ("lo", "lo2"), ("hi", "hi2"), 64, how)
+    assert sorted(map(tuple, join("inner").select("i", "j").collect())) == want
+    met = {i for i, _ in want}
+    assert {r["i"] for r in join("left_semi").collect()} == met
+    assert sorted(r["i"] for r in join("left_anti").collect()) == sorted(x[0] for x in left if x[0] not in met)
+
+
+def test_top_findings_counts_all(spark):
+    f = spark.createDataFrame([("a", s) for s in range(9)] + [("b", 1), (None, 4), (None, 2)], "review_id string, seq int")
+    got = sorted((str(r["review_id"]), r["seq"], r["total"], r["shown"]) for r in top_findings(f, n=3).collect())
+    assert got == sorted([("a", s, 9, 3) for s in range(3)] + [("b", 1, 1, 1), ("None", 2, 2, 2), ("None", 4, 2, 2)])
