@@ -1,5 +1,7 @@
 """DuckDB SQL of the operators that SQL can express, written plainly from their contracts."""
 
+from reviewlake.llm.repair_sql import CONVERSATION_REPAIR
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 NGRAM_JACCARD = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -19,4 +21,4 @@ n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 f AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
 SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)"""
 
-SQL = {"op5_ngram_jaccard": NGRAM_JACCARD, "op6_decontamination": DECONTAMINATION}
+SQL = {"op5_ngram_jaccard": NGRAM_JACCARD, "op6_decontamination": DECONTAMINATION, "op11_conversation_repair": CONVERSATION_REPAIR}
