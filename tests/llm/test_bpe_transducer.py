@@ -46,7 +46,7 @@ def test_random_bytes_and_full_tables(library, monkeypatch):
     t, some = Transducer(read_ranks(PATH)), random.Random(3)
     for _ in range(1500):
         piece = bytes(some.choice(b"etaoin shrdlu\xc3\xa9\xe6\x97\xa5\x80\n") for _ in range(some.randrange(60)))
-        assert t.encode(piece) == (library._core_bpe.encode_single_piece(piece) if piece else [])
+        assert t.encode(piece) == tuple(library._core_bpe.encode_single_piece(piece) if piece else ())
 
 
 def test_small_vocabularies_by_plain_merging():
@@ -66,18 +66,30 @@ def test_small_vocabularies_by_plain_merging():
                 if rank == 99:
                     break
                 parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            assert t.encode(piece) == ([ranks[piece]] if piece in ranks else [ranks[p] for p in parts])
+            assert t.encode(piece) == ((ranks[piece],) if piece in ranks else tuple(ranks[p] for p in parts))
+
+
+def test_both_patterns_cut_alike():
+    e, some = Encoder(PATH, PATTERN), random.Random(8)
+    for c in map(chr, range(256)):
+        for text in (c, f"a{c}", f" {c}1", f"{c}{c} x", f"é {c}\n", f"'{c}"):
+            assert e.western.findall(text) == e.pattern.findall(text), repr(text)
+    for _ in range(2000):
+        text = "".join(chr(some.randrange(256)) if some.random() < 0.5 else some.choice(" \n'stab1²é.") for _ in range(30))
+        assert e.western.findall(text) == e.pattern.findall(text)
 
 
 def test_lookahead_is_bounded():
     t = Transducer(read_ranks(PATH))
     t.encode(b"internationalisation" * 200)
-    assert max(len(ids) for s in t.states.values() for _, ids in s.guesses) <= 33
+    assert max(len(ids) for _, _, ids in t.states) <= 66
 
 
-def test_long_texts_are_cut_where_no_piece_goes_on(monkeypatch):
+def test_long_texts_are_cut_where_no_piece_goes_on(monkeypatch, library):
     monkeypatch.setattr(bpe_transducer, "AT_ONCE", 7)
-    e = Encoder(PATH, PATTERN)
+    monkeypatch.setattr(bpe_transducer, "PIECES", 5)
+    e, whole = Encoder(PATH, PATTERN), library
+    assert [x.tolist() for x in e.ids(ODD)] == [whole.encode_ordinary(t or "") for t in ODD]
     for text in filter(None, ODD):
         assert [p for part in e.cuts(text) for p in e.pattern.findall(part)] == regex.findall(PATTERN, text)
 
