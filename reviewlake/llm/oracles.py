@@ -21,4 +21,11 @@ n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 f AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
 SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)"""
 
-SQL = {"op5_ngram_jaccard": NGRAM_JACCARD, "op6_decontamination": DECONTAMINATION, "op11_conversation_repair": CONVERSATION_REPAIR}
+_TERMS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+RANKED_SEARCH = f"""WITH d AS (SELECT doc_id, {_TERMS} AS words FROM documents), s AS (SELECT count(*) AS n_docs, sum(len(words))::BIGINT AS n_terms FROM d WHERE len(words) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark), p AS (SELECT doc_id, len(words) AS n, unnest(words) AS t FROM d), f AS (SELECT doc_id, t, n, count(*) AS tf FROM p WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY t, n_docs),
+r AS (SELECT item_id, doc_id, sum(w * (1000000000 * tf // (1000 * tf + 20 * (50 + 50 * n * n_docs // n_terms))))::BIGINT AS score FROM q JOIN w USING (t) JOIN f USING (t), s GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM r WHERE score > 0) WHERE rank <= 50"""
+
+SQL = {"op5_ngram_jaccard": NGRAM_JACCARD, "op6_decontamination": DECONTAMINATION, "op11_conversation_repair": CONVERSATION_REPAIR, "op12_ranked_search": RANKED_SEARCH}

@@ -81,6 +81,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.k2_search import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from reviewlake.llm.bpe_transducer import encoded_digests
@@ -101,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_classifier": op9_quality_classifier,
         "op10_packing": op10_packing,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_ranked_search": op12_ranked_search,
         "op13_byte_bpe": op13_byte_bpe,
     }
 
