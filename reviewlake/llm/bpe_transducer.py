@@ -344,9 +344,17 @@ def _no_collections() -> Iterator[None]:
             gc.enable()
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def stream_text(tokens: Tokens, ids: np.ndarray) -> str:
+    """The text of ids, pushed through a stream part by part."""
+    stream = Stream(tokens)
+    return "".join([*(stream.push(ids[at : at + CHUNK]) for at in range(0, len(ids), CHUNK)), stream.close()])
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """id_col and ids (array of int) of every row, by a file of ranks. No special tokens: their strings are ordinary text.
 
+    decoded: also what the ids decode to, in the same task: one worker then holds the tables of both.
+
     A null text has no ids, like an empty one; null ids and repeated rows stay as they are; other columns, whatever their names, don't
     matter; an empty table has no rows. There is no shuffle.
     """
@@ -358,10 +366,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 ids = own.ids(text.as_py() for text in b.column(1))
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["id", "ids"])
+            columns = [b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
+            if decoded:
+                columns.append(pa.array([stream_text(tokens_of(path), x) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -374,9 +386,8 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "deco
         for b in batches:
             lists, texts = b.column(len(others)), []
             for k in range(len(lists)):
-                stream, ids = Stream(tokens), lists[k].values
-                ids = np.empty(0, np.int64) if ids is None else ids.to_numpy(zero_copy_only=False)
-                texts.append("".join([*(stream.push(ids[at : at + CHUNK]) for at in range(0, len(ids), CHUNK)), stream.close()]))
+                ids = lists[k].values
+                texts.append(stream_text(tokens, np.empty(0, np.int64) if ids is None else ids.to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(texts, pa.string())], [*others, out])
 
     return encoded.select(*[F.col(f"`{c}`") for c in others], ids_col).mapInArrow(run, f"{schema}, `{out}` string")
@@ -384,5 +395,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "deco
 
 def encoded_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text that they decode to."""
-    ids = encode(docs, path, pattern).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), "ids")
-    return decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    both = encode(docs, path, pattern, decoded=True)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(joined).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
