@@ -1,7 +1,9 @@
 """Dataflow over source code: one Arrow job turns files into flat facts, and joins over facts find tainted sinks.
 
 A unit is a file, or a window's image before or after the change. Facts number expressions in the order in which they are
-evaluated, so "the last assignment before" is an as-of join, and taint is what sources reach along def-use and expression edges.
+evaluated, the parts of an expression before it, so "the last assignment before" is an as-of join and "within" is an interval of
+numbers. What an expression means (that it bounds a length, leaves a branch, spells SQL) is decided by joins of facts, not by the
+walk. Taint is what sources reach along def-use, expression and call edges.
 """
 
 from __future__ import annotations
@@ -9,15 +11,16 @@ from __future__ import annotations
 import ast
 import textwrap
 from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.functions.columns import is_redos_prone, redos_hardening, redos_risk_score
 from reviewlake.operators.joins import first_by
-from reviewlake.operators.reach import checkpointed, reachable
+from reviewlake.operators.reach import checkpointed, pointer_paths, reachable
 
-FACT = "unit string, fact string, scope int, seq int, node int, ref int, name string, text string, line int, changed boolean"
+FACT = "unit string, fact string, scope int, seq int, node int, ref int, last int, name string, text string, line int, changed boolean"
 
 # Sources of taint, sinks, and the boosts of matches with and without taint.
 SOURCE_CALLS = ["input", "builtins.input", "os.getenv", "os.environ.get", "os.environ.__getitem__"]
@@ -28,7 +31,12 @@ OS_SHELL = ["os.system", "os.popen", "os.popen2", "os.popen3", "os.popen4"]
 DYNAMIC = ["eval", "exec", "builtins.eval", "builtins.exec"]
 REGEX = ["search", "match", "fullmatch", "findall", "finditer", "split", "sub", "subn", "compile"]
 FORMS = ["NFC", "NFD", "NFKC", "NFKD"]
-SQL_VERBS = ("SELECT", "INSERT", "UPDATE", "DELETE")
+SQL_VERBS = "SELECT|INSERT|UPDATE|DELETE"
+#: Comparisons that bound a length, and statements that leave a branch.
+BOUNDS = ["Gt", "GtE", "Lt", "LtE"]
+EXITS = (ast.Return, ast.Raise, ast.Continue, ast.Break)
+#: Marks of what an expression has on the way from a part to itself: text put into a string, and two joined.
+INTERPOLATED, COMBINED = "J", "B"
 
 
 class Facts(ast.NodeVisitor):
@@ -37,14 +45,19 @@ class Facts(ast.NodeVisitor):
     def __init__(self, unit: str, changed: set[int]) -> None:
         self.unit, self.changed, self.rows, self.scope, self.scopes, self.n = unit, changed, [], 0, 1, 0
         self.function, self.around = "", [0]
-        self.leaves: dict[int, set[int]] = {}  # by expression, the names and calls in it from which taint flows
-        self.sql: dict[int, set[int]] = {}  # and the parts that make it SQL
+        self.home = 0  # the innermost statement around that isn't an if
+        self.leaves: dict[int, dict[int, str]] = {}  # by expression, the names and calls in it from which taint flows, with marks on their way
+        self.sql: dict[int, set[int]] = {}  # and the parts that may make it SQL
 
-    def put(self, fact: str, node: int | None = None, ref: int | None = None, name: str = "", text: str = "", at: ast.AST | None = None) -> None:
+    def put(self, fact: str, node: int | None = None, ref: int | None = None, name: str = "", text: str = "", at: ast.AST | None = None, last: int | None = None) -> None:
         self.n += 1
         first = getattr(at, "lineno", None)
         touched = first is not None and any(k in self.changed for k in range(first, (getattr(at, "end_lineno", None) or first) + 1))
-        self.rows.append((self.unit, fact, self.scope, self.n, node, ref, name, text, first, touched))
+        self.rows.append((self.unit, fact, self.scope, self.n, node, ref, last, name, text, first, touched))
+
+    def fresh(self) -> int:
+        self.n += 1
+        return self.n
 
     def key(self, x: ast.AST) -> str:
         if isinstance(x, ast.Name):
@@ -60,63 +73,73 @@ class Facts(ast.NodeVisitor):
             return f"{head}.{x.attr}" if head else x.attr
         return x.id if isinstance(x, ast.Name) else ""
 
-    def literal(self, x: ast.AST) -> bool:
-        """Whether an SQL verb stands in the string parts of an expression."""
-        if isinstance(x, ast.Constant):
-            return isinstance(x.value, str) and any(v in x.value.upper() for v in SQL_VERBS)
-        if isinstance(x, ast.Call):
-            return isinstance(x.func, ast.Attribute) and x.func.attr == "format" and self.literal(x.func.value)
-        inner = {ast.JoinedStr: lambda: x.values, ast.FormattedValue: lambda: [x.value], ast.BinOp: lambda: [x.left, x.right]}.get(type(x))
-        return any(map(self.literal, inner())) if inner else False
-
-    def expr(self, x: ast.AST) -> int:
-        """Facts of an expression; its number."""
-        kids = list(self.children(x))
-        self.n += 1
-        me = self.n
-        leaves, parts = set().union(*(self.leaves[k] for k in kids)), set()
+    def expr(self, x: ast.AST, spelled: int | None = None, asked: int | None = None) -> int:
+        """Facts of an expression; its number.
+
+        spelled: the string that it is a part of, if its own text goes into it. asked: the condition that it is a part of.
+        """
+        spelled, asked = spelled or self.fresh(), asked or self.fresh()
+        begin = self.n
+        parts = self.parts(x, spelled, asked)
+        me = self.fresh()
+        mark = {ast.JoinedStr: INTERPOLATED, ast.BinOp: COMBINED}.get(type(x), "")
+        leaves = {leaf: way if way.endswith(mark) else way + mark for k in parts for leaf, way in self.leaves[k].items()}
+        sql = set().union(*(self.sql[k] for k in parts)) if isinstance(x, ast.BinOp) else set()
         if key := self.key(x):
             self.put("use", me, name=key, at=x)
-            parts.add(me)
+            sql.add(me)
         if key or isinstance(x, ast.Call):
-            leaves.add(me)
-        self.leaves[me], self.sql[me] = leaves, parts
-        if isinstance(x, ast.BinOp):
-            parts |= set().union(*(self.sql[k] for k in kids))
-        if isinstance(x, ast.JoinedStr) and self.literal(x) or isinstance(x, ast.BinOp) and (isinstance(x.op, ast.Mod) and self.literal(x.left) or isinstance(x.op, ast.Add) and self.literal(x)) or isinstance(x, ast.Call) and self.literal(x):
-            self.put("sql", me, at=x)
+            leaves[me] = ""
+        self.leaves[me], self.sql[me] = leaves, sql
+        if isinstance(x, ast.Constant) and isinstance(x.value, str):
+            self.put("string", me, spelled, text=x.value)
+        elif isinstance(x, ast.Compare):
+            self.put("compare", me, asked, name=" ".join(type(o).__name__ for o in x.ops))
+            for k in parts:
+                self.put("operand", me, k)
+        elif end := self.spells(x, parts, me):
+            self.put("spelled", me, spelled, name=type(x).__name__, at=x, last=end)
+            self.put("from", me, begin)
             self.anchor(me)
-            parts.add(me)
+            sql.add(me)
         if isinstance(x, ast.Call):
             self.call(x, me)
+            sql.add(me)
         return me
 
+    def spells(self, x: ast.AST, parts: list[int], me: int) -> int | None:
+        """The number up to which the text of an expression stands that is put together of strings: of a % only the left side."""
+        if isinstance(x, ast.BinOp) and isinstance(x.op, (ast.Mod, ast.Add)):
+            return parts[0] if isinstance(x.op, ast.Mod) else me
+        if isinstance(x, ast.Call):
+            return x._receiver if isinstance(x.func, ast.Attribute) and x.func.attr == "format" else None
+        return me if isinstance(x, ast.JoinedStr) else None
+
     def anchor(self, node: int) -> None:
         """Edges into an expression that something asks about, straight from its names and calls: within it no join is needed."""
-        for fact, found in (("flow", self.leaves), ("sqlflow", self.sql)):
-            for k in sorted(found[node] - {node}):
-                self.put(fact, node, k)
-
-    def children(self, x: ast.AST) -> Iterator[int]:
-        """The parts from which taint flows into an expression."""
+        for k, way in sorted(self.leaves[node].items()):
+            if k != node:
+                self.put("flow", node, k, text=way)
+        for k in sorted(self.sql[node] - {node}):
+            self.put("sqlflow", node, k)
+
+    def parts(self, x: ast.AST, spelled: int, asked: int) -> list[int]:
+        """The parts from which taint flows into an expression; the others are visited as well."""
         if isinstance(x, ast.Call):
-            mine = [(str(i), self.expr(a), a) for i, a in enumerate(x.args)] + [(k.arg or "**", self.expr(k.value), k.value) for k in x.keywords]
-            head = [self.expr(x.func.value)] if isinstance(x.func, ast.Attribute) else []
-            x._parts = mine
-            yield from (m[1] for m in mine)
-            yield from head if isinstance(x.func, ast.Attribute) and (x.func.attr in ("get", "format")) else []
-        elif isinstance(x, ast.JoinedStr):
-            yield from (self.expr(v.value) for v in x.values if isinstance(v, ast.FormattedValue))
-        elif isinstance(x, ast.Subscript):
-            yield from (self.expr(x.value), self.expr(x.slice))
-        elif isinstance(x, (ast.BinOp, ast.BoolOp, ast.Compare, ast.UnaryOp, ast.Attribute, ast.IfExp, ast.FormattedValue)):
-            yield from [self.expr(c) for c in ast.iter_child_nodes(x) if isinstance(c, ast.expr)]
-        else:
-            for c in ast.iter_child_nodes(x):  # looked at for calls, but taint stops here
-                if isinstance(c, ast.expr):
-                    self.expr(c)
-                elif isinstance(c, ast.comprehension):
-                    self.expr(c.iter)
+            method = isinstance(x.func, ast.Attribute)
+            text = method and x.func.attr == "format"
+            x._receiver = self.expr(x.func.value, spelled if text else None) if method else None
+            x._parts = [(str(i), self.expr(a), a) for i, a in enumerate(x.args)] + [(k.arg or "**", self.expr(k.value), k.value) for k in x.keywords]
+            return [m[1] for m in x._parts] + ([x._receiver] if text or method and x.func.attr == "get" else [])
+        if isinstance(x, (ast.JoinedStr, ast.FormattedValue)):
+            return [self.expr(v, spelled) for v in (x.values if isinstance(x, ast.JoinedStr) else [x.value])]
+        if isinstance(x, ast.BinOp):
+            return [self.expr(x.left, spelled), self.expr(x.right, spelled)]
+        if isinstance(x, (ast.BoolOp, ast.UnaryOp)):
+            return [self.expr(v, None, asked) for v in (x.values if isinstance(x, ast.BoolOp) else [x.operand])]
+        inside = [c for c in ast.iter_child_nodes(x) if isinstance(c, ast.expr)] + [c.iter for c in ast.iter_child_nodes(x) if isinstance(c, ast.comprehension)]
+        found = [self.expr(c) for c in inside]
+        return found if isinstance(x, (ast.Subscript, ast.Compare, ast.Attribute, ast.IfExp)) else []
 
     def call(self, x: ast.Call, me: int) -> None:
         self.put("call", me, name=self.call_name(x.func), text=x.func.id if isinstance(x.func, ast.Name) else "", at=x)
@@ -144,7 +167,7 @@ class Facts(ast.NodeVisitor):
     def give(self, targets: list[ast.AST], value: ast.AST, node: int, at: ast.AST) -> None:
         self.anchor(node)
         for k in (k for t in targets for k in self.targets(t)):
-            self.put("def", ref=node, name=k, at=at)
+            self.put("def", ref=node, name=k, text=type(at).__name__, at=at)
             if isinstance(value, ast.Constant) and isinstance(value.value, str) and isinstance(at, ast.Assign):
                 self.put("const", name=k, text=value.value, at=at)
 
@@ -157,40 +180,35 @@ class Facts(ast.NodeVisitor):
 
     def visit_AugAssign(self, x: ast.AugAssign) -> None:
         value = self.expr(x.value)
-        self.n += 1
-        both = self.n
         old = self.expr(x.target)
+        both = self.fresh()
         self.leaves[both], self.sql[both] = self.leaves[value] | self.leaves[old], self.sql[value] | self.sql[old]
         self.give([x.target], x.value, both, x)
 
-    def visit_Return(self, x: ast.Return) -> None:
-        if x.value is not None:
+    def leave(self, x: ast.stmt) -> None:
+        """A statement that leaves the branch it stands in."""
+        if isinstance(x, ast.Return) and x.value is not None:
             node = self.expr(x.value)
             self.anchor(node)
             self.put("return", ref=node, name=self.function)
+        else:
+            self.generic_visit(x)
+        self.put("exit", self.n, self.home)
+
+    visit_Return = visit_Raise = visit_Continue = visit_Break = leave
 
     def visit_If(self, x: ast.If) -> None:
-        def bound(t: ast.AST) -> Iterator[str]:
-            if isinstance(t, ast.BoolOp):
-                for v in t.values:
-                    yield from bound(v)
-            elif isinstance(t, ast.UnaryOp):
-                yield from bound(t.operand)
-            elif isinstance(t, ast.Compare) and any(isinstance(o, (ast.Gt, ast.GtE, ast.Lt, ast.LtE)) for o in t.ops):
-                for c in (t.left, *t.comparators):
-                    if isinstance(c, ast.Call) and isinstance(c.func, ast.Name) and c.func.id == "len" and len(c.args) == 1 and self.key(c.args[0]):
-                        yield self.key(c.args[0])
-
-        def leaves(body: list[ast.stmt]) -> bool:
-            return any(isinstance(s, (ast.Return, ast.Raise, ast.Continue, ast.Break)) or isinstance(s, ast.If) and (leaves(s.body) or leaves(s.orelse)) for s in body)
-
-        if leaves(x.body):
-            for k in set(bound(x.test)):
-                self.put("guard", name=k, at=x)
-        self.generic_visit(x)
+        asked = self.fresh()
+        self.expr(x.test, None, asked)
+        begin = self.n
+        for s in x.body:
+            self.visit(s)
+        self.put("branch", asked, self.home, last=begin, at=x)  # its numbers lie between last and seq
+        for s in x.orelse:
+            self.visit(s)
 
     def function_body(self, x: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
-        outer = (self.scope, self.function)
+        outer = (self.scope, self.function, self.home)
         self.scopes += 1
         self.scope, self.function = self.scopes - 1, x.name
         self.around.append(self.scope)
@@ -199,18 +217,23 @@ class Facts(ast.NodeVisitor):
         a = x.args
         for p in [*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))]:
             self.put("param", name=p.arg)
+        self.home = self.fresh()
         for s in x.body:
             self.visit(s)
         self.around.pop()
-        self.scope, self.function = outer
+        self.scope, self.function, self.home = outer
 
     visit_FunctionDef = visit_AsyncFunctionDef = function_body
 
     def generic_visit(self, x: ast.AST) -> None:
         if isinstance(x, ast.expr):
             self.expr(x)
-        else:
-            super().generic_visit(x)
+            return
+        outer = self.home
+        if isinstance(x, ast.stmt):
+            self.home = self.fresh()
+        super().generic_visit(x)
+        self.home = outer
 
 
 def facts_of(unit: str, source: str, changed: set[int], fragment: bool) -> list[tuple]:
@@ -239,7 +262,7 @@ def code_facts(sources: DataFrame, fragment: bool = False) -> DataFrame:
         for b in batches:
             rows = [r for u, s, c in zip(b["unit"], b["source"], b["changed"], strict=True) if isinstance(s, str) and s.strip() and c is not None and len(c) for r in facts_of(u, s, set(map(int, c)), fragment)]
             out = pd.DataFrame(rows, columns=names)
-            yield out.astype({c: "Int32" for c in ("scope", "seq", "node", "ref", "line")})
+            yield out.astype({c: "Int32" for c in ("scope", "seq", "node", "ref", "last", "line")})
 
     return sources.select("unit", "source", "changed").mapInPandas(run, FACT)
 
@@ -312,42 +335,110 @@ def taint_sources(facts: DataFrame, edges: DataFrame) -> DataFrame:
     return named.unionByName(called).unionByName(params)
 
 
+def returned_calls(facts: DataFrame) -> DataFrame:
+    """unit, src, dst, func: from what a function of the unit returns to the calls of its name."""
+    calls = pick(facts, "call", dst="node", func="text").where("func <> ''")
+    return pick(facts, "return", func="name", src="ref").join(calls, ["unit", "func"])
+
+
 def flow_edges(facts: DataFrame, edges: DataFrame) -> DataFrame:
-    flows = pick(facts, "flow", src="ref", dst="node")
-    return flows.unionByName(edges.where("def_node is not null").select("unit", F.col("def_node").alias("src"), F.col("use").alias("dst")))
+    """unit, src, dst: from parts to expressions, and from assigned values to their uses."""
+    return pick(facts, "flow", src="ref", dst="node").unionByName(edges.where("def_node is not null").select("unit", F.col("def_node").alias("src"), F.col("use").alias("dst")))
 
 
-def return_summaries(facts: DataFrame, tainted: DataFrame) -> DataFrame:
-    """unit, func: functions of which some return value is tainted."""
-    r = pick(facts, "return", func="name", node="ref")
-    return r.join(tainted.select("unit", "node").distinct(), ["unit", "node"], "left_semi").select("unit", "func").distinct()
+def sql_composites(facts: DataFrame) -> DataFrame:
+    """unit, node: expressions put together of strings (by interpolation, %, + or format) with an SQL verb in the text that counts.
+
+    The text is that of strings of the same whole, between the expression's first number and the last one that counts.
+    """
+    made = pick(facts, "spelled", node="node", whole="ref", upto="last").join(pick(facts, "from", node="node", begin="ref"), ["unit", "node"])
+    verbs = pick(facts, "string", at="node", whole="ref", text="text").where(F.upper("text").rlike(SQL_VERBS)).select("unit", "whole", "at")
+    return made.join(verbs, ["unit", "whole"]).where((F.col("at") > F.col("begin")) & (F.col("at") <= F.col("upto"))).select("unit", "node").distinct()
 
 
-def propagate_taint(facts: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """unit, node, origin of every tainted expression: what sources reach, then once more with calls of functions that return taint."""
+#: Flags of an expression: tainted, SQL made with taint, and both by way of an assignment on a changed line.
+TAINTED, SQL, CHANGED, CHANGED_SQL = range(4)
+
+
+def flags(facts: DataFrame, edges: DataFrame) -> DataFrame:
+    """unit, node, flag: all flags of all expressions, to their fixpoint, over function calls within a unit too.
+
+    It is one reachability over (expression, flag): values hand all flags to uses, also through returns, and the changed ones if the
+    assignment changed; expressions take taint from their parts, SQL from parts that stay SQL; where SQL is put together, taint makes it SQL.
+    """
+    step = lambda df, *pairs: df.select("unit", F.explode(F.array(*[F.struct((F.col("src").cast("long") * 4 + a).alias("src"), (F.col("dst").cast("long") * 4 + b).alias("dst")) for a, b in pairs])).alias("e")).select("unit", "e.*")
+    every = [(k, k) for k in range(4)]
+    touched = pick(facts, "def", def_seq="seq", changed="changed").where("changed").select("unit", "def_seq")
+    given = edges.where("def_node is not null").select("unit", "def_seq", F.col("def_node").alias("src"), F.col("use").alias("dst"))
+    made = sql_composites(facts).select("unit", F.col("node").alias("src"), F.col("node").alias("dst"))
+    moves = (
+        step(pick(facts, "flow", src="ref", dst="node"), (TAINTED, TAINTED), (CHANGED, CHANGED)), step(pick(facts, "sqlflow", src="ref", dst="node"), (SQL, SQL), (CHANGED_SQL, CHANGED_SQL)),
+        step(given, *every), step(given.join(touched, ["unit", "def_seq"], "left_semi"), (TAINTED, CHANGED), (SQL, CHANGED_SQL)),
+        step(made, (TAINTED, SQL), (CHANGED, CHANGED_SQL)), step(returned_calls(facts), *every),
+    )
+    whole = moves[0]
+    for m in moves[1:]:
+        whole = whole.unionByName(m)
+    seeds = taint_sources(facts, edges).select("unit", (F.col("node").cast("long") * 4 + TAINTED).alias("node"))
+    return reachable(seeds, whole, ["unit"]).select("unit", F.floor(F.col("node") / 4).cast("int").alias("node"), (F.col("node") % 4).cast("int").alias("flag"))
+
+
+def return_summaries(facts: DataFrame, flagged: DataFrame) -> DataFrame:
+    """unit, func, tainted, sql, changed, changed_sql: the flags of what each function returns, joined over its returns."""
+    r = pick(facts, "return", func="name", node="ref").join(flagged, ["unit", "node"], "left")
+    bits = r.groupBy("unit", "func").agg(F.coalesce(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("flag"))), F.lit(0)).alias("bits"))
+    return bits.select("unit", "func", *[(F.col("bits").bitwiseAND(1 << k) != 0).alias(n) for k, n in enumerate(("tainted", "sql", "changed", "changed_sql"))])
+
+
+def origin_seeds(facts: DataFrame, edges: DataFrame, flagged: DataFrame) -> DataFrame:
+    """unit, node, origin, step: sources of taint, and calls of functions of the unit that return it, as beginnings of explanations."""
+    own = taint_sources(facts, edges)
+    param = edges.where("is_param").select("unit", F.col("use").alias("node")).distinct().withColumn("_param", F.lit(True))
+    call = pick(facts, "call", node="node").withColumn("_call", F.lit(True))
+    own = own.join(param, ["unit", "node"], "left").join(call, ["unit", "node"], "left")
+    tick = lambda before, c, after: F.concat(F.lit(f"{before}`"), c, F.lit(f"`{after}"))
+    text = F.when(F.col("_param"), tick("parameter ", F.col("origin"), " treated as attacker-controlled")).when(F.col("_call"), tick("source call ", F.col("origin"), "")).otherwise("")
+    back = returned_calls(facts).join(flagged.where(F.col("flag") == TAINTED).select("unit", F.col("node").alias("src")), ["unit", "src"], "left_semi")
+    name = F.concat("func", F.lit("()"))
+    returned = back.select("unit", F.col("dst").alias("node"), tick("return of ", name, "").alias("origin"), tick("call ", name, " returns tainted data").alias("step")).distinct()
+    return own.select("unit", "node", "origin", text.alias("step")).unionByName(returned)
+
+
+def propagate_taint(facts: DataFrame, edges: DataFrame | None = None, flagged: DataFrame | None = None) -> DataFrame:
+    """unit, node, origin of every tainted expression. A call of a function that returns taint is an origin of its own."""
     edges = def_use_edges(facts) if edges is None else edges
-    flows = flow_edges(facts, edges)
-    seeds = taint_sources(facts, edges)
-    first = reachable(seeds, flows, ["unit"], carry=("origin",))
-    calls = pick(facts, "call", node="node", func="text").where("func <> ''")
-    returned = calls.join(return_summaries(facts, first), ["unit", "func"]).select("unit", "node", F.concat(F.lit("return of `"), "func", F.lit("()`")).alias("origin"))
-    return reachable(first.unionByName(returned), flows, ["unit"], carry=("origin",))
+    flagged = flags(facts, edges) if flagged is None else flagged
+    return reachable(origin_seeds(facts, edges, flagged).select("unit", "node", "origin"), flow_edges(facts, edges), ["unit"], carry=("origin",))
+
 
+def sql_format_exprs(facts: DataFrame, edges: DataFrame, flagged: DataFrame) -> DataFrame:
+    """unit, node, changed: SQL put together with taint, and what it is assigned to, joined with or returned to; whether by a change."""
+    sql = flagged.where(F.col("flag").isin(SQL, CHANGED_SQL))
+    return sql.groupBy("unit", "node").agg(F.bool_or(F.col("flag") == CHANGED_SQL).alias("changed"))
 
-def changed_taint(facts: DataFrame, edges: DataFrame, tainted: DataFrame) -> DataFrame:
-    """unit, node: expressions whose taint came through an assignment on a changed line."""
-    t = tainted.select("unit", "node").distinct()
-    touched = pick(facts, "def", def_node="ref", def_seq="seq", changed="changed").where("changed").join(t.withColumnRenamed("node", "def_node"), ["unit", "def_node"], "left_semi")
-    seeds = edges.join(touched.select("unit", "def_seq"), ["unit", "def_seq"], "left_semi").select("unit", F.col("use").alias("node"))
-    return reachable(seeds, flow_edges(facts, edges), ["unit"])
 
+def taint_path(facts: DataFrame, edges: DataFrame, flagged: DataFrame, ends: DataFrame) -> DataFrame:
+    """unit, end, path: for each expression asked about the way that taint took to it, from its source on, as steps (node, line, text).
 
-def sql_format_exprs(facts: DataFrame, edges: DataFrame, tainted: DataFrame) -> DataFrame:
-    """unit, node: SQL put together with taint, and what it is assigned to or joined with."""
-    t = tainted.select("unit", "node").distinct()
-    seeds = pick(facts, "sql", node="node").join(t, ["unit", "node"], "left_semi")
-    flows = pick(facts, "sqlflow", src="ref", dst="node").unionByName(edges.where("def_node is not null").select("unit", F.col("def_node").alias("src"), F.col("use").alias("dst")))
-    return reachable(seeds, flows, ["unit"])
+    ends: unit, end. Each tainted expression points at the least of the tainted ones that it takes taint from; sources, and calls that return taint,
+    point nowhere. Numbers grow along the way, so pointers have no circles, and paths are read off by doubling them. text explains a step and may
+    be empty: the source, interpolation or combination within an expression, an assignment on a changed line.
+    """
+    hot = flagged.where(F.col("flag") == TAINTED).select("unit", "node")
+    seeds = origin_seeds(facts, edges, flagged).groupBy("unit", "node").agg(F.min("step").alias("step"))
+    moves = pick(facts, "flow", src="ref", node="node", way="text").withColumn("def_seq", F.lit(None).cast("int"))
+    moves = moves.unionByName(edges.where("def_node is not null").select("unit", F.col("def_node").alias("src"), F.col("use").alias("node"), F.lit("").alias("way"), "def_seq"))
+    inner = moves.join(seeds.select("unit", "node"), ["unit", "node"], "left_anti").join(hot.withColumnRenamed("node", "src"), ["unit", "src"], "left_semi")
+    parent = checkpointed(inner.groupBy("unit", "node").agg(F.min(F.struct("src", "way", "def_seq")).alias("p")).select("unit", "node", F.col("p.src").alias("parent"), "p.way", "p.def_seq"))
+    back = pointer_paths(ends.join(hot.withColumnRenamed("node", "end"), ["unit", "end"], "left_semi"), parent, ["unit"])
+    lines = pick(facts, "use", node="node", line="line").unionByName(pick(facts, "call", node="node", line="line")).groupBy("unit", "node").agg(F.min("line").alias("line"))
+    given = pick(facts, "def", def_seq="seq", kind="text", changed="changed", def_line="line")
+    b = back.join(seeds, ["unit", "node"], "left").join(parent, ["unit", "node"], "left").join(given, ["unit", "def_seq"], "left").join(lines, ["unit", "node"], "left")
+    mixed = F.transform(F.filter(F.split("way", ""), lambda m: m != ""), lambda m: F.when(m == INTERPOLATED, F.lit("string interpolation incorporates tainted values")).otherwise(F.lit("string/binary combination preserves taint")))
+    carried = F.when(F.col("changed") & (F.col("kind") == "Assign"), F.array(F.concat(F.lit("L"), F.col("def_line").cast("string"), F.lit(": assignment carries taint")))).otherwise(F.array().cast("array<string>"))
+    text = F.when(F.col("step") == "", F.array().cast("array<string>")).when(F.col("step").isNotNull(), F.array("step")).otherwise(F.concat(F.coalesce(mixed, F.array().cast("array<string>")), carried))
+    one = F.struct((-F.col("back")).alias("at"), "node", F.coalesce("line", "def_line").alias("line"), text.alias("text"))
+    return b.groupBy("unit", "end").agg(F.sort_array(F.collect_list(one)).alias("path"))
 
 
 def sink_matches(facts: DataFrame, scope: str = "window", previous: DataFrame | None = None) -> DataFrame:
@@ -357,21 +448,22 @@ def sink_matches(facts: DataFrame, scope: str = "window", previous: DataFrame |
     """
     facts = checkpointed(facts)  # many joins read them: without a cut the plan would hold the parsing once for each
     edges = checkpointed(def_use_edges(facts))
-    tainted = propagate_taint(facts, edges)
-    moved = changed_taint(facts, edges, tainted).withColumn("_moved", F.lit(True))
-    sql = sql_format_exprs(facts, edges, tainted).withColumn("_sql", F.lit(True))
+    flagged = flags(facts, edges)
+    tainted = propagate_taint(facts, edges, flagged)
+    moved = flagged.where(F.col("flag") == CHANGED).select("unit", "node", F.lit(True).alias("_moved"))
+    sql = sql_format_exprs(facts, edges, flagged).select("unit", "node", F.lit(True).alias("_sql"), F.col("changed").alias("_sql_moved"))
     origins = tainted.groupBy("unit", "node").agg(F.array_sort(F.collect_set("origin")).alias("_origins"))
     imports = pick(facts, "import", local="name", full="text", seq="seq")
     calls = resolve_aliases(pick(facts, "call", call="node", scope="scope", call_seq="seq", name="name", line="line", changed="changed"), imports)
     args = pick(facts, "arg", call="node", node="ref", arg="name", text="text", arg_changed="changed")
     args = args.join(origins, ["unit", "node"], "left").join(moved, ["unit", "node"], "left").join(sql, ["unit", "node"], "left")
-    one = F.struct("arg", "text", "node", "arg_changed", F.coalesce("_origins", F.array().cast("array<string>")).alias("origins"), F.coalesce("_moved", F.lit(False)).alias("moved"), F.coalesce("_sql", F.lit(False)).alias("sql"))
+    one = F.struct("arg", "text", "node", "arg_changed", F.coalesce("_origins", F.array().cast("array<string>")).alias("origins"), F.coalesce("_moved", F.lit(False)).alias("moved"), F.coalesce("_sql", F.lit(False)).alias("sql"), F.coalesce("_sql_moved", F.lit(False)).alias("sql_moved"))
     per = args.groupBy("unit", "call").agg(F.collect_list(one).alias("args"))
     c = calls.join(per, ["unit", "call"], "left")
     kw = lambda k, v: F.coalesce(F.exists("args", lambda a: (a["arg"] == k) & (a["text"] == v)), F.lit(False))
     arg0 = F.get(F.filter("args", lambda a: a["arg"] == "0"), 0)
     flow = F.filter("args", lambda a: a["arg"].isin("0", "**", "args", "cmd", "command"))
-    c = c.withColumns({"origins": F.coalesce(F.array_distinct(F.flatten(F.transform(flow, lambda a: a["origins"]))), F.array().cast("array<string>")), "moved0": F.coalesce(arg0["moved"], F.lit(False)), "sql0": F.coalesce(arg0["sql"], F.lit(False))})
+    c = c.withColumns({"origins": F.coalesce(F.array_distinct(F.flatten(F.transform(flow, lambda a: a["origins"]))), F.array().cast("array<string>")), "moved0": F.coalesce(arg0["moved"], F.lit(False)), "sql0": F.coalesce(arg0["sql"], F.lit(False)), "sql_moved0": F.coalesce(arg0["sql_moved"], F.lit(False)), "end": F.get(F.filter(flow, lambda a: F.size(a["origins"]) > 0), 0)["node"]})
     c = checkpointed(c)
     full, hot = F.col("full_name"), F.size("origins") > 0
     shell = kw("shell", "True") & F.startswith(full, F.lit("subprocess.")) & F.substring_index(full, ".", -1).isin(SUBPROCESS)
@@ -386,15 +478,41 @@ def sink_matches(facts: DataFrame, scope: str = "window", previous: DataFrame |
         ("py-unsafe-yaml", (full == "yaml.load") & ~safe & touched, F.lit("yaml.load without SafeLoader"), F.lit(0.08), "Loader is not SafeLoader/CSafeLoader"),
         ("py-tls-verify-disabled", kw("verify", "False") & F.col("changed"), F.concat(full, F.lit("(..., verify=False)")), F.lit(0.06), "TLS certificate verification explicitly disabled"),
         ("weak-hash", F.lower(full).isin("hashlib.md5", "hashlib.sha1") & F.col("changed"), full, F.lit(0.05), "Weak hash constructor"),
-        ("py-sql-string-format", execute & F.col("sql0") & touched, F.concat(full, F.lit("(<formatted SQL>)")), F.lit(0.12), "formatted/tainted SQL reaches DB execute"),
+        ("py-sql-string-format", execute & F.col("sql0") & (F.col("changed") | F.col("sql_moved0")), F.concat(full, F.lit("(<formatted SQL>)")), F.lit(0.12), "formatted/tainted SQL reaches DB execute"),
     ]
     row = lambda r, t, s, b, why: F.when(t, F.struct(F.lit(r).alias("rule_id"), s.alias("sink"), b.alias("boost"), F.lit(why).alias("why"), F.lit("").alias("family"), F.lit("").alias("mode")))
-    plain = c.select("unit", "call_seq", F.col("line").alias("sink_line"), "origins", F.explode(F.array_compact(F.array(*[row(*h) for h in hits]))).alias("h")).select("unit", "call_seq", "sink_line", "origins", "h.*")
-    out = plain.unionByName(_guarded(facts, c)).unionByName(_regex(facts, c, previous))
-    steps = F.array_distinct(F.concat(F.transform("origins", lambda o: F.concat(F.lit("taint from `"), o, F.lit("`"))), F.array("why")))
+    plain = c.select("unit", "call_seq", F.col("line").alias("sink_line"), "origins", "end", F.explode(F.array_compact(F.array(*[row(*h) for h in hits]))).alias("h")).select("unit", "call_seq", "sink_line", "origins", "end", "h.*")
+    out = checkpointed(plain.unionByName(_guarded(facts, c)).unionByName(_regex(facts, c, previous)))
+    ways = taint_path(facts, edges, flagged, out.where("end is not null").select("unit", "end").distinct())
+    out = out.join(ways, ["unit", "end"], "left")
+    told = F.flatten(F.transform("path", lambda p: p["text"]))
+    steps = F.array_distinct(F.concat(F.coalesce(told, F.array().cast("array<string>")), F.array("why")))
     return out.select("unit", "rule_id", "sink_line", "sink", F.col("origins").alias("sources"), steps.alias("steps"), "boost", F.lit(scope).alias("analysis_scope"), "family", "mode", "call_seq")
 
 
+def _hot_node() -> Column:
+    return F.when(F.size("subject.origins") > 0, F.col("subject.node"))
+
+
+def length_guards(facts: DataFrame) -> DataFrame:
+    """unit, scope, key, line, changed: conditions on len(key) by <, <=, > or >= whose branch can leave the way that goes on after it.
+
+    A comparison is asked by a condition through and, or and not alone. A statement leaves a branch if it stands between the branch's first
+    and last number and in the same innermost statement that isn't an if: the next one after a branch's beginning tells, in one sort.
+    """
+    branch = pick(facts, "branch", scope="scope", asked="node", home="ref", at="last", end="seq", line="line", changed="changed")
+    leaves = pick(facts, "exit", home="ref", at="seq").withColumn("leaves", F.col("at"))
+    both = branch.unionByName(leaves, allowMissingColumns=True)
+    ahead = Window.partitionBy("unit", "home").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    left = both.withColumn("next", F.min("leaves").over(ahead)).where(F.col("asked").isNotNull() & (F.col("next") < F.col("end")))
+    lone = pick(facts, "arg", call="node", arg="name", text="text").where(F.col("arg").rlike(r"^\d+$")).groupBy("unit", "call").agg(F.count(F.lit(1)).alias("n"), F.max("text").alias("text"))
+    lone = lone.where("n = 1 AND text LIKE 'n:_%'").select("unit", "call", F.substr("text", F.lit(3)).alias("key"))
+    sized = pick(facts, "call", call="node", func="text").where("func = 'len'").join(lone, ["unit", "call"])
+    bound = pick(facts, "compare", compare="node", asked="ref", ops="name").where(F.arrays_overlap(F.split("ops", " "), F.array(*map(F.lit, BOUNDS))))
+    asked = bound.join(pick(facts, "operand", compare="node", call="ref"), ["unit", "compare"]).join(sized, ["unit", "call"]).select("unit", "asked", "key").distinct()
+    return left.join(asked, ["unit", "asked"]).select("unit", "scope", "key", "line", "changed")
+
+
 def _guarded(facts: DataFrame, calls: DataFrame) -> DataFrame:
     """Unicode normalisation, hardened where a length guard on the same name stands on an earlier line."""
     n = calls.where((F.col("full_name") == "unicodedata.normalize") | (F.endswith("full_name", F.lit(".normalize")) & F.contains("full_name", F.lit("unicodedata"))))
@@ -402,7 +520,7 @@ def _guarded(facts: DataFrame, calls: DataFrame) -> DataFrame:
     subject = F.get(F.filter("args", lambda a: a["arg"].isin("1", "unistr", "string")), 0)
     n = n.withColumns({"form": F.substr(form, F.lit(3)), "subject": subject}).where(F.col("subject").isNotNull() & ~F.startswith("subject.text", F.lit("s:")) & (F.col("form").isNull() | F.col("form").isin(FORMS)))
     n = n.withColumn("key", F.when(F.startswith("subject.text", F.lit("n:")), F.substr("subject.text", F.lit(3))))
-    guards = pick(facts, "guard", scope="scope", key="name", g="line", g_changed="changed").groupBy("unit", "scope", "key").agg(F.min("g").alias("guard_line"), F.bool_or("g_changed").alias("guard_changed"))
+    guards = length_guards(facts).groupBy("unit", "scope", "key").agg(F.min("line").alias("guard_line"), F.bool_or("changed").alias("guard_changed"))
     n = n.join(guards, ["unit", "scope", "key"], "left").withColumn("guard_changed", F.coalesce("guard_changed", F.lit(False)))
     first = F.coalesce(F.col("guard_line") < F.col("line"), F.lit(False))
     n = n.where(F.col("changed") | F.col("guard_changed") | F.col("subject.moved"))
@@ -411,7 +529,7 @@ def _guarded(facts: DataFrame, calls: DataFrame) -> DataFrame:
     why = F.when(first, "length guard can exit before normalize").otherwise("expensive Unicode normalize on non-constant input without a preceding length guard")
     return n.select(
         "unit", "call_seq", F.col("line").alias("sink_line"), F.array_distinct(F.array_compact(F.concat("subject.origins", F.array("key")))).alias("origins"), F.lit("py-unicode-normalization-dos").alias("rule_id"),
-        F.concat(F.lit('unicodedata.normalize("'), F.coalesce("form", F.lit("?")), F.lit('", ...)')).alias("sink"), boost.alias("boost"), why.alias("why"), F.lit("complexity-dos").alias("family"), F.when(first, "adds-hardening").otherwise("introduces-risk").alias("mode"),
+        F.concat(F.lit('unicodedata.normalize("'), F.coalesce("form", F.lit("?")), F.lit('", ...)')).alias("sink"), boost.alias("boost"), why.alias("why"), F.lit("complexity-dos").alias("family"), _hot_node().alias("end"), F.when(first, "adds-hardening").otherwise("introduces-risk").alias("mode"),
     )
 
 
@@ -447,7 +565,7 @@ def _regex(facts: DataFrame, calls: DataFrame, previous: DataFrame | None) -> Da
     return r.where(hard | risk).select(
         "unit", "call_seq", F.col("line").alias("sink_line"), F.coalesce("subject.origins", F.array().cast("array<string>")).alias("origins"), F.when(hard, "py-regex-redos-hardening").otherwise("py-regex-redos").alias("rule_id"),
         F.concat("full_name", F.when(hard, "(<hardened pattern>)").otherwise("(<redos-prone pattern>)")).alias("sink"), F.when(hard, F.when(hot, 0.12).otherwise(0.09)).otherwise(F.when(hot, 0.12).otherwise(0.05)).alias("boost"),
-        F.when(hard, "regex pattern risk reduced versus pre-image").otherwise("catastrophic-backtracking regex shape detected").alias("why"), F.lit("redos").alias("family"), F.when(hard, "adds-hardening").otherwise("introduces-risk").alias("mode"),
+        F.when(hard, "regex pattern risk reduced versus pre-image").otherwise("catastrophic-backtracking regex shape detected").alias("why"), F.lit("redos").alias("family"), _hot_node().alias("end"), F.when(hard, "adds-hardening").otherwise("introduces-risk").alias("mode"),
     )
 
 

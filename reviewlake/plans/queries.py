@@ -800,10 +800,118 @@ def span_programs(e):
     """unit (user:span), source, changed: at most SPAN lines, after one with the last assignment before them."""
     code = F.when(F.col("content") == "click", "x = input()").when(F.col("content") == "view", "x = 'a'").when(F.col("content") == "purchase", "eval(x)").otherwise("pass")
     e = J.as_of(e.withColumn("code", code), ["review_id"], ["seq"], F.col("content").isin("click", "view"), F.col("code"), "before")
+    return programs(e, F.coalesce("before", F.lit("pass")))
+
+
+def programs(e, first):
+    """unit (user:span), source, changed: the code of each span's events in order, after the first line as its first event has it."""
     unit = F.concat_ws(":", F.col("review_id").cast("string"), F.floor((F.col("seq") - 1) / SPAN).cast("string")).alias("unit")
-    src = e.where("review_id is not null").groupBy(unit).agg(F.sort_array(F.collect_list(F.struct("seq", "code", "before"))).alias("l"))
-    lines = F.concat(F.array(F.coalesce(F.get("l", F.lit(0))["before"], F.lit("pass"))), F.transform("l", lambda x: x["code"]))
-    return src.select("unit", F.array_join(lines, "\n").alias("source"), F.sequence(F.lit(1), F.size("l") + 1).alias("changed"))
+    src = e.where("review_id is not null").withColumn("first", first).groupBy(unit).agg(F.sort_array(F.collect_list(F.struct("seq", "code", "first"))).alias("l"))
+    source = F.array_join(F.concat(F.array(F.get("l", F.lit(0))["first"]), F.transform("l", lambda x: x["code"])), "\n")
+    return src.select("unit", source.alias("source"), F.sequence(F.lit(1), F.size(F.split(source, "\n"))).alias("changed"))
+
+
+def by_type(**code):
+    """Code by the type of an event; others pass."""
+    out = None
+    for kind, text in code.items():
+        text = F.lit(text) if isinstance(text, str) else text
+        out = F.when(F.col("content") == kind, text) if out is None else out.when(F.col("content") == kind, text)
+    return out.otherwise("pass")
+
+
+def event_of(df, line="sink_line", lines_each=1):
+    """user_id and line (of the user's events) of rows that stand in programs with a first line."""
+    at = F.substring_index("unit", ":", -1).cast("long") * SPAN + F.floor((F.col(line) - 2) / lines_each) + 1
+    return df.withColumns({"user_id": F.substring_index("unit", ":", 1), "line": at.cast("long")})
+
+
+HELPERS = EVENTS + """, h AS (SELECT user_id::VARCHAR AS user_id, line, event_type, last_value(CASE WHEN event_type IN ('click', 'error', 'purchase') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM e) """
+
+
+def helper_facts(spark, sf_dir):
+    """A function for each event: clicks return formatted SQL, views what the function before returns, errors a constant; purchases execute what it returns."""
+    from reviewlake.operators import taint as T
+
+    e = B.event_lines(spark, sf_dir).withColumn("content", F.when(F.col("content").isin("click", "view", "error", "purchase"), F.col("content")).otherwise("view"))
+    name = lambda k: F.concat(F.lit("f"), (F.col("seq") - k).cast("string"))
+    define = lambda k, body: F.concat(F.lit("def "), name(k), F.lit("(v): "), body)
+    sql, fixed = F.lit("return 'SELECT ' + v"), F.lit("return 'x'")
+    before = lambda text: F.concat(F.lit(text), name(1), F.lit("(v)"))
+    code = by_type(click=define(0, sql), view=define(0, before("return ")), error=define(0, fixed), purchase=define(0, F.concat(before("cur.execute("), F.lit(")"))))
+    e = J.as_of(e.withColumn("code", code), ["review_id"], ["seq"], F.col("content") != "view", F.col("content"), "before")
+    first = define(1, F.when(F.col("before") == "click", sql).when(F.col("before") == "error", fixed).otherwise("pass"))
+    return T.code_facts(programs(e, first))
+
+
+@query("t6_return_summaries", HELPERS + "SELECT user_id, line, event_type <> 'error' AS tainted, event_type = 'click' OR event_type <> 'error' AND coalesce(last, '') = 'click' AS sql FROM h WHERE event_type <> 'purchase'")
+def t6(spark, sf_dir):
+    from reviewlake.operators import taint as T
+    from reviewlake.operators.reach import checkpointed
+
+    facts = checkpointed(helper_facts(spark, sf_dir))
+    flagged = T.flags(facts, checkpointed(T.def_use_edges(facts)))
+    found = T.return_summaries(facts, flagged).withColumns({"user_id": F.substring_index("unit", ":", 1), "line": F.substr("func", F.lit(2)).cast("long")})
+    own = F.floor((F.col("line") - 1) / SPAN) == F.substring_index("unit", ":", -1).cast("long")  # else a span's first line, the event before it
+    return found.where(own & (F.col("line") > 0)).select("user_id", "line", "tainted", "sql")
+
+
+@query("t6_helpers_execute", HELPERS + "SELECT user_id, line FROM h WHERE event_type = 'purchase' AND last = 'click'")
+def t6_execute(spark, sf_dir):
+    """Formatted SQL that a helper returns is executed by a caller any number of calls away."""
+    from reviewlake.operators import taint as T
+
+    return event_of(T.sink_matches(helper_facts(spark, sf_dir)).where("rule_id = 'py-sql-string-format'")).select("user_id", "line")
+
+
+@query("t8_sql_format_exprs", EVENTS + "SELECT user_id::VARCHAR AS user_id, line, CASE event_type WHEN 'click' THEN 'f-string' WHEN 'view' THEN 'format' ELSE 'sum' END AS form FROM e WHERE event_type IN ('click', 'view', 'purchase')")
+def t8(spark, sf_dir):
+    """Each event executes a string of one form; in those of errors the verb is no part of the text."""
+    from reviewlake.operators import taint as T
+
+    code = by_type(click='    cur.execute(f"select {x}")', view="    cur.execute('{} update'.format(x))", error="    cur.execute('from %s' % f(x, 'select'))", purchase="    cur.execute('a' + x + ('delete %s' % x))")
+    code = F.when(code == "pass", "    pass").otherwise(code)
+    m = event_of(T.sink_matches(T.code_facts(programs(B.event_lines(spark, sf_dir).withColumn("code", code), F.lit("def g(x, cur):")))))
+    kinds = B.event_lines(spark, sf_dir).select(F.col("review_id").cast("string").alias("user_id"), F.col("seq").cast("long").alias("line"), F.when(F.col("content") == "click", "f-string").when(F.col("content") == "view", "format").otherwise("sum").alias("form"))
+    return m.where("rule_id = 'py-sql-string-format'").select("user_id", "line").join(kinds, ["user_id", "line"])
+
+
+@query("t9_guard_dominates", EVENTS + f"SELECT user_id::VARCHAR AS user_id, line, guards > 0 AS hardened FROM (SELECT *, count(*) FILTER (event_type IN ('click', 'view')) OVER (PARTITION BY user_id, (line - 1) // 1000 ORDER BY line) AS guards FROM e) WHERE event_type = 'purchase'")
+def t9(spark, sf_dir):
+    """Normalisations after plain guards (clicks), nested guards under not and or (views), and conditions that only leave a loop (errors)."""
+    from reviewlake.operators import taint as T
+
+    block = lambda *lines: "\n".join([*("    " + x for x in lines), *["    pass"] * (5 - len(lines))])
+    code = by_type(
+        click=block("if len(x) > 9:", "    return x"), view=block("if not (len(x) < 3 or x):", "    if x:", "        pass", "    else:", "        raise ValueError"),
+        error=block("if len(x) > 9:", "    for y in x:", "        break"), purchase=block("unicodedata.normalize('NFKC', x)"),
+    )
+    code = F.when(code == "pass", block()).otherwise(code)
+    m = T.sink_matches(T.code_facts(programs(B.event_lines(spark, sf_dir).withColumn("code", code), F.lit("def g(x):"))))
+    return event_of(m.where("rule_id = 'py-unicode-normalization-dos'"), lines_each=5).select("user_id", "line", (F.col("mode") == "adds-hardening").alias("hardened"))
+
+
+CARRIED, COMBINED, INTERPOLATED = ": assignment carries taint", "string/binary combination preserves taint", "string interpolation incorporates tainted values"
+
+
+@query("t17_taint_path", EVENTS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", s AS (SELECT user_id, (line - 1) // 1000 AS span, (line - 1) % 1000 AS k, line, event_type FROM e),
+p(user_id, span, k, lines, steps, last) AS (SELECT DISTINCT user_id, span, -1::BIGINT, '1', 'source call `input`', 1::BIGINT FROM s UNION ALL
+SELECT s.user_id, s.span, s.k, CASE WHEN event_type = 'click' THEN (s.k + 2)::VARCHAR WHEN event_type IN ('view', 'error') THEN lines || '>' || (s.k + 2) ELSE lines END,
+CASE event_type WHEN 'click' THEN 'source call `input`' WHEN 'view' THEN steps || '|L' || last || '{CARRIED}|{COMBINED}' WHEN 'error' THEN steps || '|L' || last || '{CARRIED}|{INTERPOLATED}' ELSE steps END,
+CASE WHEN event_type IN ('click', 'view', 'error') THEN s.k + 2 ELSE last END FROM p JOIN s ON s.user_id = p.user_id AND s.span = p.span AND s.k = p.k + 1)
+SELECT s.user_id::VARCHAR AS user_id, s.line, lines || '>' || (s.k + 2) AS lines, steps || '|L' || last || '{CARRIED}' AS steps FROM p JOIN s ON s.user_id = p.user_id AND s.span = p.span AND s.k = p.k + 1 WHERE event_type = 'purchase'""")
+def t17(spark, sf_dir):
+    """The whole way of taint to each purchase's eval: the lines that it passes, and what is said of them."""
+    from reviewlake.operators import taint as T
+    from reviewlake.operators.reach import checkpointed
+
+    code = by_type(click="x = input()", view="x = x + 'a'", error="x = f'{x}!'", purchase="eval(x)")
+    facts = checkpointed(T.code_facts(programs(B.event_lines(spark, sf_dir).withColumn("code", code), F.lit("x = input()"))))
+    edges = checkpointed(T.def_use_edges(facts))
+    sinks = T.pick(facts, "call", call="node", name="name", sink_line="line").where("name = 'eval'").join(T.pick(facts, "arg", call="node", end="ref"), ["unit", "call"])
+    paths = T.taint_path(facts, edges, checkpointed(T.flags(facts, edges)), sinks.select("unit", "end")).join(sinks, ["unit", "end"])
+    lines = F.array_compact(F.transform("path", lambda p: p["line"].cast("string")))
+    return event_of(paths).select("user_id", "line", F.array_join(lines, ">").alias("lines"), F.array_join(F.flatten(F.transform("path", lambda p: p["text"])), "|").alias("steps"))
 
 
 @query("review_diffs", None)
