@@ -6,41 +6,73 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Buckets that an interval may span before it is dealt to wide ones, of LONG buckets each.
-LONG = 4096
+#: Each level of cells is so many bits wider than the one below.
+STEP = 3
 
 
-def _dealt(df: DataFrame, lo: str, hi: str, width: int, ours: int, theirs: int) -> DataFrame:
-    """df by _kind and _bucket. Kinds: 0 both sides short, `ours` only this side long, `theirs` only the other, 3 both long."""
-    cut = lambda w: F.sequence(F.floor(F.col(lo) / w), F.floor(F.col(hi) / w))
-    kind = lambda k, w: F.transform(cut(w), lambda x: F.struct(F.lit(k).alias("_kind"), x.alias("_bucket")))
-    wide = width * LONG
-    short = F.abs(F.floor(F.col(hi) / width) - F.floor(F.col(lo) / width)) < LONG
-    spots = F.when(short, F.concat(kind(0, width), kind(theirs, wide))).otherwise(F.concat(kind(ours, wide), kind(3, wide)))
-    return df.withColumn("_spot", F.explode(spots)).select(*[F.col(f"`{c}`") for c in df.columns], "_spot.*")
+def _level(lo: str, hi: str, width: int) -> Column:
+    """The first level whose cells are no shorter than an interval: it then lies in two of them at most."""
+    cells = F.greatest(F.lit(1), F.ceil((F.col(hi) - F.col(lo) + 1) / width))
+    return F.ceil(F.length(F.bin(cells - 1)) * (cells > 1).cast("int") / STEP).cast("int")
+
+
+def _levels(df: DataFrame, lo: str, hi: str, width: int) -> Column:
+    """The levels that occur: a handful of numbers, asked for once, as a scalar subquery."""
+    return df.select(_level(lo, hi, width).alias("_l")).agg(F.collect_set("_l")).scalar()
+
+
+def _dealt(df: DataFrame, lo: str, hi: str, width: int, theirs: Column) -> DataFrame:
+    """df in the cells of its own level, or of each higher one that occurs on the other side: the level of a pair is that of its longer interval."""
+    level = lambda l: F.call_function("shiftleft", F.lit(width).cast("long"), l * STEP)  # noqa: E731, E741
+    cells = lambda l: F.transform(F.sequence(F.floor(F.col(lo) / level(l)), F.floor(F.col(hi) / level(l))), lambda x: F.struct(l.alias("_level"), x.alias("_bucket")))  # noqa: E731, E741
+    own = df.withColumn("_own", _level(lo, hi, width)).withColumn("_theirs", theirs)
+    spots = F.flatten(F.transform(F.array_distinct(F.transform("_theirs", lambda x: F.greatest(x, F.col("_own")))), cells))
+    return own.withColumn("_spot", F.explode(spots)).select(*[F.col(f"`{c}`") for c in df.columns], "_own", "_spot.*")
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], lo: tuple[str, str], hi: tuple[str, str], width: int, how: str = "inner") -> DataFrame:
     """Rows whose closed intervals [lo, hi] intersect, equal in keys.
 
-    Both sides are dealt to buckets of `width`, which makes the join an equi-join: a long file isn't compared
-    line by line. Intervals of over LONG buckets, and what may meet them, are dealt to wide buckets, so that one up to 2**31 takes
-    some thousands of rows at width 64, not millions. A pair is kept only in the bucket of the later start, so it comes once.
+    Both sides are dealt to cells, which makes the join an equi-join: a long file isn't compared line by line. Cells have levels, from
+    `width` up in steps of 2^STEP; an interval lies in two cells at most of its level or a higher one. A pair meets at the level of
+    its longer interval, so short rows go to higher levels only if the other side has any, and however long an interval is, it takes
+    two rows a level. A pair is kept only in the cell of the later start, so it comes once.
     Columns other than keys must differ. how: inner, left_semi or left_anti.
     """
-    meet = (F.col(lo[0]) <= F.col(hi[1])) & (F.col(lo[1]) <= F.col(hi[0]))
-    spot = [*keys, "_kind", "_bucket"]
-    b = _dealt(right, lo[1], hi[1], width, 2, 1)
+    meet = (F.col(lo[0]) <= F.col(hi[1])) & (F.col(lo[1]) <= F.col(hi[0])) & (F.col("_level") == F.greatest("_own", "_other"))
+    spot = [*keys, "_level", "_bucket"]
+    b = _dealt(right, lo[1], hi[1], width, _levels(left, lo[0], hi[0], width)).withColumnRenamed("_own", "_other")
+    ours = _levels(right, lo[1], hi[1], width)
     if how == "inner":
-        wide = F.when(F.col("_kind") == 0, width).otherwise(width * LONG)
-        once = F.floor(F.greatest(lo[0], lo[1]) / wide) == F.col("_bucket")
-        return _dealt(left, lo[0], hi[0], width, 1, 2).join(b, spot).where(meet & once).drop("_kind", "_bucket")
-    # semi and anti: a left row may meet many, so it is asked in its buckets and answered once, by a row id that is made before
+        once = F.floor(F.greatest(lo[0], lo[1]) / F.call_function("shiftleft", F.lit(width).cast("long"), F.col("_level") * STEP)) == F.col("_bucket")
+        return _dealt(left, lo[0], hi[0], width, ours).join(b, spot).where(meet & once).drop("_level", "_bucket", "_own", "_other")
+    # semi and anti: a left row may meet many, so it is asked in its cells and answered once, by a row id that is made before
     a = left.withColumn("_row", F.struct(*[F.col(c) for c in left.columns]))
-    hit = _dealt(a, lo[0], hi[0], width, 1, 2).join(b, spot).where(meet).select("_row").distinct()
+    hit = _dealt(a, lo[0], hi[0], width, ours).join(b, spot).where(meet).select("_row").distinct()
     return a.join(hit, a["_row"].eqNullSafe(hit["_row"]), how).select(left.columns)
 
 
+def least_cover(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, lo: str, hi: str, value: str) -> DataFrame:
+    """keys, point, value: for each point that closed intervals of its keys cover, the least value of these.
+
+    An interval is cut into the fewest dyadic cells, at most two a level, and a cell keeps its least value; a point asks one cell of each
+    level that occurs. However many intervals overlap, no pairs are made. Points and bounds are whole numbers.
+    """
+    at = lambda c, k: F.floor(c / F.call_function("shiftleft", F.lit(1).cast("long"), k))
+
+    def cells(k: Column) -> Column:
+        begin, end = -at(-F.col(lo), k), at(F.col(hi) + 1, k)
+        one = lambda x, odd: F.when((begin < end) & (F.pmod(odd, F.lit(2)) == 1), F.struct(k.alias("_level"), x.alias("_cell")))
+        return F.array(one(begin, begin), one(end - 1, end))
+
+    bits = F.length(F.bin((F.col(hi) - F.col(lo) + 1).cast("long")))
+    spots = F.array_distinct(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), bits), cells))))
+    held = intervals.where(F.col(lo) <= F.col(hi)).select(*keys, value, F.explode(spots).alias("_s")).groupBy(*keys, "_s._level", "_s._cell").agg(F.min(value).alias(value))
+    levels = held.agg(F.collect_set("_level")).scalar()
+    asked = points.select(*keys, point).distinct().withColumn("_level", F.explode(levels)).withColumn("_cell", at(F.col(point), F.col("_level")))
+    return asked.join(held, [*keys, "_level", "_cell"]).groupBy(*keys, point).agg(F.min(value).alias(value))
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key in the given order."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.functions.columns import is_redos_prone, redos_hardening, redos_risk_score
-from reviewlake.operators.joins import first_by
+from reviewlake.operators.joins import first_by, least_cover
 from reviewlake.operators.reach import checkpointed, pointer_paths, reachable
 
 FACT = "unit string, fact string, scope int, seq int, node int, ref int, last int, name string, text string, line int, changed boolean"
@@ -588,13 +588,25 @@ def redos_hardening_delta(old: DataFrame, new: DataFrame, keys: list[str]) -> Da
 def attach_to_window(matches: DataFrame, windows: DataFrame, keys: list[str], match_id: list[str]) -> DataFrame:
     """matches with window_id: the first window that holds the sink line, else that of the nearest edge; without a line the first with an addition.
 
-    windows: keys, window_id, start_line, end_line, has_add.
+    windows: keys, window_id, start_line, end_line, has_add. Matches without windows go. The last end before a line and the first start after it
+    come from one sort of edges and lines, the least window that holds it from dyadic cells: a match doesn't meet every window.
     """
-    w = windows.select(*keys, "window_id", "start_line", "end_line", "has_add")
-    j = matches.join(w, keys)
-    line = F.col("sink_line")
-    away = F.when(line.isNull(), F.when(F.col("has_add"), 0).otherwise(1)).when(line.between(F.col("start_line"), F.col("end_line")), -1).otherwise(F.least(F.abs(F.col("start_line") - line), F.abs(F.col("end_line") - line)))
-    return first_by(j.withColumn("_away", away), [*keys, *match_id], ["_away", "window_id"]).drop("_away", "start_line", "end_line", "has_add")
+    own = [*keys, *match_id]
+    one = matches.dropDuplicates(own)
+    edge = lambda kind, at, order: windows.select(*keys, F.col(at).alias("_at"), F.lit(kind).alias("_kind"), order.alias("_order"), F.struct(F.col(at).alias("at"), "window_id").alias("_edge"))
+    ends, starts = edge(0, "end_line", -F.col("window_id")), edge(2, "start_line", F.col("window_id"))
+    asked = one.where("sink_line IS NOT NULL").select(*own, F.col("sink_line").alias("_at"), F.lit(1).alias("_kind"))
+    w = Window.partitionBy(*keys).orderBy("_at", "_kind", "_order")
+    last = F.last(F.when(F.col("_kind") == 0, F.col("_edge")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.first(F.when(F.col("_kind") == 2, F.col("_edge")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    near = asked.unionByName(ends, allowMissingColumns=True).unionByName(starts, allowMissingColumns=True).withColumns({"_last": last, "_first": first}).where("_kind = 1")
+    away = lambda e, d: F.when(F.col(e).isNotNull(), F.struct(d.alias("away"), F.col(e)["window_id"].alias("window_id")))
+    near = near.select(*own, F.col("_at").alias("sink_line"), F.least(away("_last", F.col("_at") - F.col("_last")["at"]), away("_first", F.col("_first")["at"] - F.col("_at")))["window_id"].alias("_near"))
+    cover = least_cover(asked.select(*keys, F.col("_at").alias("sink_line")), windows, keys, "sink_line", "start_line", "end_line", "window_id").withColumnRenamed("window_id", "_cover")
+    found = near.join(cover, [*keys, "sink_line"], "left").select(*own, F.coalesce("_cover", "_near").alias("window_id"))
+    whole = windows.groupBy(*keys).agg(F.min(F.struct(~F.col("has_add"), "window_id"))["window_id"].alias("window_id"))
+    lost = one.where("sink_line IS NULL").select(own).join(whole, keys)
+    return one.join(found.unionByName(lost).where("window_id IS NOT NULL"), own)
 
 
 def prefer_richer(matches: DataFrame, keys: list[str]) -> DataFrame:

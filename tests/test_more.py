@@ -143,3 +143,44 @@ def test_top_findings_counts_all(spark):
     f = spark.createDataFrame([("a", s) for s in range(9)] + [("b", 1), (None, 4), (None, 2)], "review_id string, seq int")
     got = sorted((str(r["review_id"]), r["seq"], r["total"], r["shown"]) for r in top_findings(f, n=3).collect())
     assert got == sorted([("a", s, 9, 3) for s in range(3)] + [("b", 1, 1, 1), ("None", 2, 2, 2), ("None", 4, 2, 2)])
+
+
+def test_range_join_of_all_lengths_against_all_pairs(spark):
+    import random
+
+    some = random.Random(3)
+    rows = lambda: [(some.randrange(2), x, x + some.choice([0, 0, 3, 63, 64, 511, 512, 5000]), k) for k, x in enumerate(some.randrange(-700, 9000) for _ in range(150))]
+    left, right = rows(), rows()
+    a, b = spark.createDataFrame(left, "k int, lo int, hi int, id int"), spark.createDataFrame(right, "k int, lo2 int, hi2 int, id2 int")
+    want = sorted((p[3], q[3]) for p in left for q in right if p[0] == q[0] and p[1] <= q[2] and q[1] <= p[2])
+    join = lambda how: range_join(a, b, ["k"], ("lo", "lo2"), ("hi", "hi2"), 8, how)
+    assert sorted(map(tuple, join("inner").select("id", "id2").collect())) == want
+    met = {p for p, _ in want}
+    assert {r["id"] for r in join("left_semi").collect()} == met and {r["id"] for r in join("left_anti").collect()} == {p[3] for p in left} - met
+    assert range_join(a, b.limit(0), ["k"], ("lo", "lo2"), ("hi", "hi2"), 8, "left_anti").count() == len(left)
+
+
+def test_short_intervals_are_dealt_once(spark):
+    from reviewlake.operators.joins import _dealt, _levels
+
+    short = spark.createDataFrame([(1, x, x) for x in range(100)], "k int, lo int, hi int")
+    assert _dealt(short, "lo", "hi", 64, _levels(short, "lo", "hi", 64)).count() == 100
+
+
+def test_matches_are_attached_to_the_least_or_nearest_window(spark):
+    import random
+
+    from reviewlake.operators.taint import attach_to_window
+
+    some = random.Random(4)
+    windows = [(r, w, s, s + some.choice([0, 5, 40, 300]), some.random() < 0.3) for r in range(3) for w, s in enumerate(some.randrange(0, 2000) for _ in range(40))]
+    matches = [(some.randrange(4), m, some.choice([None, some.randrange(-5, 2400)])) for m in range(300)]
+    got = attach_to_window(spark.createDataFrame(matches, "r int, m int, sink_line int"), spark.createDataFrame(windows, "r int, window_id int, start_line int, end_line int, has_add boolean"), ["r"], ["m"])
+    want = {}
+    for r, m, x in matches:
+        away = lambda w: (not w[4]) if x is None else -1 if w[2] <= x <= w[3] else min(abs(w[2] - x), abs(w[3] - x))  # noqa: E731, B023
+        mine = [(away(w), w[1]) for w in windows if w[0] == r]
+        if mine:
+            want[(r, m)] = min(mine)[1]
+    assert {(x["r"], x["m"]): x["window_id"] for x in got.collect()} == want
+    assert "CartesianProduct" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
