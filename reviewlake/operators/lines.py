@@ -52,7 +52,7 @@ def evidence_windows(lines: DataFrame, key: str = "review_id", max_lines: int =
     lines = lines.withColumn("_line", effective_line("new_line", "old_line"))
     t = lines.where(F.col("change_type").isin(*triggers))
     t = t.select(key, "file_path", F.col("seq").alias("window_id"), F.greatest(F.lit(1), F.col("_line") - half).alias("start_line"), (F.col("_line") + half).alias("end_line"))
-    members = range_join(t, lines.withColumn("_to", F.col("_line")), [key, "file_path"], ("start_line", "_line"), ("end_line", "_to"), max_lines + 1)
+    members = range_join(t, lines.withColumn("_to", F.col("_line")), [key, "file_path"], ("start_line", "_line"), ("end_line", "_to"), max_lines + 1, short=True)
     kept = first_n(members, [key, "window_id"], ["seq"], max_lines)
     line = F.struct("seq", "old_line", "new_line", "content", "change_type")
     return kept.groupBy(key, "window_id", "file_path", "start_line", "end_line").agg(F.sort_array(F.collect_list(line)).alias("lines"))
@@ -84,7 +84,7 @@ def source_context(windows: DataFrame, source_lines: DataFrame, key: str = "revi
     w = w.withColumns({"start_line": low, "end_line": high})
     spans = w.where(full & (F.col("start_line") <= F.col("end_line"))).select(key, "window_id", "file_path", "start_line", "end_line", "added")
     points = source_lines.where(F.col("line_number").isNotNull()).withColumn("_to", F.col("line_number"))
-    near = range_join(spans, points, [key, "file_path"], ("start_line", "line_number"), ("end_line", "_to"), 2 * radius + MAX_LINES + 1)
+    near = range_join(spans, points, [key, "file_path"], ("start_line", "line_number"), ("end_line", "_to"), 2 * radius + MAX_LINES + 1, short=True)
     role = F.when(F.array_contains("added", F.col("line_number")), "changed").otherwise("context")
     got = near.groupBy(key, "window_id").agg(F.sort_array(F.collect_list(F.struct("line_number", "content", role.alias("role")))).alias("lines"))
     out = w.select(key, "window_id", "file_path", "available", "rationale", "start_line", "end_line").join(got, [key, "window_id"], "left")
