@@ -113,15 +113,17 @@ def diff_scope(lines: DataFrame, key: str = "review_id", max_lines: int = MAX_LI
 def split_in_scope(findings: DataFrame, ranges: DataFrame, key: str = "review_id") -> DataFrame:
     """findings with in_scope: its path overlaps a scoped path and its lines meet one of that path's ranges. A review without ranges has all in scope.
 
-    Overlapping paths have the same last part, so the join is on review and last part; the rest is its condition. Findings need seq.
+    Overlapping paths have the same last part, so the join is on review and last part; the rest is its condition. Findings need a seq, their
+    own in a review, or in a review and tool where they have a tool_name.
     """
+    own = [key, *(["tool_name"] if "tool_name" in findings.columns else []), "seq"]
     tail = lambda p: F.element_at(F.split(normalize_path(p), "/"), -1)
     scoped = ranges.select(key, tail("file_path").alias("_tail"), F.col("file_path").alias("_path"), "scope_start", "scope_end")
-    f = findings.select(key, "seq", F.col("file_path").alias("_file"), tail("file_path").alias("_tail"), F.col("start_line").alias("_lo"), F.coalesce("end_line", "start_line").alias("_hi"))
+    f = findings.select(*own, F.col("file_path").alias("_file"), tail("file_path").alias("_tail"), F.col("start_line").alias("_lo"), F.coalesce("end_line", "start_line").alias("_hi"))
     met = range_join(f.where("_lo > 0"), scoped, [key, "_tail"], ("_lo", "scope_start"), ("_hi", "scope_end"), BUCKET)
-    hits = met.where(paths_overlap("_file", "_path")).select(key, "seq").distinct().withColumn("_hit", F.lit(True))
+    hits = met.where(paths_overlap("_file", "_path")).select(own).distinct().withColumn("_hit", F.lit(True))
     known = ranges.select(key).distinct().withColumn("_scoped", F.lit(True))
-    out = findings.join(hits, [key, "seq"], "left").join(known, key, "left")
+    out = findings.join(hits, own, "left").join(known, key, "left")
     return out.withColumn("in_scope", F.col("_scoped").isNull() | F.col("_hit").isNotNull()).drop("_hit", "_scoped")
 
 

@@ -639,6 +639,111 @@ def s3(spark, sf_dir):
     return e.select("event_id", get("doc", "$.k", "bigint").alias("k"))
 
 
+def reports(spark, sf_dir, item, wrap):
+    """review_id, tool_name, payload: scanners' reports for each user and type of event, with an item for each event; 1,000 ids share a report at most."""
+    e = B.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("review_id"), F.col("event_type").alias("tool_name"), F.floor(F.col("event_id") / 1000).alias("part"))
+    items = e.agg(F.sort_array(F.collect_list(F.struct("event_id", item.alias("item")))).alias("l"))
+    return items.select("review_id", "tool_name", F.to_json(wrap(F.transform("l", lambda x: x["item"]))).alias("payload"))
+
+
+eid = lambda: F.col("event_id")
+of = lambda n, c: F.concat(F.lit(c), (eid() % n).cast("string"))
+only = lambda test, value: F.when(test, value)
+begins = lambda: (eid() % 4).cast("int")
+ends = lambda: (eid() % 4 + eid() % 3).cast("int")
+SHOWN = ["review_id", "tool_name", "rule_id", "message", "file_path", "start_line", "end_line", "severity"]
+shown = lambda f: longs(f.select(SHOWN), "start_line", "end_line")
+
+
+def semgrep_reports(spark, sf_dir):
+    item = F.struct(
+        of(7, "r").alias("check_id"), only(eid() % 5 > 0, F.concat(of(5, "src\\a"), F.lit(".py"))).alias("path"), F.struct(begins().alias("line")).alias("start"), only(eid() % 2 == 0, F.struct(ends().alias("line"))).alias("end"),
+        F.struct(F.concat(F.lit("m"), eid().cast("string")).alias("message"), only(eid() % 3 > 0, F.lit("WARNING")).alias("severity")).alias("extra"),
+    )
+    return reports(spark, sf_dir, item, lambda l: F.struct(l.alias("results")))  # noqa: E741
+
+
+SEMGREP = "SELECT user_id AS review_id, event_type AS tool_name, 'r' || (event_id % 7) AS rule_id, 'm' || event_id AS message, 'src/a' || (event_id % 5) || '.py' AS file_path, event_id % 4 AS start_line, event_id % 4 + CASE WHEN event_id % 2 = 0 THEN event_id % 3 ELSE 0 END AS end_line, CASE WHEN event_id % 3 > 0 THEN 'warning' ELSE 'unknown' END AS severity FROM events WHERE event_id % 5 > 0 AND event_id % 4 > 0"
+
+
+@query("s3_parse_semgrep", SEMGREP)
+def s3_parse(spark, sf_dir):
+    from reviewlake.sources.tool_output import parse_semgrep
+
+    return shown(parse_semgrep(semgrep_reports(spark, sf_dir)))
+
+
+def sarif_reports(spark, sf_dir):
+    uri = F.when(eid() % 3 == 0, "file:///app/a.py").when(eid() % 3 == 1, "./app/b.py").otherwise("app\\c.py")
+    region = F.struct(begins().alias("startLine"), only(eid() % 2 == 0, ends()).alias("endLine"))
+    place = F.struct(F.struct(F.struct(uri.alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    text = F.concat(F.lit("m"), eid().cast("string"))
+    item = F.struct(of(7, "r").alias("ruleId"), only(eid() % 3 > 0, F.lit("Note")).alias("level"), F.struct(only(eid() % 2 == 0, text).alias("text"), only(eid() % 2 == 1, text).alias("markdown")).alias("message"), F.array(place).alias("locations"))
+    rule = lambda k, level: F.struct(F.lit(f"r{k}").alias("id"), F.struct(F.lit(level).alias("level")).alias("defaultConfiguration"))
+    tool = F.struct(F.struct(F.array(*[rule(k, "error") for k in range(4)]).alias("rules")).alias("driver"), F.array(F.struct(F.array(rule(2, "Warning")).alias("rules"))).alias("extensions"))
+    return reports(spark, sf_dir, item, lambda l: F.struct(F.array(F.struct(tool.alias("tool"), l.alias("results"))).alias("runs")))  # noqa: E741
+
+
+SARIF = "SELECT user_id AS review_id, event_type AS tool_name, 'r' || (event_id % 7) AS rule_id, 'm' || event_id AS message, CASE event_id % 3 WHEN 0 THEN 'app/a.py' WHEN 1 THEN 'app/b.py' ELSE 'app/c.py' END AS file_path, event_id % 4 AS start_line, event_id % 4 + CASE WHEN event_id % 2 = 0 THEN event_id % 3 ELSE 0 END AS end_line, CASE WHEN event_id % 3 > 0 THEN 'note' WHEN event_id % 7 = 2 THEN 'warning' WHEN event_id % 7 < 4 THEN 'error' ELSE 'unknown' END AS severity FROM events WHERE event_id % 4 > 0"
+
+
+@query("s4_parse_sarif", SARIF)
+def s4_parse(spark, sf_dir):
+    from reviewlake.sources.tool_output import parse_sarif
+
+    return shown(parse_sarif(sarif_reports(spark, sf_dir)))
+
+
+def bandit_reports(spark, sf_dir):
+    item = F.struct(
+        only(eid() % 2 == 0, of(7, "B")).alias("test_id"), of(7, "name").alias("test_name"), F.concat(F.lit("m"), eid().cast("string")).alias("issue_text"), only(eid() % 5 > 0, of(5, "src\\a")).alias("filename"),
+        begins().alias("line_number"), only(eid() % 3 > 0, F.array(begins(), ends())).alias("line_range"), only(eid() % 3 > 0, F.lit("HIGH")).alias("issue_severity"),
+    )
+    return reports(spark, sf_dir, item, lambda l: F.struct(l.alias("results")))  # noqa: E741
+
+
+BANDIT = "SELECT user_id AS review_id, event_type AS tool_name, CASE WHEN event_id % 2 = 0 THEN 'B' ELSE 'name' END || (event_id % 7) AS rule_id, 'm' || event_id AS message, 'src/a' || (event_id % 5) AS file_path, event_id % 4 AS start_line, event_id % 4 + event_id % 3 AS end_line, CASE WHEN event_id % 3 > 0 THEN 'high' ELSE 'unknown' END AS severity FROM events WHERE event_id % 5 > 0 AND event_id % 4 > 0"
+
+
+@query("s5_parse_bandit", BANDIT)
+def s5_parse(spark, sf_dir):
+    from reviewlake.sources.tool_output import parse_bandit
+
+    return shown(parse_bandit(bandit_reports(spark, sf_dir)))
+
+
+def audit_reports(spark, sf_dir):
+    vuln = lambda c, fixed: F.struct(F.concat(F.lit(c), eid().cast("string")).alias("id"), fixed.alias("fix_versions"))
+    none = F.lit(None).cast("array<string>")
+    first, second = vuln("V", only(eid() % 3 == 0, F.array(F.lit("1.2"), F.lit("2.0")))), vuln("W", none)
+    item = F.struct(only(eid() % 5 > 0, of(5, "pkg")).alias("name"), only(eid() % 2 == 0, F.lit("0.1")).alias("version"), F.when(eid() % 4 == 0, F.array(first, second)).otherwise(F.array(first)).alias("vulns"))
+    return reports(spark, sf_dir, item, lambda l: F.struct(l.alias("dependencies")))  # noqa: E741
+
+
+AUDIT = "SELECT user_id AS review_id, event_type AS tool_name, v || event_id AS rule_id, 'Vulnerable dependency pkg' || (event_id % 5) || CASE WHEN event_id % 2 = 0 THEN '==0.1' ELSE '' END || CASE WHEN fixed THEN ' (fix: 1.2, 2.0)' ELSE '' END AS message, 'dependencies/pkg' || (event_id % 5) AS file_path, 1::BIGINT AS start_line, 1::BIGINT AS end_line, CASE WHEN fixed THEN 'high' ELSE 'medium' END AS severity FROM (SELECT *, 'V' AS v, event_id % 3 = 0 AS fixed FROM events UNION ALL SELECT *, 'W', false FROM events WHERE event_id % 4 = 0) WHERE event_id % 5 > 0"
+
+
+@query("s6_parse_pip_audit", AUDIT)
+def s6_parse(spark, sf_dir):
+    from reviewlake.sources.tool_output import parse_pip_audit
+
+    return shown(parse_pip_audit(audit_reports(spark, sf_dir)))
+
+
+@query("s7_parse_tool_output", f"SELECT *, 'semgrep' AS adapter FROM ({SEMGREP}) WHERE tool_name = 'click' UNION ALL SELECT *, 'codeql' FROM ({SARIF}) WHERE tool_name = 'view' UNION ALL SELECT *, 'bandit' FROM ({BANDIT}) WHERE tool_name = 'purchase' UNION ALL SELECT *, 'pip-audit' FROM ({AUDIT}) WHERE tool_name = 'error'")
+def s7_parse(spark, sf_dir):
+    """Reports of four scanners in one table, each with the adapter that reads it; one that nobody reads gives nothing."""
+    from reviewlake.sources.tool_output import parse_tool_output
+
+    by = {"click": ("semgrep", semgrep_reports), "view": ("sarif", sarif_reports), "purchase": ("bandit-json", bandit_reports), "error": ("pip_audit", audit_reports)}
+    runs = None
+    for kind, (adapter, make) in by.items():
+        one = make(spark, sf_dir).where(F.col("tool_name") == kind).withColumn("adapter", F.lit(adapter))
+        runs = one if runs is None else runs.unionByName(one)
+    runs = runs.unionByName(semgrep_reports(spark, sf_dir).withColumn("adapter", F.lit("unknown")))
+    return longs(parse_tool_output(runs).select(*SHOWN, "adapter"), "start_line", "end_line")
+
+
 @query("s9_evidence_markers", "SELECT event_id, 'validation' AS kind, event_type AS message, 'rule-' || (event_id % 7) AS rule_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 5 END AS start_line FROM events WHERE event_id % 3 = 0")
 def s9(spark, sf_dir):
     from reviewlake.sources.tool_output import extract_evidence_markers

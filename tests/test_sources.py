@@ -122,3 +122,21 @@ def test_sarif_rules_belong_to_their_report(spark):
 
     runs = spark.createDataFrame([("1", "t", report("error")), ("1", "t", report("note"))], "review_id string, tool_name string, payload string")
     assert sorted((r["message"], r["severity"]) for r in parse_sarif(runs).collect()) == [("error", "error"), ("note", "note")]
+
+
+def test_reports_of_one_review_share_no_numbers(spark):
+    import json
+
+    from reviewlake.operators.lines import split_in_scope
+    from reviewlake.sources.tool_output import parse_pip_audit, parse_sarif
+
+    at = lambda uri, line: {"ruleId": "x", "locations": [{"physicalLocation": {"artifactLocation": {"uri": uri}, "region": {"startLine": line}}}]}
+    report = lambda *results: json.dumps({"runs": [{"results": [r]} for r in results]})
+    runs = spark.createDataFrame([(1, "t", report(at("a.py", 3), at("b.py", 4))), (1, "t", report(at("c.py", 50))), (1, "u", report(at("a.py", 70)))], "review_id int, tool_name string, payload string")
+    found = parse_sarif(runs).cache()
+    assert sorted((r["tool_name"], r["seq"]) for r in found.collect()) == [("t", 0), ("t", 1), ("t", 2), ("u", 0)]
+    ranges = spark.createDataFrame([(1, "a.py", 1, 9)], "review_id int, file_path string, scope_start int, scope_end int")
+    assert {(r["tool_name"], r["file_path"], r["start_line"]) for r in split_in_scope(found, ranges).where("in_scope").collect()} == {("t", "a.py", 3)}
+    many = json.dumps({"dependencies": [{"name": n, "vulns": [{"id": f"{n}{k}"} for k in range(1500)]} for n in "pq"]})
+    seqs = [r["seq"] for r in parse_pip_audit(spark.createDataFrame([(1, "t", many)], "review_id int, tool_name string, payload string")).collect()]
+    assert sorted(seqs) == list(range(3000))
