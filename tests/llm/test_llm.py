@@ -151,6 +151,35 @@ def test_names_alone_cut_no_text(spark):
     assert texts_of(spark, [("http://x/", blog(0))] * 4) == dict.fromkeys(range(4), got[0])  # repeated rows don't make text a repeated one
 
 
+def test_hosts_with_several_templates_and_pages_without_a_host(spark):
+    say = lambda k, n: " ".join(f"word{k}x{i}, so" for i in range(n))
+    post = lambda k: f'<div class="top"><a href="/">home</a></div><div class="post"><p>{say(k, 30)}</p></div>'
+    wiki = lambda k: f'<div class="top"><a href="/">home</a></div><div class="post"><p>see also {k}</p></div><div class="wiki"><p>{say(k, 35)}</p></div>'
+    mixed = [(f"http://two/{k}", post(k) if k < 8 else wiki(k)) for k in range(11)]
+    got = texts_of(spark, mixed)
+    assert got == {k: say(k, 30 if k < 8 else 35) for k in range(11)}
+    alone = texts_of(spark, [(None, post(k) if k < 3 else wiki(k)) for k in range(5)])
+    assert alone == {k: say(k, 30 if k < 3 else 35) for k in range(5)}
+
+
+def test_beyond_a_broadcast_paths_meet_pages_by_row(spark, monkeypatch):
+    page = lambda k: f'<div class="menu"><a href="/{k}">go {k}</a></div><div class="post">{k} text, and text, and more. <p>Then {k}.</p><div class="share-box"><a href="/s">share {k} here</a></div></div>'
+    rows_ = [(f"http://h{k % 2}/{k}", page(k)) for k in range(6)]
+    want = texts_of(spark, rows_)
+    monkeypatch.setattr(host_paths, "HOSTS", 0)
+    assert texts_of(spark, rows_) == want and want[0] == "0 text, and text, and more. Then 0."
+
+
+NAMES = ["search-box", "form-text", "widget-text", "promo", "reply", "alert-box", "notice", "subscription-content", "related", "share", "banner-text", "form-list", "menu", "top-search", "hidden-gem"]
+
+
+def test_one_name_is_one_sign(spark):
+    """Text of an article between others of its text stays, whatever its class is called."""
+    page = lambda name, k: f'<main><p>Start {k} of it, and on.</p><div class="{name}"><p>This is what {k} says, in the middle of it all.</p></div><p>End {k}, at last.</p></main>'
+    got = texts_of(spark, [(f"http://{name}/{k}", page(name, k)) for name in NAMES for k in range(4)])
+    assert got == {4 * n + k: f"Start {k} of it, and on. This is what {k} says, in the middle of it all. End {k}, at last." for n in range(len(NAMES)) for k in range(4)}
+
+
 def luhn(s):
     return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(s))) % 10 == 0
 
