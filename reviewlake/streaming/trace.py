@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def stream_findings(diffs: DataFrame, review: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
@@ -46,30 +44,27 @@ def tool_durations(starts: DataFrame, finishes: DataFrame, keys: list[str], most
     return j.select(*keys, "started", (F.unix_micros(F.col("finished").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))).alias("micros"))
 
 
-class Ratchet(StatefulProcessor):
-    """Counts findings by suite and says when they pass the cap."""
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def __init__(self, most: int) -> None:
-        self.most = most
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", "n long")
+def running_ratchet(findings: DataFrame, most: int, path: str, checkpoint: str, suite: str = "suite"):
+    """A query that counts a stream's findings by suite and writes, for each batch, the suites it changed: suite, total, exceeded.
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = self.total.get()[0] if self.total.exists() else 0
-        now = before + sum(map(len, rows))
-        self.total.update((now,))
-        yield pd.DataFrame({"suite": [key[0]], "total": [now], "exceeded": [now > self.most]})
-
-    def close(self) -> None:
-        pass
-
-
-def running_ratchet(findings: DataFrame, most: int, suite: str = "suite") -> DataFrame:
-    """suite, total, exceeded after each batch: a value state a suite. Needs the RocksDB state store."""
-    return findings.groupBy(suite).transformWithStateInPandas(Ratchet(most), "suite string, total long, exceeded boolean", "Update", "None")
+    The counts are keyed state in the RocksDB state store, whose changes go to the checkpoint: a query that is started there again goes on
+    counting. A batch that runs again after a failure replaces its own output.
+    """
+    spark = findings.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)  # a query keeps the settings that it began with
+    try:
+        each = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        totals = ratchet_totals(findings, most, suite).writeStream.outputMode("update")
+        return totals.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)
 
 
 def ratchet_totals(findings: DataFrame, most: int, suite: str = "suite") -> DataFrame:
-    """What running_ratchet ends with, in one batch."""
+    """Findings by suite, and whether they pass the cap: of a table, or of a stream so far."""
     return findings.groupBy(suite).agg(F.count(F.lit(1)).alias("total")).withColumn("exceeded", F.col("total") > most)

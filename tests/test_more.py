@@ -3,6 +3,7 @@
 import json
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reviewlake.operators import audits as A
@@ -184,3 +185,23 @@ def test_matches_are_attached_to_the_least_or_nearest_window(spark):
             want[(r, m)] = min(mine)[1]
     assert {(x["r"], x["m"]): x["window_id"] for x in got.collect()} == want
     assert "CartesianProduct" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+
+
+def test_the_running_ratchet_goes_on_after_a_restart(spark, tmp_path):
+    schema = "suite string, finding_id int"
+    batches = [[("s", 1), ("t", 2), ("s", 3)], [("s", 4), ("u", 5)], [("t", 6), ("t", 7)]]
+    source, out, checkpoint = (str(tmp_path / n) for n in ("source", "out", "checkpoint"))
+
+    def run() -> dict:
+        q = T.running_ratchet(spark.readStream.schema(schema).parquet(source), 2, out, checkpoint)
+        q.awaitTermination(120)
+        assert q.exception() is None
+        made = spark.read.parquet(out).withColumn("n", F.row_number().over(Window.partitionBy("suite").orderBy(F.desc("batch")))).where("n = 1")
+        return {r["suite"]: (r["total"], r["exceeded"]) for r in made.collect()}
+
+    rows = []
+    for new in batches:  # each run is a query of its own, started from the checkpoint
+        rows += new
+        spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(source)
+        assert run() == {r["suite"]: (r["total"], r["exceeded"]) for r in T.ratchet_totals(spark.createDataFrame(rows, schema), 2).collect()}
+    assert any(p.suffix == ".zip" for p in (tmp_path / "checkpoint" / "state").rglob("*"))  # RocksDB's snapshots
