@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -193,15 +196,47 @@ def dedupe_findings(hits: DataFrame, key_col: str = "text_key", key: str = "revi
     return first_by(hits, [key, "rule_id", "file_path", key_col], list(order))
 
 
-def suppress_by_family(regex_hits: DataFrame, semantic_hits: DataFrame, key: str = "review_id") -> DataFrame:
-    """Regex hits without those that a semantic hit of the same window makes needless.
+def needless(rule_id: str, family: str | None, families: set[str]) -> bool:
+    """Whether accepted dataflow hits of a window, by their families, make a regex hit needless."""
+    if family == "redos":
+        return bool(families & {"redos", "complexity-dos"})
+    return rule_id == "py-unicode-normalization-dos" and "complexity-dos" in families
+
+
+def accept_hits(hits: DataFrame, key: str = "review_id") -> DataFrame:
+    """The hits that count: along a file's windows, dataflow before regexes and by rule within, the first of each rule and text key.
 
-    Families come from all semantic hits, before first-wins: a declared difference, which can only suppress more.
+    A regex hit goes where a hit accepted before it in the same window makes it needless; one that was a repetition itself, and so wasn't
+    accepted, makes nothing needless. What is accepted decides what comes after, so a file's hits stream in order through one task, which
+    keeps the keys seen in the file. hits: key, file_path, window_id, is_regex, rule_ord (these identify one), rule_id, family, text_key.
     """
-    families = semantic_hits.select(key, "window_id", F.col("family").alias("_family")).where(F.col("_family").isin("redos", "complexity-dos")).distinct()
-    why = (F.col("family") == "redos") | ((F.col("rule_id") == "py-unicode-normalization-dos") & (F.col("_family") == "complexity-dos"))
-    needless = regex_hits.join(families, [key, "window_id"]).where(why).select(key, "window_id", "rule_id").distinct()
-    return regex_hits.join(needless, [key, "window_id", "rule_id"], "left_anti")
+    place = [key, "file_path", "window_id", "is_regex", "rule_ord"]
+    narrow = hits.select(*[F.col(c) for c in place], "rule_id", "family", F.md5(F.coalesce("text_key", F.lit("")).cast("binary")).alias("text_key"))
+    narrow = narrow.withColumn("_file", F.struct(key, "file_path")).withColumn("_file", F.sha2(F.to_json("_file"), 256))
+    kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file = window = None
+        seen: set[tuple] = set()
+        families: set[str] = set()
+        for b in batches:
+            kept = []
+            for f, w, regex, rule, family, text in zip(b["_file"], b["window_id"], b["is_regex"], b["rule_id"], b["family"], b["text_key"], strict=True):
+                if f != file:
+                    file, window, seen = f, None, set()
+                if w != window:
+                    window, families = w, set()
+                fine = (rule, text) not in seen and not (regex and needless(rule, family, families))
+                kept.append(fine)
+                if fine:
+                    seen.add((rule, text))
+                    if not regex and family:
+                        families.add(family)
+            yield b.loc[kept, place]
+
+    ordered = narrow.repartition("_file").sortWithinPartitions("_file", "window_id", "is_regex", "rule_ord")
+    accepted = ordered.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in place))
+    return hits.join(accepted, place, "left_semi")
 
 
 def supersede(findings: DataFrame, winner: str, loser: str, keys: list[str], rule_col: str = "rule_id") -> DataFrame:

@@ -996,6 +996,23 @@ def t9(spark, sf_dir):
     return event_of(m.where("rule_id = 'py-unicode-normalization-dos'"), lines_each=5).select("user_id", "line", (F.col("mode") == "adds-hardening").alias("hardened"))
 
 
+@query("r6_accept_hits", EVENTS.replace("WITH ", "WITH RECURSIVE ", 1) + """, h AS (SELECT user_id, event_id, (line - 1) // 4 AS w, CASE WHEN event_type IN ('click', 'error') THEN 0 ELSE 1 END AS rx, line, CASE WHEN event_type IN ('click', 'view') THEN 'py-regex-redos' ELSE 'py-unicode-normalization-dos' END AS rule_id,
+CASE event_type WHEN 'error' THEN 'complexity-dos' WHEN 'purchase' THEN '' ELSE 'redos' END AS family, (event_id % 7)::VARCHAR AS t FROM e), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY w, rx, line) AS k FROM h),
+r(user_id, k, w, seen, fams, event_id, fine) AS (SELECT DISTINCT user_id, 0::BIGINT, -1::BIGINT, []::VARCHAR[], []::VARCHAR[], NULL::BIGINT, false FROM o UNION ALL
+SELECT user_id, k, w, CASE WHEN fine THEN list_append(seen, rule_id || t) ELSE seen END, CASE WHEN fine AND rx = 0 THEN list_append(fams, family) ELSE fams END, event_id, fine FROM (
+SELECT *, NOT list_contains(seen, rule_id || t) AND NOT (rx = 1 AND CASE WHEN family = 'redos' THEN len(fams) > 0 ELSE list_contains(fams, 'complexity-dos') END) AS fine FROM (
+SELECT o.user_id, o.k, o.w, r.seen, CASE WHEN o.w = r.w THEN r.fams ELSE [] END AS fams, o.event_id, o.rx, o.rule_id, o.family, o.t FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)))
+SELECT user_id, event_id FROM r WHERE fine""")
+def r6(spark, sf_dir):
+    """Hits along each user's events, four to a window: clicks and errors are dataflow hits of two families, views and purchases regex hits."""
+    e = B.event_lines(spark, sf_dir)
+    of = F.col("content")
+    rule = F.when(of.isin("click", "view"), "py-regex-redos").otherwise("py-unicode-normalization-dos")
+    family = F.when(of == "error", "complexity-dos").when(of == "purchase", "").otherwise("redos")
+    h = e.select("review_id", "file_path", "event_id", F.floor((F.col("new_line") - 1) / 4).alias("window_id"), F.when(of.isin("click", "error"), 0).otherwise(1).alias("is_regex"), F.col("new_line").alias("rule_ord"), rule.alias("rule_id"), family.alias("family"), (F.col("event_id") % 7).cast("string").alias("text_key"))
+    return R.accept_hits(h).select(F.col("review_id").alias("user_id"), "event_id")
+
+
 CARRIED, COMBINED, INTERPOLATED = ": assignment carries taint", "string/binary combination preserves taint", "string interpolation incorporates tainted values"
 
 

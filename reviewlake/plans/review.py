@@ -55,11 +55,10 @@ def review(diffs: DataFrame, rules: DataFrame, masked: DataFrame | None = None,
         s = s.join(F.broadcast(order), "rule_id").where(F.col("_c") + F.col("boost") >= min_confidence)
         s = s.join(windows.select(key, "window_id", "start_line", "end_line", "lines"), [key, "window_id"])
         s = s.select(key, "window_id", "file_path", "start_line", "end_line", "lines", "rule_ord", "rule_id", "family", F.lit(0).alias("is_regex"), "boost", F.col("mode").alias("hit_mode"), "steps", F.col("analysis_scope").alias("scope"))
-        regex = R.suppress_by_family(regex, s, key)
         hits = regex.withColumns({c: F.lit(None).cast(t) for c, t in extra.items()}).select(s.columns).unionByName(s)
     else:
         hits = regex.withColumns({c: F.lit(None).cast(t) for c, t in extra.items()})
-    hits = R.dedupe_findings(hits.withColumn("text_key", R.text_key(rules)), key=key)
+    hits = R.accept_hits(checkpointed(hits.withColumn("text_key", R.text_key(rules))), key)
     hits = R.supersede(hits, "py-regex-redos-hardening", "py-regex-redos", [key, "file_path"])
     return R.build_findings(hits, rules, key).withColumn("seq", F.col("window_id") * 100 + F.col("is_regex") * 50 + F.col("rule_ord"))
 
