@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F

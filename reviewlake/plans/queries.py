@@ -1013,6 +1013,69 @@ def r6(spark, sf_dir):
     return R.accept_hits(h).select(F.col("review_id").alias("user_id"), "event_id")
 
 
+@query("t2_resolve_aliases", EVENTS + """, i AS (SELECT user_id, event_id % 4 AS m, 'pkg' || (event_id % 5) || '.mod' AS whole, row_number() OVER (PARTITION BY user_id, event_id % 4 ORDER BY line DESC) AS r FROM e WHERE event_type = 'click')
+SELECT e.event_id, coalesce(whole, 'm' || (e.event_id % 4)) || '.f' || (e.event_id % 3) AS full_name FROM e LEFT JOIN i ON i.user_id = e.user_id AND i.m = e.event_id % 4 AND r = 1""")
+def t2(spark, sf_dir):
+    """Clicks import a module by a short name, of which a user's last counts; every event calls a function of one."""
+    from reviewlake.operators import taint as T
+
+    e = B.event_lines(spark, sf_dir).withColumnRenamed("review_id", "unit")
+    imports = e.where("content = 'click'").select("unit", of(4, "m").alias("local"), F.concat(of(5, "pkg"), F.lit(".mod")).alias("full"), F.col("new_line").alias("seq"))
+    return T.resolve_aliases(e.select("unit", "event_id", F.concat(of(4, "m"), of(3, ".f")).alias("name")), imports).select("event_id", "full_name")
+
+
+@query("t10_regex_sinks", EVENTS + """, b AS (SELECT *, last_value(CASE event_type WHEN 'click' THEN '(a+)+' WHEN 'view' THEN 'abc' END IGNORE NULLS) OVER (PARTITION BY user_id, (line - 1) // 1000 ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bound FROM e)
+SELECT user_id::VARCHAR AS user_id, line, CASE event_type WHEN 'error' THEN 'x' ELSE bound END AS pattern FROM b WHERE event_type = 'error' OR event_type = 'purchase' AND bound IS NOT NULL""")
+def t10(spark, sf_dir):
+    """Clicks and views bind a pattern, purchases search by the name, errors match a literal."""
+    from reviewlake.operators import taint as T
+    from reviewlake.operators.reach import checkpointed
+
+    code = by_type(click="p = '(a+)+'", view="p = 'abc'", purchase="re.search(p, x)", error="re.match('x', y)")
+    facts = checkpointed(T.code_facts(programs(B.event_lines(spark, sf_dir).withColumn("code", code), F.lit("import re"))))
+    calls = T.resolve_aliases(T.pick(facts, "call", call="node", scope="scope", call_seq="seq", name="name", at="line", changed="changed"), T.pick(facts, "import", local="name", full="text", seq="seq"))
+    args = T.pick(facts, "arg", call="node", node="ref", arg="name", text="text", arg_changed="changed")
+    per = args.groupBy("unit", "call").agg(F.collect_list(F.struct("arg", "text", "node", "arg_changed")).alias("args"))
+    return event_of(T.regex_sinks(facts, calls.join(per, ["unit", "call"])), "at").select("user_id", "line", "pattern")
+
+
+@query("t16_match_boost", "SELECT user_id AS unit, event_type AS rule_id, round(least(0.15, (event_id % 20) / 100.0 + CASE WHEN event_id % 4 = 0 THEN 0.02 ELSE 0 END), 2)::DOUBLE AS boost FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) WHERE r = 1")
+def t16(spark, sf_dir):
+    from reviewlake.operators.taint import match_boost
+
+    e = B.table(spark, sf_dir, "events")
+    m = e.select(F.col("user_id").alias("unit"), F.col("event_type").alias("rule_id"), ((eid() % 20) / 100).alias("boost"), F.when(eid() % 4 == 0, "file").otherwise("window").alias("analysis_scope"), eid().alias("call_seq"))
+    return match_boost(m).select("unit", "rule_id", "boost")
+
+
+@query("r3_strip_comments", r"""SELECT doc_id, count(*) AS n_lines, count(*) FILTER (code <> line) AS n_stripped, sum(length(code))::BIGINT AS n_chars FROM (SELECT doc_id, line, regexp_replace(line, '((?:[rbufRBUF]{0,2})(?:"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''))|#.*', '\1', 'g') AS code
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1""")
+def r3(spark, sf_dir):
+    lines = B.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    code = R.strip_comments(F.col("line"), True)
+    return lines.withColumn("code", code).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("code") != F.col("line")).alias("n_stripped"), F.sum(F.length("code").cast("long")).alias("n_chars"))
+
+
+@query("a2_source_status", """SELECT doc_id AS case_id, CASE WHEN k = 0 THEN 'git-pair' WHEN k = 1 THEN 'diff-url-on-base' WHEN k = 2 THEN 'local-diff' WHEN k = 3 THEN 'remote-diff' ELSE 'missing' END AS source_kind,
+(CASE WHEN k = 4 THEN 1 ELSE 0 END + CASE WHEN k = 2 AND doc_id % 7 > 2 THEN 1 ELSE 0 END + CASE WHEN k < 2 AND doc_id % 3 > 0 THEN 1 ELSE 0 END)::BIGINT AS n_errors, (CASE WHEN k = 3 THEN 1 ELSE 0 END)::BIGINT AS n_warnings FROM (SELECT doc_id, doc_id % 5 AS k FROM documents)""")
+def a2(spark, sf_dir):
+    k, of_id = F.col("doc_id") % 5, lambda c, n: F.concat(F.lit(c), (F.col("doc_id") % n).cast("string"))
+    cases = B.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("case_id"), F.when(k == 2, of_id("diffs/", 7)).alias("diff"), F.when(k < 2, of_id("repos/", 3)).alias("repo"), F.lit(None).cast("string").alias("repo_url"),
+        F.when((k == 1) | (k == 3), F.lit("http://diff")).alias("diff_url"), F.when(k < 2, F.lit("base")).alias("base_ref"), F.when(k == 0, F.lit("head")).alias("head_ref"),
+    )
+    paths = B.table(spark, sf_dir, "documents").select(F.explode(F.array(*[F.lit(p) for p in ("diffs/0", "diffs/1", "diffs/2", "repos/0")])).alias("path"))
+    return longs(A.source_status(cases, paths).select("case_id", "source_kind", F.size("source_errors").alias("n_errors"), F.size("source_warnings").alias("n_warnings")), "n_errors", "n_warnings")
+
+
+@query("e14_case_errors", """SELECT d.doc_id AS case_id, CASE WHEN d.doc_id % 5 = 0 AND d.doc_id % 2 = 0 THEN 'no diff' WHEN l.doc_id IS NULL THEN 'review failed' END AS error, CASE WHEN d.doc_id % 5 = 0 AND d.doc_id % 2 = 0 OR l.doc_id IS NULL THEN 'error' ELSE 'completed' END AS status
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id""")
+def e14(spark, sf_dir):
+    i = F.col("doc_id")
+    cases = B.table(spark, sf_dir, "documents").select(i.alias("case_id"), F.when(i % 5 != 0, F.lit("a diff")).otherwise(F.lit("")).alias("diff"), F.when(i % 2 != 0, F.lit("http://diff")).alias("diff_url"))
+    return S.case_errors(cases, B.table(spark, sf_dir, "labels").select(i.alias("case_id"))).select("case_id", "error", "status")
+
+
 CARRIED, COMBINED, INTERPOLATED = ": assignment carries taint", "string/binary combination preserves taint", "string interpolation incorporates tainted values"
 
 
