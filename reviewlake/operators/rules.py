@@ -254,7 +254,7 @@ def build_findings(hits: DataFrame, rules: DataFrame, key: str = "review_id") ->
         if name not in hits.columns:
             hits = hits.withColumn(name, F.lit(None).cast(kind))
     meta = rules.select("rule_id", "title", "severity", "risk", "fix_guidance", "recommended_validation", "false_positive_notes", F.col("confidence").alias("rule_confidence"))
-    f = hits.drop("title", "severity", "confidence").join(F.broadcast(meta), "rule_id")
+    f = hits.drop("title", "severity", "confidence").join(meta, "rule_id")
     confidence = F.col("rule_confidence") + F.coalesce("boost", F.lit(0.0))
     confidence = clamp_confidence(confidence)
     confidence = F.when(F.col("hit_mode") == "introduces-risk", clamp_confidence(confidence + 0.02)).otherwise(confidence)

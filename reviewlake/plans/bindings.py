@@ -53,7 +53,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hits(spark, sf_dir).withColumns({"text_key": F.trim("line"), "window_id": F.col("line_no"), "is_regex": F.lit(1), "file_path": F.col("source"), "review_id": F.col("doc_id")})
     first = R.dedupe_findings(h)
     meta = text_rules(spark).select("rule_id", "severity", "confidence")
-    return first.join(F.broadcast(meta), "rule_id").select(
+    return first.join(meta, "rule_id").select(
         F.col("lang").alias("suite"), F.col("doc_id").cast("string").alias("case_id"), (F.col("line_no") * 10 + F.col("rule_ord")).alias("seq"), "rule_id", "severity", "confidence",
         "file_path", (F.col("line_no") + 1).alias("start_line"), (F.col("line_no") + 1).alias("end_line"), F.concat("rule_id", F.lit("@"), F.col("doc_id").cast("string"), F.lit(":"), (F.col("line_no") + 1).cast("string")).alias("finding_id"),
     )

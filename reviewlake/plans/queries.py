@@ -1099,6 +1099,29 @@ def t17(spark, sf_dir):
     return event_of(paths).select("user_id", "line", F.array_join(lines, ">").alias("lines"), F.array_join(F.flatten(F.transform("path", lambda p: p["text"])), "|").alias("steps"))
 
 
+@query("review_with_dataflow", """SELECT event_id AS review_id, rule_id, severity, confidence::DOUBLE AS confidence, 'src/a' || (event_id % 3) || '.py' AS file_path, greatest(1, line - 6) AS start_line, line + 6 AS end_line, steps FROM (SELECT event_id, event_id % 50 + 1 AS line, event_type FROM events) e
+JOIN (VALUES ('click', 'py-shell-true', 'high', 0.80, 'source call `input`|OS shell sink'), ('purchase', 'py-eval-exec', 'high', 0.76, 'dynamic code execution'), ('error', 'py-unsafe-yaml', 'medium', 0.86, 'Loader is not SafeLoader/CSafeLoader')) r(kind, rule_id, severity, confidence, steps) ON r.kind = e.event_type
+UNION ALL SELECT event_id, 'py-shell-true', 'high', 0.80, 'src/a' || (event_id % 3) || '.py', event_id % 50 - 4, event_id % 50 + 8, 'source call `input`|OS shell sink' FROM events WHERE event_type = 'click' AND event_id % 50 >= 6""")
+def review_with_dataflow(spark, sf_dir):
+    """The review of a change for each event by all shipped rules and dataflow: clicks run a shell on input, purchases eval a name, errors load YAML.
+
+    What no line matches by the rule's own pattern (os.system) is found anew in each window that starts elsewhere.
+    """
+    from reviewlake.operators.rules import shipped_rules
+    from reviewlake.plans.review import review
+
+    code = {"click": ["import os", "os.system(input())"], "purchase": ["", "eval(x)"], "error": ["import yaml", "yaml.load(f)"]}
+    added = None
+    for kind, lines in code.items():
+        text = F.lit("\n".join(f"+{x}" for x in lines))
+        added = F.when(F.col("event_type") == kind, text) if added is None else added.when(F.col("event_type") == kind, text)
+    line = (eid() % 50 + 1).cast("string")
+    head = F.concat(of(3, "+++ b/src/a"), F.lit(".py\n@@ -"), line, F.lit(",0 +"), line, F.lit(",2 @@\n"))
+    diffs = B.table(spark, sf_dir, "events").select(eid().alias("review_id"), F.concat(head, added.otherwise("+x = 1\n+y = x")).alias("diff_text"))
+    found = review(diffs, shipped_rules(spark))
+    return longs(found.select("review_id", "rule_id", "severity", "confidence", "file_path", "start_line", "end_line", F.array_join("dataflow_steps", "|").alias("steps")), "start_line", "end_line")
+
+
 @query("review_diffs", None)
 def review_diffs(spark, sf_dir):
     """The review of a diff for each document by the text rules: lines, windows, masks, hits, first of equal ones, findings."""

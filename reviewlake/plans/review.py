@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.operators import lines as L
@@ -52,7 +52,7 @@ def review(diffs: DataFrame, rules: DataFrame, masked: DataFrame | None = None,
     if semantic:
         s = semantic_hits(windows, rules, analyzers, key)
         order = rules.select("rule_id", F.col("ord").alias("rule_ord"), (F.col("confidence")).alias("_c"))
-        s = s.join(F.broadcast(order), "rule_id").where(F.col("_c") + F.col("boost") >= min_confidence)
+        s = s.join(order, "rule_id").where(F.col("_c") + F.col("boost") >= min_confidence)
         s = s.join(windows.select(key, "window_id", "start_line", "end_line", "lines"), [key, "window_id"])
         s = s.select(key, "window_id", "file_path", "start_line", "end_line", "lines", "rule_ord", "rule_id", "family", F.lit(0).alias("is_regex"), "boost", F.col("mode").alias("hit_mode"), "steps", F.col("analysis_scope").alias("scope"))
         hits = regex.withColumns({c: F.lit(None).cast(t) for c, t in extra.items()}).select(s.columns).unionByName(s)
@@ -60,7 +60,8 @@ def review(diffs: DataFrame, rules: DataFrame, masked: DataFrame | None = None,
         hits = regex.withColumns({c: F.lit(None).cast(t) for c, t in extra.items()})
     hits = R.accept_hits(checkpointed(hits.withColumn("text_key", R.text_key(rules))), key)
     hits = R.supersede(hits, "py-regex-redos-hardening", "py-regex-redos", [key, "file_path"])
-    return R.build_findings(hits, rules, key).withColumn("seq", F.col("window_id") * 100 + F.col("is_regex") * 50 + F.col("rule_ord"))
+    order = Window.partitionBy(key).orderBy("window_id", "is_regex", "rule_ord")
+    return R.build_findings(hits, rules, key).withColumn("seq", F.row_number().over(order) - 1)
 
 
 def validated(findings: DataFrame, runs: DataFrame, tool_findings: DataFrame, markers: DataFrame, key: str = "review_id") -> tuple[DataFrame, DataFrame]:
