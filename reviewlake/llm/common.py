@@ -42,6 +42,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def also_staged(path: str) -> str:
+    """A folder in the shared one that an operator fills itself: it goes with the others."""
+    _staged.append(path)
+    return path
+
+
 def drop_stages(spark: SparkSession, since: int = 0, kept: tuple[str, ...] = ()) -> int:
     """Delete what this process has staged (since a count of folders), once its results are written; returns how many folders."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

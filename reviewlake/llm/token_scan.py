@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import shared_dir, small_batches, stage, utf8
+from reviewlake.llm.common import also_staged, shared_dir, small_batches, stage, utf8
 from reviewlake.llm.wordbpe import word_bpe
 
 END = 49407
@@ -39,7 +39,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int = END, width: in
     A file appears under its name only when it is whole, and a task that runs again writes the same bytes.
     """
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = also_staged(f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
     system, path = open_fs(folder)
     system.create_dir(path)
 

@@ -142,3 +142,16 @@ def test_small_repairs(spark, rows, audit, cost):
     df = spark.createDataFrame([(1, t, r, x, False) for t, (r, x) in enumerate(rows)], SCHEMA + ", dropped boolean")
     got = repair(df).first()
     assert (got["audit"], got["cost"]) == (audit, cost)
+
+
+def test_token_files_go_with_the_stages(spark):
+    from reviewlake.llm import common
+    from reviewlake.llm.queries import tokenizer_path
+    from reviewlake.llm.token_scan import open_fs, write_token_files
+
+    since = len(common._staged)
+    folder, names = write_token_files(spark.createDataFrame([(1, "one two")], "doc_id long, text string"), tokenizer_path())
+    assert names.count() == 1
+    common.drop_stages(spark, since)
+    system, path = open_fs(folder)
+    assert system.get_file_info(path).type.name == "NotFound"
