@@ -1,4 +1,4 @@
-"""The quality classifier against a plain quadratic discriminant over statistics counted word by word."""
+"""The quality classifier against a plain quadratic discriminant, and the rules' verdicts one by one, over statistics counted word by word."""
 
 import math
 import re
@@ -7,13 +7,13 @@ from collections import Counter
 
 import numpy as np
 
-from reviewlake.llm import qda
+from reviewlake.llm import decision_list, doc_stats, qda
 
 SF = "/root/testdata/sf0.001"
 
 
-def counted(text):
-    """The features of one text, on their scales."""
+def features(text):
+    """The features of one text, unscaled."""
     words = [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
     lines = [x for x in (text or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)]
     n, chars, n_lines = max(1, len(words)), max(1, sum(map(len, words))), max(1, len(lines))
@@ -24,13 +24,18 @@ def counted(text):
         run = run + 1 if k and w == words[k - 1] else 1
         most = max(most, run)
     of = lambda pattern: len(re.findall(pattern, text)) if words else 0
-    shares = {
+    return {
+        "words": len(words), "word_length": sum(map(len, words)) / n, "words_a_line": n / n_lines,
         "dup_line_share": (len(lines) - len(set(lines))) / n_lines, "repeat_share": len(repeated) / n, "upper_share": of("[A-Z]") / chars, "digit_share": of("[0-9]") / chars, "mark_share": of(r"""[!"'()+,\-./:;=?@\[\\\]^_`{}~]""") / chars,
         "distinct_share": len(set(words)) / n, "top_share": max(Counter(words).values(), default=0) / n, "short_line_share": sum(len(re.findall("[^\x20\x09-\x0d]+", x)) < 5 for x in lines) / n_lines, "run_share": most / n,
+        "symbols_a_word": of("[#*$%&|<>]") / n, "bangs_a_word": of("!") / n, "stops_a_word": sum(w[-1] in ".?!" for w in set(words)) / n,
     }
-    rates = {"symbols_a_word": of("[#*$%&|<>]") / n, "bangs_a_word": of("!") / n, "stops_a_word": sum(w[-1] in ".?!" for w in set(words)) / n}
-    scaled = {"words": math.log1p(len(words)), "word_length": math.log1p((sum(map(len, words))) / n), "words_a_line": math.log1p(n / n_lines)}
-    return scaled | {k: math.asin(math.sqrt(min(1.0, v))) for k, v in shares.items()} | {k: math.log1p(4 * v) for k, v in rates.items()}
+
+
+def counted(text):
+    """The features of one text, on their scales."""
+    scale = lambda k, v: math.asin(math.sqrt(min(1.0, v))) if k.endswith("share") else math.log1p(4 * v if k in ("symbols_a_word", "bangs_a_word", "stops_a_word") else v)
+    return {k: scale(k, v) for k, v in features(text).items()}
 
 
 def by_hand(docs, labels, shrink=0.2, ridge=0.02, heat=3.0):
@@ -63,3 +68,15 @@ def test_scores_by_hand(spark):
         held, score = want[r["doc_id"]]
         assert r["held_out"] == held and abs(r["score"] - score) < 1e-6, r
         assert r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_verdicts_of_rules_by_hand(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rules = decision_list.learn(doc_stats.with_stats(docs), labels).rules
+    got = {r["doc_id"]: r["kept"] for r in decision_list.apply_rules(docs, labels).collect()}
+    assert rules and set(got.values()) == {True, False}
+    for i, text in docs.collect():
+        f = features(text)
+        failed = f["words"] < 50 or f["repeat_share"] > 0.5
+        said = next((r.label for r in rules if all(f[k] <= t if op == "<=" else f[k] >= t for k, op, t in r.conditions)), 1)
+        assert got[i] == (not failed and said == 1), (i, f)
