@@ -474,7 +474,7 @@ def test_packing_of_instruction_data_with_little_padding(spark):
 
 
 def test_every_operator_has_its_query():
-    assert {q.split("_")[0] for q in queries()} == {f"op{k}" for k in range(1, 11)}
+    assert {q.split("_")[0] for q in queries()} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_pipeline_equals_its_operators(spark, tmp_path):
