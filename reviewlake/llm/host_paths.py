@@ -256,17 +256,20 @@ def host_cuts(parsed: DataFrame) -> DataFrame:
 
 
 def with_hosts(parsed: DataFrame, votes: DataFrame, cuts: DataFrame) -> DataFrame:
-    """parsed with votes (by path) and cuts (paths) of its host: of the whole host, by a broadcast, or of its own paths alone.
+    """parsed with votes (by path) and cuts (paths) of its host: of the whole host, by a broadcast, or of the page's own paths alone.
 
     Few paths in all are broadcast, so that no text is shuffled. Else the pages' paths meet them, a path in SALTS copies, since one host
-    may have a third of all pages, and what is found goes back to the pages by their row.
+    may have a third of all pages, and what is found goes back to the pages by their row. A page's own paths are those of its blocks and all
+    above them: no other path can hold text of the page, so both ways cut it alike, also by what only other pages of its host call doubtful.
     """
     every = votes.unionByName(cuts, allowMissingColumns=True)
     pair = F.struct("path", "votes")
     packed = lambda df, *keys: df.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.when(F.col("votes").isNotNull(), pair))).alias("votes"), F.sort_array(F.collect_set(F.when(F.col("votes").isNull(), F.col("path")))).alias("cuts"))
     if every.count() <= HOSTS:
         return parsed.join(F.broadcast(packed(every, "host")), "host", "left")
-    asked = parsed.select("row", "host", F.explode(F.array_distinct(F.concat(F.transform("containers", lambda c: c["path"]), F.transform("doubtful", lambda d: d["path"])))).alias("path")).withColumn("salt", F.col("row") % SALTS)
+    above = lambda p: F.transform(F.sequence(F.lit(1), F.size(F.split(p, "/"))), lambda k: F.call_function("substring_index", p, F.lit("/"), k))
+    own = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.transform("blocks", lambda b: b["path"])), above)))
+    asked = parsed.select("row", "host", F.explode(own).alias("path")).withColumn("salt", F.col("row") % SALTS)
     copies = every.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return parsed.join(packed(asked.join(copies, ["host", "path", "salt"]), "row"), "row", "left")
 

@@ -170,6 +170,15 @@ def test_beyond_a_broadcast_paths_meet_pages_by_row(spark, monkeypatch):
     assert texts_of(spark, rows_) == want and want[0] == "0 text, and text, and more. Then 0."
 
 
+def test_a_cut_that_only_other_pages_call_for_holds_both_ways(spark, monkeypatch):
+    """A box is links on most pages of a host, so its path is cut on all; on one page it holds no links, and that page doubts nothing."""
+    box = lambda k: f'<a href="/{k}">go {k}</a>' if k < 5 else "This page says something else here."
+    rows_ = [(f"http://h/{k}", f'<div class="post"><p>{k} text, and text, and more of it, and more, and on it goes, and on.</p><div class="box">{box(k)}</div></div>') for k in range(6)]
+    want = texts_of(spark, rows_)
+    monkeypatch.setattr(host_paths, "HOSTS", 0)
+    assert texts_of(spark, rows_) == want == {k: f"{k} text, and text, and more of it, and more, and on it goes, and on." for k in range(6)}
+
+
 NAMES = ["search-box", "form-text", "widget-text", "promo", "reply", "alert-box", "notice", "subscription-content", "related", "share", "banner-text", "form-list", "menu", "top-search", "hidden-gem"]
 
 
