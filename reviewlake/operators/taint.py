@@ -12,7 +12,7 @@ import ast
 import textwrap
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -254,17 +254,33 @@ def facts_of(unit: str, source: str, changed: set[int], fragment: bool) -> list[
     return []
 
 
+#: Facts after which a worker hands on what it has, and units that it takes at a time.
+HANDED_ON, TAKEN = 20_000, 50
+
+
 def code_facts(sources: DataFrame, fragment: bool = False) -> DataFrame:
-    """Facts of every unit. sources: unit, source, changed (array of line numbers)."""
+    """Facts of every unit. sources: unit, source, changed (array of line numbers).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in FACT.split(", ")]
-        for b in batches:
-            rows = [r for u, s, c in zip(b["unit"], b["source"], b["changed"], strict=True) if isinstance(s, str) and s.strip() and c is not None and len(c) for r in facts_of(u, s, set(map(int, c)), fragment)]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({c: "Int32" for c in ("scope", "seq", "node", "ref", "last", "line")})
+    Facts are handed on by HANDED_ON, units taken out of their batch by TAKEN: beside the batch a worker holds the facts of one unit and HANDED_ON more.
+    """
+    types = [pa.string(), pa.string(), *[pa.int32()] * 5, pa.string(), pa.string(), pa.int32(), pa.bool_()]
+    schema = pa.schema([(c.split()[0], t) for c, t in zip(FACT.split(", "), types, strict=True)])
+    packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=schema)
 
-    return sources.select("unit", "source", "changed").mapInPandas(run, FACT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for b in batches:
+            for k in range(0, b.num_rows, TAKEN):
+                for u, s, c in zip(*(x.to_pylist() for x in b.slice(k, TAKEN).columns), strict=True):
+                    if s and s.strip() and c:
+                        rows += facts_of(u, s, set(c), fragment)
+                    while len(rows) >= HANDED_ON:
+                        yield packed(rows[:HANDED_ON])
+                        del rows[:HANDED_ON]
+        if rows:
+            yield packed(rows)
+
+    return sources.select("unit", "source", "changed").mapInArrow(run, FACT)
 
 
 def window_sources(windows: DataFrame, key: str = "review_id") -> DataFrame:

@@ -114,3 +114,23 @@ def test_steps_tell_the_whole_way(spark):
     assert got[7] == ["parameter `a` treated as attacker-controlled", "string/binary combination preserves taint", "string interpolation incorporates tainted values", "L5: assignment carries taint"]
     assert got[8] == ["call `get()` returns tainted data"]
     assert got[9] == ["string/binary combination preserves taint"]
+
+
+def test_facts_are_handed_on_before_a_batch_ends():
+    """A worker that parses a batch of many units gives facts out as it goes, all of them and in order."""
+    import pyarrow as pa
+
+    class Given:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    code = "\n".join(f"x{k} = 'a' + y.format({k})" for k in range(100))
+    units = [f"u{k}" for k in range(120)]
+    given = pa.RecordBatch.from_pydict({"unit": units, "source": [code] * 120, "changed": [[1]] * 120})
+    out = list(T.code_facts(Given())([given, given.slice(0, 0)]))
+    each = len(T.facts_of("u", code, {1}, False))
+    assert sum(b.num_rows for b in out) == 120 * each and max(b.num_rows for b in out) == T.HANDED_ON < 120 * each
+    assert [u for b in out for u in b.column(0).to_pylist()] == [u for u in units for _ in range(each)]
