@@ -46,16 +46,20 @@ def changed_lines(diffs: DataFrame, key: str = "review_id", text: str = "diff_te
 def evidence_windows(lines: DataFrame, key: str = "review_id", max_lines: int = MAX_LINES, triggers: tuple[str, ...] = ("add", "delete")) -> DataFrame:
     """key, window_id (the trigger's seq), file_path, start_line, end_line, lines: what stands around each trigger.
 
-    Members are the file's lines by effective number in the window's range, in diff order, max_lines at most.
+    Members are the file's lines by effective number in the window's range, in diff order, max_lines at most. They come from a frame
+    along the file, so a line is shuffled once, not once for each window that it stands in.
     """
     half = max_lines // 2
-    lines = lines.withColumn("_line", effective_line("new_line", "old_line"))
-    t = lines.where(F.col("change_type").isin(*triggers))
-    t = t.select(key, "file_path", F.col("seq").alias("window_id"), F.greatest(F.lit(1), F.col("_line") - half).alias("start_line"), (F.col("_line") + half).alias("end_line"))
-    members = range_join(t, lines.withColumn("_to", F.col("_line")), [key, "file_path"], ("start_line", "_line"), ("end_line", "_to"), max_lines + 1, short=True)
-    kept = first_n(members, [key, "window_id"], ["seq"], max_lines)
     line = F.struct("seq", "old_line", "new_line", "content", "change_type")
-    return kept.groupBy(key, "window_id", "file_path", "start_line", "end_line").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    near = Window.partitionBy(key, "file_path").orderBy(F.col("_line").cast("long")).rangeBetween(-half, half)
+    seen = lines.withColumn("_line", effective_line("new_line", "old_line")).withColumn("_near", F.collect_list(line).over(near))
+    t = seen.where(F.col("change_type").isin(*triggers) & F.col(key).isNotNull() & F.col("file_path").isNotNull() & F.col("_line").isNotNull())
+    low = F.greatest(F.lit(1), F.col("_line") - half)
+    members = F.filter("_near", lambda x: effective_line(x["new_line"], x["old_line"]) >= low)
+    return t.select(
+        key, F.col("seq").alias("window_id"), "file_path", low.alias("start_line"), (F.col("_line") + half).alias("end_line"),
+        F.slice(F.sort_array(members), 1, max_lines).alias("lines"),
+    ).where(F.size("lines") > 0)
 
 
 def source_context(windows: DataFrame, source_lines: DataFrame, key: str = "review_id", radius: int = RADIUS) -> DataFrame:

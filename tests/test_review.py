@@ -183,3 +183,20 @@ def test_guards_and_patterns(sinks):
 def test_unreadable_source_gives_no_facts(spark):
     df = spark.createDataFrame([("u", "def (", [1]), ("v", None, [1]), ("w", "x = 1", [])], "unit string, source string, changed array<int>")
     assert T.code_facts(df).count() == 0
+
+
+def test_lines_are_shuffled_once_for_windows(spark, capsys):
+    """The text of a line isn't shuffled anew for each window that it stands in."""
+    L.evidence_windows(L.changed_lines(diffs(spark, r=diff("+a", " b", "-c")))).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_equal_windows_are_analysed_once_and_all_get_the_matches(spark, monkeypatch):
+    asked, parse = [], T.code_facts
+    monkeypatch.setattr(T, "code_facts", lambda sources, **how: asked.append(sources.count()) or parse(sources, **how))
+    lines = ("+import os", "+os.system(input())", " pass")
+    texts = {"a": diff(*lines), "b": diff(*lines, path="other.py", at=40), "c": diff("+import os", "-os.system(input())", " pass"), "d": diff(*lines, path="no.txt")}
+    got = {(r["review_id"], r["file_path"], r["start_line"], r["rule_id"]) for r in review(diffs(spark, **texts), R.shipped_rules(spark)).collect()}
+    assert asked == [3]  # both images of c, and the one that a and b share
+    assert {g[:2] for g in got if g[3] == "py-shell-true"} == {("a", "app.py"), ("b", "other.py"), ("c", "app.py")}
