@@ -9,6 +9,8 @@ from reviewlake.functions.columns import effective_line, normalize_path, paths_o
 from reviewlake.operators.joins import first_n, range_join
 
 MAX_LINES, RADIUS, SAMPLES = 12, 8, 25
+#: Ranges that a task merges.
+MERGED = 1_000_000
 #: Lines of a bucket by which findings meet scoped ranges.
 BUCKET = 64
 HUNK = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
@@ -97,7 +99,12 @@ def source_context(windows: DataFrame, source_lines: DataFrame, key: str = "revi
 
 
 def merge_ranges(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
-    """keys, lo, hi: the union of overlapping or adjacent ranges, by a running maximum and a running count of new islands."""
+    """keys, lo, hi: the union of overlapping or adjacent ranges, by a running maximum and a running count of new islands.
+
+    Tasks grow in number with the ranges, MERGED in each, so that what one sorts stays the same; ranges of one key are in one task.
+    """
+    spark = df.sparkSession
+    df = df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // MERGED)), *keys)
     order = Window.partitionBy(*keys).orderBy(lo, hi)
     before = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
     flagged = df.withColumn("_new", F.when(before.isNull() | (F.col(lo) > before + 1), 1).otherwise(0))

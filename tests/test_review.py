@@ -200,3 +200,11 @@ def test_equal_windows_are_analysed_once_and_all_get_the_matches(spark, monkeypa
     got = {(r["review_id"], r["file_path"], r["start_line"], r["rule_id"]) for r in review(diffs(spark, **texts), R.shipped_rules(spark)).collect()}
     assert asked == [3]  # both images of c, and the one that a and b share
     assert {g[:2] for g in got if g[3] == "py-shell-true"} == {("a", "app.py"), ("b", "other.py"), ("c", "app.py")}
+
+
+def test_merging_tasks_grow_with_the_ranges(spark, monkeypatch):
+    ranges = spark.range(90).select((F.col("id") % 30).alias("k"), (F.col("id") - F.col("id") % 30).alias("lo"), (F.col("id") - F.col("id") % 30 + 28 + F.col("id") % 2).alias("hi"))
+    monkeypatch.setattr(L, "MERGED", 9)
+    got = L.merge_ranges(ranges, ["k"], "lo", "hi")
+    assert got.rdd.getNumPartitions() == 10
+    assert sorted(map(tuple, got.collect())) == sorted(r for k in range(30) for r in ([(k, 0, 89)] if k % 2 else [(k, 0, 28), (k, 30, 58), (k, 60, 88)]))
