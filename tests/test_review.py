@@ -208,3 +208,18 @@ def test_merging_tasks_grow_with_the_ranges(spark, monkeypatch):
     got = L.merge_ranges(ranges, ["k"], "lo", "hi")
     assert got.rdd.getNumPartitions() == 10
     assert sorted(map(tuple, got.collect())) == sorted(r for k in range(30) for r in ([(k, 0, 89)] if k % 2 else [(k, 0, 28), (k, 30, 58), (k, 60, 88)]))
+
+
+def test_equal_ranges_may_stand_in_any_order(spark, capsys):
+    """Both windows of merging read one sort, so equal ranges stand alike in both and none falls to the island before."""
+    rows = [(k, lo, lo + 3 + (lo + k) % 4) for k in range(20) for lo in range(0, 300, 5) for _ in range(1 + lo % 3)]
+    got = L.merge_ranges(spark.createDataFrame(rows, "k long, lo long, hi long").repartition(7), ["k"], "lo", "hi")
+    want: list[tuple[int, int, int]] = []
+    for k, lo, hi in sorted(rows):
+        if want and want[-1][0] == k and lo <= want[-1][2] + 1:
+            want[-1] = (k, want[-1][1], max(want[-1][2], hi))
+        else:
+            want.append((k, lo, hi))
+    assert len(want) > 40 and sorted(map(tuple, got.collect())) == want
+    got.explain()
+    assert capsys.readouterr().out.count("+- Sort [") == 1
